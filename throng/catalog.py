@@ -2,5 +2,40 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from throng.operators import rejects
+from throng.sources.tables import table
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rejects.found(table(spark, sf_dir, "youtube_comments"))
+
+
+def p3_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rejects.valid(table(spark, sf_dir, "youtube_comments"))
+
+
+QUERIES: dict = {f.__name__: f for f in (p3_found, p3_valid)}
+
+_SQ = "'"
+_TRIM = f"regexp_replace({{}}, '^[{rejects.BLANK}]+|[{rejects.BLANK}]+$', '', 'g')"
+_SENTENCE = rejects.SENTENCE.replace("?P<text>", "").replace("?P<likes>", "").replace("?P<author>", "").replace("?P<time>", "").replace(_SQ, _SQ * 2)
+_P3 = f"""bare AS (SELECT line_no, regexp_replace(coalesce(merged_comment, ''), '^﻿', '') AS r FROM youtube_comments),
+cut AS (SELECT line_no, r, {_TRIM.format("r")} AS t FROM bare),
+field AS (SELECT line_no, r, t, {_TRIM.format("CASE WHEN regexp_matches(r, '" + rejects.ENCLOSED + "') THEN replace(r[2:-2], '\"\"', '\"') ELSE r END")} AS f FROM cut),
+cell AS (SELECT *, regexp_extract(f, '{_SENTENCE}', 1) AS text, regexp_extract(f, '{_SENTENCE}', 2) AS likes, regexp_extract(f, '{_SENTENCE}', 3) AS author, regexp_extract(f, '{_SENTENCE}', 4) AS published FROM field),
+told AS (SELECT line_no, text, likes, author, published, CASE
+  WHEN t = '' OR regexp_matches(t, '(?s)^"[{rejects.BLANK}]*"$') THEN 'empty'
+  WHEN NOT regexp_matches(r, '{rejects.RECORD}') THEN 'quoting'
+  WHEN NOT regexp_matches(r, '{rejects.ENCLOSED}') AND contains(r, ',') THEN 'columns'
+  WHEN NOT regexp_matches(f, '{_SENTENCE}') THEN 'shape'
+  WHEN NOT regexp_matches(likes, '{rejects.LIKES}') THEN 'likes'
+  WHEN NOT regexp_matches(author, '{rejects.AUTHOR}') THEN 'author'
+  WHEN NOT regexp_matches(published, '{rejects.AGE}') THEN 'time' END AS reason FROM cell)"""
+
+SQL: dict = {
+    "p3_found": f"WITH {_P3} SELECT line_no, reason FROM told WHERE reason IS NOT NULL",
+    "p3_valid": f"""WITH {_P3} SELECT line_no, text, CAST(round(CAST(regexp_replace(likes, '[,KMBkmb]', '', 'g') AS DOUBLE) *
+  CASE lower(right(likes, 1)) WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'b' THEN 1e9 ELSE 1 END) AS BIGINT) AS likes, author, published FROM told WHERE reason IS NULL""",
+}
