@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from throng.llm import canon, topn
+from throng.llm import bpe, canon, packing, pieces, topn
 from throng.sources.tables import table
 
 
@@ -20,7 +20,23 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.found(table(spark, sf_dir, "comments"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found)}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.containers(table(spark, sf_dir, "documents"), capacity=packing.CAPACITY)
+
+
+def p7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.summary(p7_containers(spark, sf_dir), packing.CAPACITY)
+
+
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.split_documents(table(spark, sf_dir, "documents"), limit=512, overlap=48)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p6_ids, p7_containers, p7_summary, p8_pieces)}
 
 _P1 = f"""WITH rows AS (SELECT DISTINCT cid AS k, text AS v, {canon.duckdb_canonical("text")} AS c FROM comments WHERE cid IS NOT NULL AND text <> ''),
 names AS (SELECT DISTINCT author AS v, {canon.duckdb_canonical("author")} AS c FROM comments WHERE author <> ''),
