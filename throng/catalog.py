@@ -19,11 +19,16 @@ def p3_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict = {f.__name__: f for f in (p3_found, p3_valid)}
 
 _SQ = "'"
-_TRIM = f"regexp_replace({{}}, '^[{rejects.BLANK}]+|[{rejects.BLANK}]+$', '', 'g')"
+
+
+def _trim(sql: str) -> str:
+    return f"regexp_replace({sql}, '^[{rejects.BLANK}]+|[{rejects.BLANK}]+$', '', 'g')"
+
+
 _SENTENCE = rejects.SENTENCE.replace("?P<text>", "").replace("?P<likes>", "").replace("?P<author>", "").replace("?P<time>", "").replace(_SQ, _SQ * 2)
 _P3 = f"""bare AS (SELECT line_no, regexp_replace(coalesce(merged_comment, ''), '^﻿', '') AS r FROM youtube_comments),
-cut AS (SELECT line_no, r, {_TRIM.format("r")} AS t FROM bare),
-field AS (SELECT line_no, r, t, {_TRIM.format("CASE WHEN regexp_matches(r, '" + rejects.ENCLOSED + "') THEN replace(r[2:-2], '\"\"', '\"') ELSE r END")} AS f FROM cut),
+cut AS (SELECT line_no, r, {_trim("r")} AS t FROM bare),
+field AS (SELECT line_no, r, t, {_trim("CASE WHEN regexp_matches(r, '" + rejects.ENCLOSED + "') THEN replace(r[2:-2], '\"\"', '\"') ELSE r END")} AS f FROM cut),
 cell AS (SELECT *, regexp_extract(f, '{_SENTENCE}', 1) AS text, regexp_extract(f, '{_SENTENCE}', 2) AS likes, regexp_extract(f, '{_SENTENCE}', 3) AS author, regexp_extract(f, '{_SENTENCE}', 4) AS published FROM field),
 told AS (SELECT line_no, text, likes, author, published, CASE
   WHEN t = '' OR regexp_matches(t, '(?s)^"[{rejects.BLANK}]*"$') THEN 'empty'
