@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from throng.llm import bpe, canon, packing, pieces, topn
+from throng.llm import abuse, bpe, canon, packing, pieces, topn
 from throng.sources.tables import table
 
 
@@ -20,6 +20,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.found(table(spark, sf_dir, "comments"))
 
 
+def _abuse_model(spark: SparkSession, sf_dir: str) -> abuse.Model:
+    return abuse.fit(table(spark, sf_dir, "moderation_labels"), table(spark, sf_dir, "abuse_terms"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.found(table(spark, sf_dir, "comments"), _abuse_model(spark, sf_dir))
+
+
+def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.score_comments(table(spark, sf_dir, "comments"), _abuse_model(spark, sf_dir))
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(p4_scores(spark, sf_dir))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -36,7 +52,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_documents(table(spark, sf_dir, "documents"), limit=512, overlap=48)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p6_ids, p7_containers, p7_summary, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p4_found, p4_scores, p4_rates, p6_ids, p7_containers, p7_summary, p8_pieces)}
 
 _P1 = f"""WITH rows AS (SELECT DISTINCT cid AS k, text AS v, {canon.duckdb_canonical("text")} AS c FROM comments WHERE cid IS NOT NULL AND text <> ''),
 names AS (SELECT DISTINCT author AS v, {canon.duckdb_canonical("author")} AS c FROM comments WHERE author <> ''),
