@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from throng.llm import abuse, bpe, canon, packing, pieces, topn
+from throng.llm import abuse, bpe, canon, packing, personal, pieces, topn
 from throng.sources.tables import table
 
 
@@ -36,6 +36,15 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(p4_scores(spark, sf_dir))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.found(table(spark, sf_dir, "comments"))
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    comments = table(spark, sf_dir, "comments")
+    return personal.redact(comments, personal.fit(personal.spans_table(comments))).select("cid", "text_redacted").distinct()
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -52,7 +61,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_documents(table(spark, sf_dir, "documents"), limit=512, overlap=48)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p4_found, p4_scores, p4_rates, p6_ids, p7_containers, p7_summary, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p4_found, p4_scores, p4_rates, p5_found, p5_redacted, p6_ids, p7_containers, p7_summary, p8_pieces)}
 
 _P1 = f"""WITH rows AS (SELECT DISTINCT cid AS k, text AS v, {canon.duckdb_canonical("text")} AS c FROM comments WHERE cid IS NOT NULL AND text <> ''),
 names AS (SELECT DISTINCT author AS v, {canon.duckdb_canonical("author")} AS c FROM comments WHERE author <> ''),
