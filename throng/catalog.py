@@ -3,10 +3,76 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from throng.operators import rejects
+from throng.functions import columns as C
+from throng.operators import aggregates, rejects
+from throng.sources import records
 from throng.sources.tables import table
 
+#: The moment from which ages in the raw records are counted.
+NOW = 1_700_000_000.0
+#: Terms whose mentions are counted.
+TERMS = ["Brask", "Tooth Moss", "animation", "don't @ me", "rain"]
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comments as the exact answers see them: one row for each cid."""
+    return records.corpus(table(spark, sf_dir, "comments"))
+
+
+def normalised_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "raw_records").withColumn("cid", F.concat(F.lit("c"), F.col("record_no")))
+    return records.normalise(raw, NOW)
+
+
+def unique_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).select("cid", "text", "author", "likes", "published", "published_ts", "reply_count", "is_reply", "emojis", "valence")
+
+
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.corpus_stats(corpus(spark, sf_dir))
+
+
+def top_liked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.top_liked(corpus(spark, sf_dir)).select("cid", "author", "likes", "text")
+
+
+def longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.longest(corpus(spark, sf_dir)).select("cid", "length", "text")
+
+
+def author_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.authors(corpus(spark, sf_dir))
+
+
+def top_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.top_authors(corpus(spark, sf_dir))
+
+
+def mention_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.mention_report(corpus(spark, sf_dir), TERMS)
+
+
+def mentioning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.mentioning(corpus(spark, sf_dir), TERMS[1]).select("cid", "likes")
+
+
+def sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.sentiment(corpus(spark, sf_dir))
+
+
+def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.timeline(corpus(spark, sf_dir))
+
+
+def like_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.like_distribution(corpus(spark, sf_dir))
+
+
+def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).select("cid", C.excerpt(F.col("text"), 60).alias("excerpt"), C.mood(F.col("valence")).alias("mood"))
+
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects.found(table(spark, sf_dir, "youtube_comments"))
@@ -16,7 +82,10 @@ def p3_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects.valid(table(spark, sf_dir, "youtube_comments"))
 
 
-QUERIES: dict = {f.__name__: f for f in (p3_found, p3_valid)}
+QUERIES: dict = {f.__name__: f for f in (
+    p3_found, p3_valid, normalised_records, unique_comments, corpus_stats, top_liked, longest, author_totals, top_authors, mention_report, mentioning,
+    sentiment, timeline, like_distribution, excerpts,
+)}
 
 _SQ = "'"
 
@@ -39,8 +108,63 @@ told AS (SELECT line_no, text, likes, author, published, CASE
   WHEN NOT regexp_matches(author, '{rejects.AUTHOR}') THEN 'author'
   WHEN NOT regexp_matches(published, '{rejects.AGE}') THEN 'time' END AS reason FROM cell)"""
 
+CORPUS = """corpus AS (SELECT cid, video_id, coalesce(text, '') AS text, coalesce(author, '') AS author, coalesce(likes, 0) AS likes, coalesce(published, '') AS published, published_ts,
+  coalesce(reply_count, 0) AS reply_count, coalesce(is_reply, false) AS is_reply, coalesce(emojis, '') AS emojis, coalesce(valence, 0.0) AS valence
+  FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY loaded_at DESC NULLS LAST, likes DESC NULLS LAST, reply_count DESC NULLS LAST, published DESC NULLS LAST) AS n FROM comments WHERE cid IS NOT NULL) WHERE n = 1)"""
+_MOOD = f"CASE WHEN valence >= {C.POSITIVE_FROM} THEN 'positive' WHEN valence <= {C.NEGATIVE_TO} THEN 'negative' ELSE 'neutral' END"
+
+
+def _count_sql(col: str) -> str:
+    text = f"regexp_replace(coalesce({col}, ''), '^[{rejects.BLANK}]+|[{rejects.BLANK}]+$', '', 'g')"
+    number = f"try_cast(replace(replace(regexp_extract({text}, '{C.COUNT}', 1), ',', ''), ' ', '') AS DOUBLE)"
+    factor = f"CASE lower(regexp_extract({text}, '{C.COUNT}', 2)) WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'b' THEN 1e9 ELSE 1.0 END"
+    return f"CAST(coalesce(round_even({number} * {factor}, 0), 0) AS BIGINT)"
+
+
+def _known(emojis: str, known: str) -> str:
+    return f"length(regexp_replace({emojis}, '[^{known}]', '', 'g'))"
+
+
+def _mention_sql(term: str) -> str:
+    """Whole words: no letter, digit or underscore on either side."""
+    word = term.lower().replace(_SQ, _SQ * 2)
+    return rf"regexp_matches(lower(text), '(?:^|[^\p{{L}}\p{{M}}\p{{N}}_]){word}(?:$|[^\p{{L}}\p{{M}}\p{{N}}_])')"
+
+
+_EMOJIS = f"regexp_replace(regexp_replace(coalesce(text, ''), '[^{C.EMOJI}]', '', 'g'), '[\\x{{200D}}\\x{{FE0E}}\\x{{FE0F}}]', '', 'g')"
+_UNITS = " ".join(f"WHEN '{u}' THEN {x}" for u, x in C.UNIT_SECONDS.items())
+_NORMAL = f"""SELECT cid, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[{C.EMOJI}]', '', 'g'), '[{rejects.BLANK}]+', ' ', 'g')) AS text, coalesce(author, '') AS author,
+{_count_sql("votes")} AS likes, coalesce(time, '') AS published,
+{NOW} - try_cast(regexp_extract(time, '{C.AGE}', 1) AS DOUBLE) * CASE lower(regexp_extract(time, '{C.AGE}', 2)) {_UNITS} END AS published_ts,
+{_count_sql("replies")} AS reply_count, coalesce(reply, '') <> '' AS is_reply, {_EMOJIS} AS emojis, CASE WHEN up + down > 0 THEN (up - down) / (up + down) ELSE 0.0 END AS valence
+FROM (SELECT *, 'c' || record_no AS cid, {_known(_EMOJIS, C.POSITIVE)} AS up, {_known(_EMOJIS, C.NEGATIVE)} AS down FROM raw_records)"""
+
 SQL: dict = {
     "p3_found": f"WITH {_P3} SELECT line_no, reason FROM told WHERE reason IS NOT NULL",
     "p3_valid": f"""WITH {_P3} SELECT line_no, text, CAST(round(CAST(regexp_replace(likes, '[,KMBkmb]', '', 'g') AS DOUBLE) *
   CASE lower(right(likes, 1)) WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'b' THEN 1e9 ELSE 1 END) AS BIGINT) AS likes, author, published FROM told WHERE reason IS NULL""",
+    "normalised_records": _NORMAL,
+    "unique_comments": f"WITH {CORPUS} SELECT * EXCLUDE (video_id) FROM corpus",
+    "corpus_stats": f"""WITH {CORPUS} SELECT count(*) AS comments, coalesce(sum(likes), 0)::BIGINT AS total_likes, coalesce(avg(likes), 0.0) AS mean_likes, coalesce(median(likes), 0.0) AS median_likes,
+  coalesce(max(likes), 0) AS max_likes, coalesce(avg(length(text)), 0.0) AS mean_length, CASE WHEN sum(likes) > 0 THEN max(likes) / sum(likes) ELSE 0.0 END AS top_comment_like_share FROM corpus""",
+    "top_liked": f"WITH {CORPUS} SELECT cid, author, likes, text FROM corpus ORDER BY likes DESC, cid LIMIT 5",
+    "longest": f"WITH {CORPUS} SELECT cid, length(text) AS length, text FROM corpus ORDER BY length(text) DESC, cid LIMIT 5",
+    "author_totals": f"WITH {CORPUS} SELECT author, count(*) AS comments, sum(likes)::BIGINT AS likes FROM corpus WHERE author <> '' GROUP BY author",
+    "top_authors": f"WITH {CORPUS} SELECT author, count(*) AS comments, sum(likes)::BIGINT AS likes FROM corpus WHERE author <> '' GROUP BY author ORDER BY comments DESC, likes DESC, author LIMIT 5",
+    "mention_report": f"WITH {CORPUS} " + " UNION ALL ".join(
+        f"SELECT '{t.replace(_SQ, _SQ * 2)}' AS term, count(*) FILTER ({_mention_sql(t)}) AS count, count(*) FILTER ({_mention_sql(t)}) / greatest(1, count(*)) AS share, coalesce(sum(likes) FILTER ({_mention_sql(t)}), 0)::BIGINT AS likes FROM corpus" for t in TERMS
+    ),
+    "mentioning": f"WITH {CORPUS} SELECT cid, likes FROM corpus WHERE {_mention_sql(TERMS[1])}",
+    "sentiment": f"WITH {CORPUS} SELECT " + ", ".join(f"count(*) FILTER ({_MOOD} = '{m}') AS {m}, coalesce(sum(likes) FILTER ({_MOOD} = '{m}'), 0)::BIGINT AS like_weighted_{m}" for m in ("positive", "negative", "neutral")) + " FROM corpus",
+    "timeline": f"""WITH {CORPUS}, ends AS (SELECT min(published_ts) AS oldest, greatest(max(published_ts) - min(published_ts), 1e-6) / 6 AS width FROM corpus),
+  frame AS (SELECT range AS bucket, oldest + range * width AS s, oldest + (range + 1) * width AS e FROM range(6), ends),
+  placed AS (SELECT CASE WHEN published_ts IS NULL THEN 5 ELSE least(5, floor((published_ts - oldest) / width)) END AS bucket, likes FROM corpus, ends),
+  counts AS (SELECT bucket, count(*) AS n, sum(likes) AS l FROM placed GROUP BY bucket),
+  labels AS (SELECT bucket, arg_min(published, (-published_ts, cid)) AS label FROM frame JOIN corpus ON published_ts BETWEEN s AND e AND published <> '' GROUP BY bucket)
+  SELECT f.bucket, coalesce(label, 'bucket ' || (f.bucket + 1)) AS label, coalesce(n, 0) AS count, coalesce(l, 0)::BIGINT AS likes, s AS start, e AS "end" FROM frame f LEFT JOIN counts USING (bucket) LEFT JOIN labels USING (bucket)""",
+    "like_distribution": f"""WITH {CORPUS}, x AS (SELECT log10(likes + 1) AS x FROM corpus), e AS (SELECT min(x) AS low, CASE WHEN max(x) > min(x) THEN max(x) ELSE min(x) + 1 END AS high FROM x),
+  n AS (SELECT least(23, floor((x - low) / ((high - low) / 24)))::BIGINT AS bin, count(*) AS n FROM x, e GROUP BY 1)
+  SELECT range AS bin, low + range * ((high - low) / 24) AS start, coalesce(n, 0) AS comments FROM range(24) JOIN e ON true LEFT JOIN n ON n.bin = range""",
+    "excerpts": f"""WITH {CORPUS}, flat AS (SELECT cid, valence, trim(regexp_replace(text, '[{rejects.BLANK}]+', ' ', 'g')) AS t FROM corpus)
+  SELECT cid, CASE WHEN length(t) > 60 THEN substring(t, 1, 59) || '…' ELSE t END AS excerpt, {_MOOD} AS mood FROM flat""",
 }
