@@ -28,7 +28,7 @@ from throng.llm.canon import SAME_SHAPE, canonical_segment
 from throng.session import stage_table
 
 KINDS = ("email", "phone", "id", "address", "name")
-#: Spans that the classifier is fitted on at most; the lowest by a hash of the span.
+#: Spans that the classifier is fitted on at most, drawn by a hash of the span.
 MOST_SPANS = 20_000
 #: Slots of hashed features.
 SLOTS = 1 << 15
@@ -423,7 +423,9 @@ def fit(spans: DataFrame) -> np.ndarray:
     for kind, votes, n in spans.groupBy("kind", "votes").count().collect():
         counts.setdefault(kind, {})[tuple("-0+".index(v) - 1 for v in votes)] = n
     belief = {kind: reliabilities(c) for kind, c in counts.items()}
-    sample = spans.select("kind", "votes", "features", F.xxhash64("value", "votes", "begin").alias("h")).orderBy("h", "kind").limit(MOST_SPANS).collect()
+    part = min(1.0, 0.9 * MOST_SPANS / max(1, sum(n for c in counts.values() for n in c.values())))
+    drawn = F.pmod(F.xxhash64("cid", "kind", "begin", "value"), F.lit(1_000_000)) < int(part * 1_000_000)
+    sample = spans.where(drawn).select("kind", "votes", "features").limit(MOST_SPANS).collect()
     if not sample:
         return np.zeros(SLOTS)
     truth = np.array([belief[r.kind][tuple("-0+".index(v) - 1 for v in r.votes)] for r in sample])
