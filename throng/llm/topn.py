@@ -72,7 +72,7 @@ def _reader(n: int):
                 for grp in {row.first, row.last}:
                     scores = top["score"][top["grp"] == grp].tolist()
                     reached[grp] = sorted([*reached.get(grp, ()), *scores], reverse=True)[:n]
-        return pd.concat(out) if out else pd.DataFrame({"grp": [], "score": [], "tie": []}).astype({"score": "int64"})
+        return pd.concat(out) if out else pd.DataFrame({"grp": [], "score": [], "tie": []}, dtype=object).astype({"score": "int64"})
 
     return read
 
