@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from throng.functions import columns as C
-from throng.operators import aggregates, rejects
+from throng.operators import aggregates, clusters, guard, rejects, search
+from throng.plans import routes
+from throng.session import stage_path, stage_table
 from throng.sources import records
 from throng.sources.tables import table
+from throng.streaming import ingest
 
 #: The moment from which ages in the raw records are counted.
 NOW = 1_700_000_000.0
@@ -82,9 +87,102 @@ def p3_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects.valid(table(spark, sf_dir, "youtube_comments"))
 
 
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for each video, by its title; the videos are a fixed table."""
+    return table(spark, sf_dir, "videos").select(F.col("video_id").alias("question"), F.col("title").alias("words"))
+
+
+def phrased_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of every kind about the figures in the videos' titles."""
+    figure = F.regexp_extract("title", "^([^:]+):", 1)
+    shapes = ["how many comments mention {}?", "how many people talk about the {} and what do they say", "what is the most liked comment about {}", "who commented the most on {}", "what do people think of {}", "any theories about {}", "sentiment breakdown for {}", "when were the comments on {} posted", "average likes on {}", "longest comment on {}", "total number of comments on {}"]
+    phrased = F.explode(F.array(*[F.concat(F.lit(x.split("{}")[0]), figure, F.lit(x.split("{}")[1])) for x in shapes]))
+    return table(spark, sf_dir, "videos").select(phrased.alias("words")).distinct()
+
+
+def routed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routes.route(phrased_questions(spark, sf_dir))
+
+
+def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = corpus(spark, sf_dir).select(C.tokens(search.lexical_text()).alias("w"))
+    each = words.select(F.explode("w").alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")).unionByName(words.select(F.explode(F.array_distinct("w")).alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
+    return each.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+
+def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus(spark, sf_dir).select("cid", search.lexical_text().alias("document"))
+    scored = search.bm25(docs, questions(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return search.best(scored, 10)
+
+
+def dense_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    comments = corpus(spark, sf_dir)
+    asked = questions(spark, sf_dir)
+    return search.best(search.dense(comments, search.question_vectors(comments, asked), 10), 10)
+
+
+def hybrid_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.hybrid(corpus(spark, sf_dir), questions(spark, sf_dir))
+
+
+def fused_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus(spark, sf_dir).where("video_id is not null").select(F.col("video_id").alias("question"), "cid", "likes", "reply_count")
+    ranks = [search.best(rows.select("question", "cid", F.col(c).alias("score")), 50) for c in ("likes", "reply_count")]
+    return search.best(search.fuse(ranks, weights=[1.0, 0.5]).withColumn("score", F.round("score", 12)), 10)
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    comments = stage_table(corpus(spark, sf_dir), "corpus")
+    members = clusters.leader_clusters(comments)
+    return comments, members, stage_table(clusters.summaries(comments, members), "cluster-summaries")
+
+
+def opinion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.leader_clusters(corpus(spark, sf_dir))
+
+
+def cluster_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clusters(spark, sf_dir)[2]
+
+
+def opinion_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    comments, members, summary = _clusters(spark, sf_dir)
+    asked = phrased_questions(spark, sf_dir).where("words like 'any theories%' or words like 'what do people%'").withColumn("question", F.col("words"))
+    return clusters.evidence(comments, members, summary, asked).drop("exemplar_cids")
+
+
+def like_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = corpus(spark, sf_dir).where("video_id is not null").groupBy("video_id").agg(F.max("likes").alias("best"))
+    ratio = F.when(F.col("best") <= 0, 1.0).otherwise(F.col("likes") / F.col("best"))
+    return corpus(spark, sf_dir).join(best, "video_id").select("cid", ratio.alias("ratio"))
+
+
+def checked_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer for each video that states its comments and cites its best one
+    and one that no video has."""
+    by = corpus(spark, sf_dir).where("video_id is not null").groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.max_by("cid", F.struct("likes", "cid")).alias("best"))
+    text = F.concat(F.col("n").cast("string"), F.lit(" comments ["), F.col("best"), F.lit("] and [c99999999] , 12% more"))
+    told = by.select("video_id", text.alias("text"), F.array("best").alias("allowed_ids"), F.array(F.col("n").cast("double")).alias("allowed_numbers"))
+    return guard.verify(told).select("video_id", "clean", F.array_join("citations", " ").alias("cited"), F.array_join("invalid", " ").alias("invalid"), F.array_join("unsupported", " ").alias("unsupported"), "grounded")
+
+
+def streamed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw records normalised as a stream of files, then read back."""
+    path = f"{sf_dir}/raw_records.parquet"
+    rows = table(spark, sf_dir, "raw_records")
+    whole = os.path.isdir(path.removeprefix("file://"))
+    read = spark.readStream.schema(rows.schema).option("pathGlobFilter", "*.parquet" if whole else "raw_records.parquet")
+    raw = read.parquet(path if whole else sf_dir).withColumn("cid", F.concat(F.lit("c"), F.col("record_no")))
+    out = stage_path(spark, "stream")
+    ingest.append(ingest.normalised(raw, NOW), f"{out}/rows", f"{out}/state").awaitTermination()
+    return spark.read.schema(records.COMMENT).parquet(f"{out}/rows")
+
+
 QUERIES: dict = {f.__name__: f for f in (
     p3_found, p3_valid, normalised_records, unique_comments, corpus_stats, top_liked, longest, author_totals, top_authors, mention_report, mentioning,
-    sentiment, timeline, like_distribution, excerpts,
+    sentiment, timeline, like_distribution, excerpts, routed_questions, term_frequencies, bm25_top, dense_top, hybrid_top, fused_ranks,
+    opinion_clusters, cluster_summaries, opinion_evidence, like_ratios, checked_answers, streamed_records,
 )}
 
 _SQ = "'"
@@ -139,6 +237,23 @@ _NORMAL = f"""SELECT cid, trim(regexp_replace(regexp_replace(coalesce(text, ''),
 {_count_sql("replies")} AS reply_count, coalesce(reply, '') <> '' AS is_reply, {_EMOJIS} AS emojis, CASE WHEN up + down > 0 THEN (up - down) / (up + down) ELSE 0.0 END AS valence
 FROM (SELECT *, 'c' || record_no AS cid, {_known(_EMOJIS, C.POSITIVE)} AS up, {_known(_EMOJIS, C.NEGATIVE)} AS down FROM raw_records)"""
 
+_STOP = ", ".join(f"'{w}'" for w in C.STOPWORDS)
+_TOKENS = "regexp_extract_all(lower({}), '[a-z0-9'']+')"
+_BM25 = f"""docs AS (SELECT cid, {_TOKENS.format("text || ' ' || author")} AS w FROM corpus), sizes AS (SELECT cid, len(w) AS l FROM docs), n AS (SELECT count(*) AS n, avg(l) AS mean FROM sizes),
+asked AS (SELECT video_id AS question, term, count(*) AS qtf FROM (SELECT video_id, unnest({_TOKENS.format("title")}) AS term FROM videos) WHERE term NOT IN ({_STOP}) GROUP BY ALL),
+words AS (SELECT cid, unnest(w) AS term FROM docs), tf AS (SELECT cid, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+idf AS (SELECT term, greatest(1e-6, ln(1 + (max(n) - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM tf, n GROUP BY term),
+scored AS (SELECT question, cid, round(sum(qtf * idf * tf * {search.K1 + 1} / (tf + {search.K1} * (1 - {search.B} + {search.B} * l / mean))), 6) AS score FROM tf JOIN asked USING (term) JOIN idf USING (term) JOIN sizes USING (cid), n GROUP BY question, cid)"""
+_RE_COUNT_ALL = r"how many comments?\b|(?:total|overall)\s+(?:number|count)\s+of\s+comments?|\bcomment count\b|how many people commented"
+_PATTERNS = [(n, p if n != "count_all" else _RE_COUNT_ALL) for n, p in routes.INTENTS]
+_SHAPES = ["how many comments mention {}?", "how many people talk about the {} and what do they say", "what is the most liked comment about {}", "who commented the most on {}", "what do people think of {}", "any theories about {}", "sentiment breakdown for {}", "when were the comments on {} posted", "average likes on {}", "longest comment on {}", "total number of comments on {}"]
+_ROUTED = f"""figures AS (SELECT DISTINCT regexp_extract(title, '^([^:]+):', 1) AS f FROM videos), asked AS (SELECT DISTINCT unnest([{", ".join("'" + x.split("{}")[0] + "' || f || '" + x.split("{}")[1] + "'" for x in _SHAPES)}]) AS words FROM figures),
+t AS (SELECT words, lower(trim(words)) AS t FROM asked),
+i AS (SELECT words, t, CASE {" ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in _PATTERNS)} END AS intent, regexp_matches(t, '{routes.CONSENSUS}') AS shared, regexp_matches(t, '{routes.ELABORATION}') AS more FROM t),
+k AS (SELECT *, CASE WHEN intent IS NOT NULL AND (shared OR more) THEN 'HYBRID' WHEN intent IS NOT NULL THEN 'AGGREGATE' WHEN shared THEN 'CONSENSUS' ELSE 'SEMANTIC' END AS kind,
+  regexp_replace(regexp_extract(t, '{routes.INTENTS[0][1]}', 1), '[?.!,]+$', '') AS bare FROM i),
+c AS (SELECT *, list_filter(string_split_regex(bare, '\\s+'), lambda w: w <> '' AND w NOT IN ({", ".join(f"'{w}'" for w in routes.FILLER)})) AS kept, shared AND kind <> 'AGGREGATE' AS heavy FROM k)"""
+
 SQL: dict = {
     "p3_found": f"WITH {_P3} SELECT line_no, reason FROM told WHERE reason IS NOT NULL",
     "p3_valid": f"""WITH {_P3} SELECT line_no, text, CAST(round(CAST(regexp_replace(likes, '[,KMBkmb]', '', 'g') AS DOUBLE) *
@@ -167,4 +282,15 @@ SQL: dict = {
   SELECT range AS bin, low + range * ((high - low) / 24) AS start, coalesce(n, 0) AS comments FROM range(24) JOIN e ON true LEFT JOIN n ON n.bin = range""",
     "excerpts": f"""WITH {CORPUS}, flat AS (SELECT cid, valence, trim(regexp_replace(text, '[{rejects.BLANK}]+', ' ', 'g')) AS t FROM corpus)
   SELECT cid, CASE WHEN length(t) > 60 THEN substring(t, 1, 59) || '…' ELSE t END AS excerpt, {_MOOD} AS mood FROM flat""",
+    "routed_questions": f"""WITH {_ROUTED} SELECT words, intent, kind, CASE WHEN intent = 'mention_count' THEN CASE WHEN len(kept) > 0 THEN array_to_string(kept, ' ') ELSE bare END ELSE '' END AS term,
+  CASE WHEN heavy THEN 0.25 ELSE 0.6 END::DOUBLE AS salience_weight, CASE WHEN heavy THEN 0.4 ELSE 0.2 END::DOUBLE AS support_weight, CASE WHEN heavy THEN 0.35 ELSE 0.2 END::DOUBLE AS endorsement_weight FROM c""",
+    "term_frequencies": f"""WITH {CORPUS}, w AS (SELECT cid, unnest({_TOKENS.format("text || ' ' || author")}) AS term FROM corpus) SELECT term, count(*) AS tf, count(DISTINCT cid) AS df FROM w GROUP BY term""",
+    "bm25_top": f"WITH {CORPUS}, {_BM25} SELECT question, cid, score, place FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, cid) AS place FROM scored) WHERE place <= 10",
+    "fused_ranks": f"""WITH {CORPUS}, a AS (SELECT video_id, cid, row_number() OVER (PARTITION BY video_id ORDER BY likes DESC, cid) AS p, row_number() OVER (PARTITION BY video_id ORDER BY reply_count DESC, cid) AS q FROM corpus WHERE video_id IS NOT NULL),
+  f AS (SELECT video_id AS question, cid, round(CASE WHEN p <= 50 THEN 1.0::DOUBLE / (60 + p) ELSE 0 END + CASE WHEN q <= 50 THEN 0.5::DOUBLE / (60 + q) ELSE 0 END, 12) AS score FROM a WHERE p <= 50 OR q <= 50)
+  SELECT question, cid, score, place FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, cid) AS place FROM f) WHERE place <= 10""",
+    "like_ratios": f"WITH {CORPUS} SELECT cid, CASE WHEN max(likes) OVER (PARTITION BY video_id) <= 0 THEN 1.0 ELSE likes / max(likes) OVER (PARTITION BY video_id) END::DOUBLE AS ratio FROM corpus WHERE video_id IS NOT NULL",
+    "checked_answers": f"""WITH {CORPUS}, b AS (SELECT video_id, count(*) AS n, arg_max(cid, (likes, cid)) AS best FROM corpus WHERE video_id IS NOT NULL GROUP BY video_id)
+  SELECT video_id, n || ' comments [' || best || '] and, 12% more' AS clean, best AS cited, 'c99999999' AS invalid, CASE WHEN abs(n - 12) <= 1 THEN '' ELSE '12%' END AS unsupported, false AS grounded FROM b""",
+    "streamed_records": _NORMAL,
 }

@@ -15,6 +15,8 @@ computed in one way everywhere, so ties are exact.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -147,7 +149,7 @@ def leader_clusters(comments: DataFrame, corpus: str | None = "video_id", thresh
     joined = met.applyInPandas(_join(dim), "corpus string, rank string, lead string, sim double").where("sim > -2").groupBy("corpus", "rank").agg(F.min_by("lead", F.struct(-F.col("sim"), F.col("lead"))).alias("lead"))
     every = joined.unionByName(leads.select("corpus", "rank", F.col("rank").alias("lead")))
     numbers = leads.select("corpus", F.col("rank").alias("lead"), "cluster_id", F.substring("rank", 22, 1_000_000).alias("leader"))
-    return every.join(numbers, ["corpus", "lead"]).select(F.substring("rank", 22, 1_000_000).alias("cid"), "corpus", "cluster_id", "leader")
+    return stage_table(every.join(numbers, ["corpus", "lead"]).select(F.substring("rank", 22, 1_000_000).alias("cid"), "corpus", "cluster_id", "leader"), "cluster-members")
 
 
 def summaries(comments: DataFrame, members: DataFrame, max_quotes: int = 5) -> DataFrame:
@@ -168,27 +170,34 @@ def summaries(comments: DataFrame, members: DataFrame, max_quotes: int = 5) -> D
 
 
 def centroid_scores(comments: DataFrame, members: DataFrame, vectors: dict[str, np.ndarray]) -> DataFrame:
-    """``question, corpus, cluster_id, score``: cosine of each cluster's mean unit
-    vector with each question.
-
-    A mean's dot product is the mean of dot products; only the length of the mean
-    needs its slots, which are summed sparsely.
-    """
+    """``question, corpus, cluster_id, score``: positive cosines of each cluster's
+    mean unit vector with each question. Means are summed slot by slot, so a
+    cluster of any size is spread over tasks and ends as at most ``dim`` numbers."""
     dim = next((len(v) for v in vectors.values()), search.DIM)
     vector = search.embedding(C.embedding_text(F.col("text"), F.col("emojis")), dim)
     rows = comments.select("cid", vector.alias("v")).join(members.select("cid", "corpus", "cluster_id"), "cid").where("v.norm2 > 0")
     slots = rows.select("corpus", "cluster_id", F.sqrt(F.col("v.norm2").cast("double")).alias("len"), F.explode(F.arrays_zip("v.slots", "v.counts")).alias("x"))
     sums = slots.groupBy("corpus", "cluster_id", F.col("x.slots").alias("slot")).agg(F.sum(F.col("x.counts") / F.col("len")).alias("w"))
-    asked = [F.struct(F.lit(q).alias("question"), F.element_at(F.array(*[F.lit(float(x)) for x in v]), F.col("slot") + 1).alias("q")) for q, v in sorted(vectors.items())]
-    spread = sums.select("corpus", "cluster_id", "w", F.explode(F.array(*asked)).alias("a"))
-    out = spread.groupBy("a.question", "corpus", "cluster_id").agg(F.sum(F.col("w") * F.col("a.q")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return out.select("question", "corpus", "cluster_id", F.when(F.col("len") > 0, F.col("dot") / F.col("len")).otherwise(0.0).alias("score"))
+    means = sums.groupBy("corpus", "cluster_id").agg(F.collect_list(F.struct("slot", "w")).alias("mean"))
+    names = sorted(vectors)
+    matrix = np.stack([vectors[q] for q in names]) if names else np.zeros((0, dim))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.zeros((len(batch), dim))
+            for i, mean in enumerate(batch["mean"]):
+                x[i, [m["slot"] for m in mean]] = [m["w"] for m in mean]
+            size = np.linalg.norm(x, axis=1)
+            found = x @ matrix.T / np.where(size > 0, size, 1)[:, None]
+            k, q = np.nonzero(found > 1e-12)
+            yield pd.DataFrame({"question": np.array(names, dtype=object)[q], "corpus": batch["corpus"].to_numpy(dtype=object)[k], "cluster_id": batch["cluster_id"].to_numpy()[k], "score": found[k, q]})
+
+    return means.mapInPandas(score, "question string, corpus string, cluster_id long, score double")
 
 
-def ratio_to_best(value: F.Column, over: Window) -> F.Column:
-    """A value as a part of the greatest one; all 1 where that is nothing."""
+def ratio(value: F.Column, best: F.Column) -> F.Column:
+    """A value as a part of the greatest one; 1 for all where that is nothing."""
     clamped = F.greatest(value, F.lit(0.0))
-    best = F.max(clamped).over(over)
     return F.when(best <= 1e-12, F.lit(1.0)).otherwise(clamped / best)
 
 
@@ -214,10 +223,15 @@ def evidence(comments: DataFrame, members: DataFrame, clusters: DataFrame, quest
     content = questions.select("question", (F.size(C.query_tokens(F.col("words"))) > 0).alias("content"))
     per = Window.partitionBy("question")
     rows = keyed.crossJoin(F.broadcast(search.few(content))).join(fused, ["question", "key"], "left")
-    rows = rows.withColumn("salience", F.when(F.col("content"), ratio_to_best(F.coalesce("fused", F.lit(0.0)), per)).otherwise(1.0))
+    # the greatest values come from aggregations: no window holds all clusters
+    best = fused.groupBy("question").agg(F.max("fused").alias("best_fused"))
+    most = clusters.agg(F.max(F.log1p(F.col("support").cast("double"))).alias("best_support"), F.max(F.log1p(F.col("endorsement").cast("double"))).alias("best_likes"))
+    rows = rows.join(F.broadcast(best), "question", "left").crossJoin(F.broadcast(most))
+    salience = ratio(F.coalesce("fused", F.lit(0.0)), F.coalesce("best_fused", F.lit(0.0)))
+    rows = rows.withColumn("salience", F.when(F.col("content"), salience).otherwise(1.0))
+    social = 1 + a * ratio(F.log1p(F.col("support").cast("double")), F.col("best_support")) + b * ratio(F.log1p(F.col("endorsement").cast("double")), F.col("best_likes"))
+    rows = rows.withColumn("score", ((1 - g) + g * F.col("salience")) * social)
     total = comments.agg(F.greatest(F.lit(1), F.count(F.lit(1))).alias("n"), F.greatest(F.lit(1), F.sum("likes")).alias("l"))
-    social = 1 + a * ratio_to_best(F.log1p(F.col("support").cast("double")), per) + b * ratio_to_best(F.log1p(F.col("endorsement").cast("double")), per)
-    rows = rows.withColumn("score", ((1 - g) + g * ratio_to_best(F.col("salience"), per)) * social)
     place = F.row_number().over(per.orderBy(F.desc(F.round("score", 12)), "key"))
     top = rows.withColumn("place", place.cast("long")).where(F.col("place") <= limit).crossJoin(F.broadcast(total))
     top = top.withColumn("support_share", F.col("support") / F.col("n")).withColumn("endorsement_share", F.col("endorsement") / F.col("l"))
@@ -244,4 +258,4 @@ def coverage(found: DataFrame, comments: DataFrame) -> DataFrame:
     return found.groupBy("question").agg(F.sum("support").alias("s")).crossJoin(F.broadcast(total)).select("question", (F.col("s") / F.col("n")).alias("coverage"))
 
 
-__all__ = ["centroid_scores", "coverage", "evidence", "leader_clusters", "ratio_to_best", "similarities", "summaries"]
+__all__ = ["centroid_scores", "coverage", "evidence", "leader_clusters", "ratio", "similarities", "summaries"]

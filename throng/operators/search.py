@@ -161,27 +161,31 @@ def question_vectors(comments: DataFrame, questions: DataFrame, dim: int = DIM)
 def dense(comments: DataFrame, vectors: dict[str, np.ndarray], n: int | None, doc: str = "cid") -> DataFrame:
     """``question, <doc>, score``: cosine of each comment with each question.
 
-    With ``n`` every task keeps its ``n`` best of each question only, ties by the
-    document included exactly; None keeps all rows.
+    With ``n`` only the ``n`` best of each question in a batch of rows go on, ties
+    by the document; None keeps all rows.
     """
     names = sorted(vectors)
     matrix = np.stack([vectors[q] for q in names]) if names else np.zeros((0, DIM))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, pd.DataFrame] = {}
         for batch in batches:
-            docs, found = batch["doc"].to_numpy(), np.zeros((len(batch), len(names)))
+            docs = batch["doc"].to_numpy(dtype=object)
+            x, length = np.zeros((len(batch), matrix.shape[1])), np.ones(len(batch))
             for i, words in enumerate(batch["words"]):
                 slots, counts, norm2 = sparse(list(words), matrix.shape[1])
-                if norm2:
-                    found[i] = matrix[:, slots] @ np.array(counts, dtype=float) / math.sqrt(norm2)
-            for j, q in enumerate(names):
-                part = pd.DataFrame({"question": q, "doc": docs, "score": np.round(found[:, j], 12)})
-                if n is None:
-                    yield part
-                else:
-                    held[q] = pd.concat([held[q], part] if q in held else [part]).sort_values(["score", "doc"], ascending=[False, True]).head(n)
-        yield from held.values()
+                x[i, slots] = counts
+                length[i] = math.sqrt(norm2) or 1.0
+            found = np.round(x @ matrix.T / length[:, None], 12)
+            rows = []
+            for j in range(len(names)):
+                col = found[:, j]
+                at = np.arange(len(col))
+                if n is not None and n < len(col):
+                    at = np.flatnonzero(col >= np.partition(col, -n)[-n])
+                    at = at[np.lexsort((docs[at].astype(str), -col[at]))[:n]]
+                rows.append(pd.DataFrame({"question": names[j], "doc": docs[at], "score": col[at]}))
+            if rows:
+                yield pd.concat(rows)
 
     text = C.embedding_text(F.col("text"), F.col("emojis")) if "emojis" in comments.columns else F.col("text")
     rows = comments.select(F.col(doc).cast("string").alias("doc"), C.tokens(text).alias("words"))
