@@ -13,10 +13,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from throng.llm.bpe import token_counts
 from throng.session import stage_table
@@ -27,7 +28,7 @@ CAPACITY = 4096
 LOAD = 50_000
 #: A container with no more room than this part of the capacity is closed.
 CLOSED = 0.002
-PACKED = "doc_id long, part long, tokens long, container long, room long"
+_PACKED = [T.StructField(c, T.LongType()) for c in ("part", "tokens", "container", "room")]
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -123,32 +124,32 @@ def _exchange(bins: list[list[int]], size: list[int], fill: dict[int, int], capa
 
 
 def _pack(capacity: int, round_no: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        held: list[pd.DataFrame] = []
+        held: list[pa.RecordBatch] = []
         load = 0
 
-        def packed() -> pd.DataFrame:
+        def packed() -> Iterator[pa.RecordBatch]:
             nonlocal load
-            items = pd.concat(held, ignore_index=True)
+            items = pa.Table.from_batches(held).combine_chunks()
             held.clear()
             sizes = items["tokens"].to_numpy()
             bins = local_search(best_fit(sizes, capacity), sizes, capacity)
             order = np.concatenate([np.array(b, dtype=np.int64) for b in bins])
             number = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
-            out = items.iloc[order][["doc_id", "part", "tokens"]].copy()
-            out["container"] = ((round_no * 10**6 + part) * 10**4 + load) * 10**5 + number
+            container = ((round_no * 10**6 + part) * 10**4 + load) * 10**5 + number
+            room = capacity - np.bincount(number, weights=sizes[order]).astype(np.int64)[number]
             load += 1
-            out["room"] = capacity - np.bincount(number, weights=sizes[order]).astype(np.int64)[number]
-            return out
+            out = items.take(pa.array(order)).select(["doc_id", "part", "tokens"])
+            yield from out.append_column("container", pa.array(container)).append_column("room", pa.array(room)).combine_chunks().to_batches()
 
         for batch in batches:
-            for at in range(0, len(batch), LOAD):
-                held.append(batch.iloc[at : at + LOAD])
-                if sum(map(len, held)) >= LOAD:
-                    yield packed()
-        if sum(map(len, held)):
-            yield packed()
+            for at in range(0, batch.num_rows, LOAD):
+                held.append(batch.slice(at, LOAD))
+                if sum(b.num_rows for b in held) >= LOAD:
+                    yield from packed()
+        if sum(b.num_rows for b in held):
+            yield from packed()
 
     return run
 
@@ -168,9 +169,10 @@ def pack_items(items: DataFrame, capacity: int) -> DataFrame:
     last_part = F.greatest(F.lit(0), F.floor((F.col("all") - 1) / capacity)).cast("long")
     parts = items.select("doc_id", size.alias("all")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last_part)))
     todo = parts.select("doc_id", "part", F.least(F.lit(capacity), F.col("all") - F.col("part") * capacity).cast("long").alias("tokens"))
+    schema = T.StructType([todo.schema["doc_id"], *_PACKED])
     done, round_no, loads = None, 1, 0
     while True:
-        placed = stage_table(todo.mapInPandas(_pack(capacity, round_no), PACKED), f"p7-round{round_no}")
+        placed = stage_table(todo.mapInArrow(_pack(capacity, round_no), schema), f"p7-round{round_no}")
         if loads == 1:
             return done.unionByName(placed)
         shut = placed.where(F.col("room") <= CLOSED * capacity)

@@ -72,7 +72,7 @@ ADDRESS_RIGHT = re.compile(
     re.I,
 )
 ADDRESS_LEFT = re.compile(
-    rf"(?<![\w-])(?:(?:{_STREET_ES})\.? (?:(?:de las|de los|de la|del|de|da|do|della|del) )?{_WORD}(?: (?:(?:de|del|de la) )?{_WORD})?,? ?(?:n[º°.]\.? ?|núm\.? |no\. )?|(?:(?:alte|neue|kleine|große|lange|obere|untere|hintere) )?{_LETTER}{{3,}}(?:-{_LETTER}+)*(?:{_STREET_DE}) |(?:am|an der|an den|im|in der|zum|zur|auf dem|auf der|unter den|hinter dem) {_LETTER}{{4,}} )(?P<number>\d{{1,4}}(?: ?[a-h](?![\w'’]))?)(?![\w]|:\d)",
+    rf"(?<![\w-])(?:(?:{_STREET_ES})\.? (?:(?:de las|de los|de la|del|de|da|do|della|del) )?{_WORD}(?: (?:(?:de|del|de la) )?{_WORD})?,? ?(?:n[º°.]\.? ?|núm\.? |no\. )?|(?:(?:alte|neue|kleine|große|lange|obere|untere|hintere)[rns]? {_LETTER}*|{_LETTER}{{3,}}(?:-{_LETTER}+)*)(?:{_STREET_DE}) |(?:am|an der|an den|im|in der|zum|zur|auf dem|auf der|unter den|hinter dem) {_LETTER}{{4,}} )(?P<number>\d{{1,4}}(?: ?[a-h](?![\w'’]))?)(?![\w]|:\d)",
     re.I,
 )
 NAME = re.compile(rf"(?<![\w@#'’-])(?P<given>{_LETTER}{{2,}}(?:-{_LETTER}{{2,}})?) (?P<middle>(?:{_LETTER}\.? )*)(?P<family>(?:(?:van der|van|von|de la|de|di|da|del|le|al|bin|mc|o['’]) ?)?{_LETTER}{{3,}}(?:['’-]{_LETTER}{{2,}})*)(?![\w@])")
