@@ -163,6 +163,7 @@ class Model:
         self.weights = np.zeros((1, len(CATEGORIES)))
         self.bias = np.zeros(len(CATEGORIES))
         self.alike: dict[str, str] = {}
+        self.plain = Lexicon({}, frozenset())
         self.seen: dict[str, int] = {}
 
     def __getstate__(self) -> dict:
@@ -183,6 +184,8 @@ class Model:
             return f"<{hit[1]}>"
         if low in self.vocabulary or low in self.alike:
             return self.alike.get(low, low)
+        if (not low.isalpha() or _RUN.search(low)) and (word := self.plain.match(low)):
+            return self.alike.get(word[0], word[0])
         if bare[0].isdigit():
             return "<number>"
         return "<name>" if bare[0].isupper() or bare[0] == "@" else "<word>"
@@ -340,6 +343,10 @@ def train(labels: pd.DataFrame, terms: pd.DataFrame, copies: int = 3, steps: int
     words = [*special, *sorted(w for w, n in counts.items() if n > 1 and w not in special)]
     model.vocabulary = {w: k for k, w in enumerate(words, 2)}
     chosen = _anchors(symbols, counts, cases, terms_of, special)
+    # other words of cases may be disguised too
+    known = lexicon.terms.keys()
+    model.plain = Lexicon({w: "word" for w, n in usual.items() if n > 2 and len(w) > 3 and w.isalpha() and not harmless[w] and w not in known}, frozenset())
+    model.seen.clear()
     model.anchors = np.array([False, False, *(w in chosen for w in words)])
     rng = np.random.default_rng(seed)
     plain = [w for w, c in rows if c == "none" and "<e>" not in w and w != ["<empty>"]]
