@@ -115,8 +115,8 @@ def to_csv(comments: DataFrame, path: str) -> None:
 
 def corpus(comments: DataFrame) -> DataFrame:
     """One row for each cid, the last loaded, with defaults for missing cells."""
-    order = F.col("loaded_at").desc_nulls_last() if "loaded_at" in comments.columns else F.lit(1)
-    last = Window.partitionBy("cid").orderBy(order, F.desc("likes"), F.desc("reply_count"), F.desc("published"))
+    order = [F.col(c).desc_nulls_last() for c in ("loaded_at", "likes", "reply_count", "published") if c in comments.columns]
+    last = Window.partitionBy("cid").orderBy(*order)
     blank = {"text": "", "author": "", "published": "", "emojis": "", "likes": 0, "reply_count": 0, "valence": 0.0, "is_reply": False}
     rows = comments.where("cid is not null").withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
     return rows.fillna({k: v for k, v in blank.items() if k in comments.columns})
@@ -148,26 +148,32 @@ def load(spark: SparkSession, path: str, dim: int) -> DataFrame:
     return spark.read.parquet(f"{path}/comments")
 
 
-class FetchedComments(DataSource):
-    """Comments that a function fetches, for ``spark.read.format("fetched")``.
+def from_pages(spark: SparkSession, fetch: Callable[[int], Iterable[dict]], pages: int, now: float, limit: int = 500) -> DataFrame:
+    """Comments that ``fetch(page)`` gives, at most ``limit`` (one at least).
 
-    Set ``FetchedComments.fetch`` to a function of a page number that gives the
-    page's records, and the option ``pages``; each page is a partition.
+    Pages are fetched by the executors, a page in a partition; no client for a
+    network comes with this. Refused if nothing comes.
     """
-
-    fetch: Callable[[int], Iterable[dict]] | None = None
-
-    @classmethod
-    def name(cls) -> str:
-        return "fetched"
-
-    def schema(self) -> str:
-        return ", ".join(f"{n} string" for n in ("page", *RAW))
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        if type(self).fetch is None:
-            raise ImportError("no fetcher is set; downloading needs one")
-        return _Pages(type(self).fetch, int(self.options.get("pages", "1")))
+    if pages < 1:
+        raise ValueError("no pages")
+
+    class Fetched(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "fetched_comments"
+
+        def schema(self) -> str:
+            return ", ".join(f"{n} string" for n in ("page", *RAW))
+
+        def reader(self, schema: T.StructType) -> DataSourceReader:
+            return _Pages(fetch, pages)
+
+    spark.dataSource.register(Fetched)
+    raw = spark.read.format("fetched_comments").load().withColumn("votes", F.coalesce("votes", "likes")).drop("likes")
+    kept = _ids(raw).where(F.col("n") < max(1, limit))
+    if kept.isEmpty():
+        raise ValueError("nothing was fetched")
+    return normalise(kept, now)
 
 
 class _Pages(DataSourceReader):
