@@ -188,3 +188,26 @@ def test_r_precision(spark):
 def test_empty_corpus_is_refused(corpus):
     with pytest.raises(ValueError):
         Comments(corpus.limit(0))
+
+
+def test_evaluation(asked, corpus):
+    cases = evaluate.exact_cases(corpus, ("rain", "harbour"))
+    assert ("how many comments mention harbour?", "6", "mentions") in cases
+    assert evaluate.accuracy(cases, lambda q: asked.ask(q).text)[:2] == (6, 6)
+    assert evaluate.accuracy(cases, lambda q: evaluate.nearest_texts(corpus, q))[0] < 6
+
+
+def test_opinion_share(spark, corpus, asked):
+    q = spark.createDataFrame([("q", "the slow editing")], "question string, words string")
+    found = clusters.evidence(corpus, *asked._clustered(), q)
+    rows = clusters.opinion_share(found, 2).orderBy("place").collect()
+    assert len(rows) == 2 and rows[0].people == round(300 / 11, 4)
+    assert clusters.coverage(found.where("place = 1"), corpus).first().coverage == 3 / 11
+
+
+def test_facade_constructors(spark, corpus, tmp_path):
+    Comments(corpus).save(str(tmp_path / "i"))
+    again = Comments.load(spark, str(tmp_path / "i"))
+    assert again.get("c4")["likes"] == 1000 and again.get("zz") is None
+    one_row = Comments.from_records(spark, [{"text": "🔥🔥", "votes": "500", "author": "@a"}], 0.0)
+    assert "500" in one_row.ask("most liked comment").text and one_row.ask("what do people think").text

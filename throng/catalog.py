@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from throng.functions import columns as C
-from throng.operators import aggregates, clusters, guard, rejects, search
+from throng.operators import aggregates, clusters, evaluate, guard, rejects, search
 from throng.plans import routes
 from throng.session import stage_path, stage_table
 from throng.sources import records
@@ -152,6 +152,22 @@ def opinion_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.evidence(comments, members, summary, asked).drop("exemplar_cids")
 
 
+def opinion_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.opinion_share(opinion_evidence(spark, sf_dir))
+
+
+def bm25_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-precision of BM25 for the figures of the titles; relevant are comments
+    whose text mentions the figure."""
+    comments = corpus(spark, sf_dir)
+    figures = [r.f for r in table(spark, sf_dir, "videos").select(F.regexp_extract("title", "^([^:]+):", 1).alias("f")).distinct().orderBy("f").collect()]
+    asked = spark.createDataFrame([(f, f) for f in figures], "question string, words string")
+    said = F.explode(F.filter(F.array(*[F.when(C.mentions(F.col("text"), F.lit(f)), F.lit(f)) for f in figures]), lambda x: x.isNotNull()))
+    relevant = comments.select(said.alias("question"), "cid")
+    scored = search.bm25(comments.select("cid", F.col("text").alias("document")), asked).withColumn("score", F.round("score", 6))
+    return evaluate.r_precision(search.best(scored, 2**31 - 1), relevant)
+
+
 def like_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = corpus(spark, sf_dir).where("video_id is not null").groupBy("video_id").agg(F.max("likes").alias("best"))
     ratio = F.when(F.col("best") <= 0, 1.0).otherwise(F.col("likes") / F.col("best"))
@@ -182,7 +198,7 @@ def streamed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict = {f.__name__: f for f in (
     p3_found, p3_valid, normalised_records, unique_comments, corpus_stats, top_liked, longest, author_totals, top_authors, mention_report, mentioning,
     sentiment, timeline, like_distribution, excerpts, routed_questions, term_frequencies, bm25_top, dense_top, hybrid_top, fused_ranks,
-    opinion_clusters, cluster_summaries, opinion_evidence, like_ratios, checked_answers, streamed_records,
+    opinion_clusters, cluster_summaries, opinion_evidence, opinion_share, bm25_precision, like_ratios, checked_answers, streamed_records,
 )}
 
 _SQ = "'"
@@ -239,11 +255,18 @@ FROM (SELECT *, 'c' || record_no AS cid, {_known(_EMOJIS, C.POSITIVE)} AS up, {_
 
 _STOP = ", ".join(f"'{w}'" for w in C.STOPWORDS)
 _TOKENS = "regexp_extract_all(lower({}), '[a-z0-9'']+')"
-_BM25 = f"""docs AS (SELECT cid, {_TOKENS.format("text || ' ' || author")} AS w FROM corpus), sizes AS (SELECT cid, len(w) AS l FROM docs), n AS (SELECT count(*) AS n, avg(l) AS mean FROM sizes),
-asked AS (SELECT video_id AS question, term, count(*) AS qtf FROM (SELECT video_id, unnest({_TOKENS.format("title")}) AS term FROM videos) WHERE term NOT IN ({_STOP}) GROUP BY ALL),
+
+
+def _bm25_sql(document: str, question: str, words: str, source: str) -> str:
+    return f"""docs AS (SELECT cid, {_TOKENS.format(document)} AS w FROM corpus), sizes AS (SELECT cid, len(w) AS l FROM docs), n AS (SELECT count(*) AS n, avg(l) AS mean FROM sizes),
+asked AS (SELECT {question} AS question, term, count(*) AS qtf FROM (SELECT {question}, unnest({_TOKENS.format(words)}) AS term FROM {source}) WHERE term NOT IN ({_STOP}) GROUP BY ALL),
 words AS (SELECT cid, unnest(w) AS term FROM docs), tf AS (SELECT cid, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
 idf AS (SELECT term, greatest(1e-6, ln(1 + (max(n) - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM tf, n GROUP BY term),
 scored AS (SELECT question, cid, round(sum(qtf * idf * tf * {search.K1 + 1} / (tf + {search.K1} * (1 - {search.B} + {search.B} * l / mean))), 6) AS score FROM tf JOIN asked USING (term) JOIN idf USING (term) JOIN sizes USING (cid), n GROUP BY question, cid)"""
+
+
+_BM25 = _bm25_sql("text || ' ' || author", "video_id", "title", "videos")
+_FIGURES = "figures AS (SELECT DISTINCT regexp_extract(title, '^([^:]+):', 1) AS f FROM videos)"
 _RE_COUNT_ALL = r"how many comments?\b|(?:total|overall)\s+(?:number|count)\s+of\s+comments?|\bcomment count\b|how many people commented"
 _PATTERNS = [(n, p if n != "count_all" else _RE_COUNT_ALL) for n, p in routes.INTENTS]
 _SHAPES = ["how many comments mention {}?", "how many people talk about the {} and what do they say", "what is the most liked comment about {}", "who commented the most on {}", "what do people think of {}", "any theories about {}", "sentiment breakdown for {}", "when were the comments on {} posted", "average likes on {}", "longest comment on {}", "total number of comments on {}"]
@@ -289,6 +312,10 @@ SQL: dict = {
     "fused_ranks": f"""WITH {CORPUS}, a AS (SELECT video_id, cid, row_number() OVER (PARTITION BY video_id ORDER BY likes DESC, cid) AS p, row_number() OVER (PARTITION BY video_id ORDER BY reply_count DESC, cid) AS q FROM corpus WHERE video_id IS NOT NULL),
   f AS (SELECT video_id AS question, cid, round(CASE WHEN p <= 50 THEN 1.0::DOUBLE / (60 + p) ELSE 0 END + CASE WHEN q <= 50 THEN 0.5::DOUBLE / (60 + q) ELSE 0 END, 12) AS score FROM a WHERE p <= 50 OR q <= 50)
   SELECT question, cid, score, place FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, cid) AS place FROM f) WHERE place <= 10""",
+    "bm25_precision": f"""WITH {CORPUS}, {_FIGURES}, {_bm25_sql("text", "f", "f", "figures")}, placed AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, cid) AS place FROM scored),
+  relevant AS (SELECT f AS question, cid FROM corpus JOIN figures ON regexp_matches(lower(text), '(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])' || lower(f) || '(?:$|[^\\p{{L}}\\p{{M}}\\p{{N}}_])')), budget AS (SELECT question, count(*) AS r FROM relevant GROUP BY question),
+  hits AS (SELECT count(*) AS correct FROM placed JOIN budget USING (question) WHERE place <= r AND EXISTS (SELECT 1 FROM relevant v WHERE v.question = placed.question AND v.cid = placed.cid))
+  SELECT correct, (SELECT sum(r) FROM budget)::BIGINT AS total, correct / (SELECT sum(r) FROM budget) AS precision FROM hits""",
     "like_ratios": f"WITH {CORPUS} SELECT cid, CASE WHEN max(likes) OVER (PARTITION BY video_id) <= 0 THEN 1.0 ELSE likes / max(likes) OVER (PARTITION BY video_id) END::DOUBLE AS ratio FROM corpus WHERE video_id IS NOT NULL",
     "checked_answers": f"""WITH {CORPUS}, b AS (SELECT video_id, count(*) AS n, arg_max(cid, (likes, cid)) AS best FROM corpus WHERE video_id IS NOT NULL GROUP BY video_id)
   SELECT video_id, n || ' comments [' || best || '] and, 12% more' AS clean, best AS cited, 'c99999999' AS invalid, CASE WHEN abs(n - 12) <= 1 THEN '' ELSE '12%' END AS unsupported, false AS grounded FROM b""",

@@ -7,7 +7,7 @@ import json
 import sys
 import time
 
-from throng.operators import search
+from throng.operators import evaluate, search
 from throng.plans.answers import Answer, Comments
 from throng.session import local_session
 from throng.sources import records
@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     ask = sub.add_parser("ask", help="answer a question")
     ask.add_argument("question")
     sub.add_parser("overview", help="summarise the comments")
+    sub.add_parser("eval", help="score exact answers and the nearest-text baseline")
     sub.add_parser("repl", help="answer questions until an empty line")
     return p
 
@@ -49,11 +50,16 @@ def run(args: argparse.Namespace) -> None:
             records.to_csv(comments, args.export_csv)
         print(f"{comments.count()} comments saved to {args.index}")
         return
-    corpus = Comments(records.load(spark, args.index, search.DIM))
+    corpus = Comments.load(spark, args.index)
     if args.command == "ask":
         show(corpus.ask(args.question), args.json)
     elif args.command == "overview":
         print(json.dumps(corpus.overview(), ensure_ascii=False, default=str, indent=None if args.json else 2))
+    elif args.command == "eval":
+        cases = evaluate.exact_cases(corpus.table)
+        for name, answer in (("proportions", lambda q: corpus.ask(q).text), ("nearest texts", lambda q: evaluate.nearest_texts(corpus.table, q))):
+            right, total, missed = evaluate.accuracy(cases, answer)
+            print(json.dumps({"system": name, "correct": right, "total": total, "missed": missed}) if args.json else f"{name}: {right}/{total}, missed: {', '.join(missed) or 'none'}")
     else:
         while line := sys.stdin.readline().strip():
             if line in ("exit", "quit"):

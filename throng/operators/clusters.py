@@ -251,6 +251,13 @@ def _placed(scored: DataFrame) -> DataFrame:
     return scored.withColumn("place", place)
 
 
+def opinion_share(found: DataFrame, top: int = 8) -> DataFrame:
+    """What a chart of opinions shows: a label, percent of people and of likes."""
+    label = F.when(F.coalesce("representative_text", F.lit("")) == "", "(emoji only)").otherwise(C.excerpt(F.col("representative_text"), 52))
+    percent = lambda c: F.round(F.col(c) * 100, 4)
+    return found.where(F.col("place") <= top).select("question", "place", label.alias("label"), percent("support_share").alias("people"), percent("endorsement_share").alias("likes"))
+
+
 def coverage(found: DataFrame, comments: DataFrame) -> DataFrame:
     """Share of all comments that each question's evidence speaks for; clusters
     of a corpus have no comment in common."""
@@ -258,4 +265,4 @@ def coverage(found: DataFrame, comments: DataFrame) -> DataFrame:
     return found.groupBy("question").agg(F.sum("support").alias("s")).crossJoin(F.broadcast(total)).select("question", (F.col("s") / F.col("n")).alias("coverage"))
 
 
-__all__ = ["centroid_scores", "coverage", "evidence", "leader_clusters", "ratio", "similarities", "summaries"]
+__all__ = ["centroid_scores", "coverage", "evidence", "leader_clusters", "opinion_share", "ratio", "similarities", "summaries"]

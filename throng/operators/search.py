@@ -53,12 +53,16 @@ def bm25(documents: DataFrame, questions: DataFrame, doc: str = "cid", k1: float
     sized = documents.select(F.col(doc).alias("doc"), C.tokens(F.col("document")).alias("words"))
     corpus = sized.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("words")).alias("mean"))
     # a document's words are in its row: their counts need no exchange
-    here = F.array_intersect("words", F.array(*[F.lit(t) for t in terms]).cast("array<string>"))
-    hits = F.transform(here, lambda t: F.struct(t.alias("term"), F.size(F.filter("words", lambda w: w == t)).alias("tf")))
-    tf = sized.select("doc", F.size("words").alias("len"), F.explode(hits).alias("hit")).select("doc", "len", "hit.term", "hit.tf")
+    tf = sized.select("doc", F.size("words").alias("len"), F.explode(_hits(terms)).alias("hit")).select("doc", "len", "hit.term", "hit.tf")
     return _bm25_score(tf, asked, corpus, doc, k1, b)
 
 
+def _hits(terms: list[str]) -> F.Column:
+    """Asked terms among ``words`` with their counts; membership is by hash."""
+    found = F.filter("words", lambda w: w.isin(*terms)) if terms else F.array().cast("array<string>")
+    return F.transform(F.array_distinct(found), lambda t: F.struct(t.alias("term"), F.size(F.filter(found, lambda w: w == t)).alias("tf")))
+
+
 def _bm25_score(tf: DataFrame, asked: DataFrame, corpus: DataFrame, doc: str, k1: float, b: float) -> DataFrame:
     """Scores from ``doc, term, tf, len`` of the asked terms."""
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -77,12 +81,10 @@ def bm25_grouped(rows: DataFrame, questions: DataFrame, key: str) -> DataFrame:
     """
     asked = few(questions).select("question", F.explode(C.query_tokens(F.col("words"))).alias("term")).groupBy("question", "term").agg(F.count(F.lit(1)).alias("qtf"))
     terms = [r.term for r in asked.select("term").distinct().collect()]
-    wanted = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
     sized = rows.select(F.col(key).alias("doc"), C.tokens(F.col("text")).alias("words"))
     lengths = sized.groupBy("doc").agg(F.sum(F.size("words")).alias("len"))
     corpus = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
-    hits = F.transform(F.array_intersect("words", wanted), lambda t: F.struct(t.alias("term"), F.size(F.filter("words", lambda w: w == t)).alias("tf")))
-    tf = sized.select("doc", F.explode(hits).alias("hit")).groupBy("doc", "hit.term").agg(F.sum("hit.tf").alias("tf")).join(lengths, "doc")
+    tf = sized.select("doc", F.explode(_hits(terms)).alias("hit")).groupBy("doc", "hit.term").agg(F.sum("hit.tf").alias("tf")).join(lengths, "doc")
     return _bm25_score(tf, asked, corpus, key, K1, B)
 
 
