@@ -68,7 +68,7 @@ IDENTITY = re.compile(r"(?<![\w:.,/@+(-])(?:[a-z]{1,2} ?)?\d{2,9}(?:[ -]?\d{2,7}
 _AT_NEXT = re.compile(r"[\w.+-]*(?:@| @| ?[(\[{] ?(?:at|@)| at [\w-]+(?: dot |\.))", re.I)
 SMALL = re.compile(r"(?<![\w:.,/-])\d{1,4}(?![\d:.]\d|/|st\b|nd\b|rd\b|th\b)")
 ADDRESS_RIGHT = re.compile(
-    rf"\d{{1,4}}(?: ?[a-z](?![\w'’]))?(?:(?: (?:bis|ter|quater))?,? (?:{_STREET_FR})\.? (?:de la |de l['’]|des |du |de |d['’])?{_WORD}(?: (?:(?:de la|du|des|de) )?{_WORD})?|,? (?:{_WORD} ){{1,3}}?(?:{_STREET_EN})\b\.?)",
+    rf"\d{{1,4}}(?: ?[a-z](?![\w'’]))?(?:(?: (?:bis|ter|quater))?,? (?:{_STREET_FR})\.? (?:de la |de l['’]|des |du |de |d['’])?{_WORD}(?: (?:(?:de la|du|des|de) )?{_WORD})?|,? (?:{_WORD} ){{1,3}}?(?:{_STREET_EN})\b)",
     re.I,
 )
 ADDRESS_LEFT = re.compile(
