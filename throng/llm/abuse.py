@@ -184,7 +184,7 @@ class Model:
             return f"<{hit[1]}>"
         if low in self.vocabulary or low in self.alike:
             return self.alike.get(low, low)
-        if (not low.isalpha() or _RUN.search(low)) and (word := self.plain.match(low)):
+        if bare[0] != "@" and (not low.isalpha() or _RUN.search(low)) and _LETTERS.search(low) and (word := self.plain.match(low)):
             return self.alike.get(word[0], word[0])
         if bare[0].isdigit():
             return "<number>"
