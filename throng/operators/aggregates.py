@@ -76,32 +76,30 @@ def timeline(comments: DataFrame, buckets: int = 6) -> DataFrame:
     to the lowest cid. Without dates, or for fewer than one bucket, there is one
     row "unknown".
     """
-    spark = comments.sparkSession
-    dated = F.col("published_ts").isNotNull()
-    ends = comments.agg(F.min("published_ts").alias("oldest"), F.max("published_ts").alias("newest"))
-    total = comments.agg(F.count(F.lit(1)).alias("count"), F.coalesce(F.sum("likes"), F.lit(0)).alias("likes"))
-    unknown = total.crossJoin(F.broadcast(ends)).where("oldest is null" if buckets > 0 else "true").select(F.lit(0).cast("long").alias("bucket"), F.lit("unknown").alias("label"), "count", "likes", F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"))
-    if buckets < 1:
-        return unknown
-    scale = ends.where("oldest is not null").select("oldest", (F.greatest(F.col("newest") - F.col("oldest"), F.lit(1e-6)) / buckets).alias("width"))
-    placed = comments.select("cid", "likes", "published", "published_ts").crossJoin(F.broadcast(scale))
-    index = F.when(dated, F.least(F.lit(buckets - 1), F.floor((F.col("published_ts") - F.col("oldest")) / F.col("width")))).otherwise(buckets - 1).cast("long")
-    counts = placed.groupBy(index.alias("bucket")).agg(F.count(F.lit(1)).alias("count"), F.sum("likes").alias("likes"))
-    frame = spark.range(buckets).withColumnRenamed("id", "bucket").crossJoin(F.broadcast(scale)).select("bucket", (F.col("oldest") + F.col("bucket") * F.col("width")).alias("start"), (F.col("oldest") + (F.col("bucket") + 1) * F.col("width")).alias("end"))
-    # a comment on the border labels both buckets
-    near = placed.where(dated & (F.col("published") != "")).select("cid", "published", "published_ts", F.explode(F.array_distinct(F.array(index, index - 1, index + 1))).alias("bucket"))
-    inside = near.join(F.broadcast(frame), "bucket").where("published_ts between start and end")
-    labels = inside.groupBy("bucket").agg(F.min_by("published", F.struct(-F.col("published_ts"), F.col("cid"))).alias("label"))
-    rows = frame.join(counts, "bucket", "left").join(labels, "bucket", "left")
-    known = rows.select("bucket", F.coalesce("label", F.concat(F.lit("bucket "), F.col("bucket") + 1)).alias("label"), F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("likes", F.lit(0)).alias("likes"), "start", "end")
-    return known.unionByName(unknown)
+    frame = comments.sparkSession.range(max(1, buckets)).withColumnRenamed("id", "bucket")
+    whole = comments.agg(F.min("published_ts").alias("oldest"), F.max("published_ts").alias("newest"), F.count(F.lit(1)).alias("count"), F.coalesce(F.sum("likes"), F.lit(0)).alias("likes")).first()
+    if whole.oldest is None or buckets < 1:
+        nothing = F.lit(None).cast("double")
+        return frame.where("bucket = 0").select("bucket", F.lit("unknown").alias("label"), F.lit(whole["count"]).alias("count"), F.lit(whole.likes).alias("likes"), nothing.alias("start"), nothing.alias("end"))
+    oldest, width = F.lit(whole.oldest), F.lit(max(whole.newest - whole.oldest, 1e-6) / buckets)
+    frame = frame.select("bucket", (oldest + F.col("bucket") * width).alias("start"), (oldest + (F.col("bucket") + 1) * width).alias("end"))
+    own = F.coalesce(F.least(F.lit(buckets - 1), F.floor((F.col("published_ts") - oldest) / width)), F.lit(buckets - 1)).cast("long")
+    # a dated comment on the border labels both buckets, but counts in its own
+    near = F.filter(F.array("own", F.col("own") - 1, F.col("own") + 1), lambda k: (k == F.col("own")) | F.col("published_ts").between(oldest + k * width, oldest + (k + 1) * width))
+    rows = comments.select("cid", "likes", "published", "published_ts", own.alias("own")).withColumn("bucket", F.explode(near))
+    home = F.col("bucket") == F.col("own")
+    inside = F.col("published_ts").between(oldest + F.col("bucket") * width, oldest + (F.col("bucket") + 1) * width) & (F.col("published") != "")
+    counts = rows.groupBy("bucket").agg(F.count_if(home).alias("count"), F.sum(F.when(home, F.col("likes"))).alias("likes"), F.min_by("published", F.when(inside, F.struct(-F.col("published_ts"), F.col("cid")))).alias("label"))
+    out = frame.join(counts, "bucket", "left")
+    return out.select("bucket", F.coalesce("label", F.concat(F.lit("bucket "), F.col("bucket") + 1)).alias("label"), F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("likes", F.lit(0)).alias("likes"), "start", "end")
 
 
 def like_distribution(comments: DataFrame, bins: int = 24) -> DataFrame:
     """Comments in equal bins of log10(likes + 1), the last one closed."""
     value = F.log10(F.col("likes") + 1)
-    ends = comments.agg(F.min(value).alias("low"), F.max(value).alias("high")).where("low is not null").withColumn("high", F.when(F.col("high") > F.col("low"), F.col("high")).otherwise(F.col("low") + 1))
-    width = (F.col("high") - F.col("low")) / bins
-    counts = comments.select(value.alias("x")).crossJoin(F.broadcast(ends)).groupBy(F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("low")) / width)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("comments"))
-    frame = comments.sparkSession.range(bins).withColumnRenamed("id", "bin").crossJoin(F.broadcast(ends)).select("bin", (F.col("low") + F.col("bin") * width).alias("start"))
-    return frame.join(counts, "bin", "left").select("bin", "start", F.coalesce("comments", F.lit(0)).alias("comments"))
+    ends = comments.agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
+    frame = comments.sparkSession.range(bins if ends.low is not None else 0).withColumnRenamed("id", "bin")
+    low = ends.low or 0.0
+    width = ((ends.high if ends.high is not None and ends.high > low else low + 1) - low) / bins
+    counts = comments.groupBy(F.least(F.lit(bins - 1), F.floor((value - low) / width)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("comments"))
+    return frame.join(counts, "bin", "left").select("bin", (F.lit(low) + F.col("bin") * width).alias("start"), F.coalesce("comments", F.lit(0)).alias("comments"))
