@@ -39,6 +39,8 @@ def test_disguises():
     for word in ("bonehead", "b0neh3ad", "boneheeeead", "b-o-n-e-h-e-a-d", "bonehed", "b#nehead", "bonehead's"):
         assert lexicon.match(word) == ("bonehead", "abusive"), word
     assert lexicon.match("rats") is None and lexicon.match("bedhead") is None and lexicon.match("!!!") is None
+    assert abuse.raw_tokens("never a b o n e h e a d", None, lexicon.terms) == ["never", "a", "bonehead"]
+    assert lexicon.match("0900085") is None
     assert abuse.raw_tokens("you b o n e h e a d ok", "🖕🖕😂") == ["you", "bonehead", "ok", "<e>", "🖕", "😂"]
 
 
@@ -53,7 +55,7 @@ def held_out():
 
 def test_held_out_examples(held_out):
     model, rest = held_out
-    margin, kind = model.score([abuse.raw_tokens(t, e) for t, e in zip(rest["text"], rest["emojis"], strict=True)])
+    margin, kind = model.score([model.tokens(t, e) for t, e in zip(rest["text"], rest["emojis"], strict=True)])
     said = np.where(margin > 0, np.array(abuse.CATEGORIES)[kind], "none")
     truth = rest["category"].to_numpy()
     assert (said == truth).mean() > 0.95

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import numpy as np
 import pandas as pd
@@ -101,9 +101,10 @@ def _step(word: str, n: int, states: tuple[tuple[int, int], ...], ch: str, most:
     return tuple(sorted(least.items()))
 
 
-def edits_allowed(term_length: int) -> int:
-    """Edits that a word of this length may have and still be the term."""
-    return 0 if term_length < 4 else 1 if term_length < 8 else 2
+def edits_allowed(length: int, odd: bool) -> int:
+    """Edits that a word of this length may have and still be the term; two only
+    in long words that are disguised anyway, as names come near terms too."""
+    return 0 if length + odd < 4 else 2 if odd and length > 6 else 1
 
 
 class Lexicon:
@@ -120,7 +121,7 @@ class Lexicon:
         odd = False
         if _PARTED.fullmatch(word):
             word, odd = re.sub(r"[-_.*·]", "", word), True
-        if not _LETTERS.search(word) and not any(c in "$@|" for c in word) and not (word.isdigit() and len(word) > 4):
+        if not _LETTERS.search(word) and not any(c in "$@|" for c in word):
             return None
         forms = [word]
         if any(not c.isalpha() for c in word):
@@ -136,16 +137,25 @@ class Lexicon:
             return None
         best = None
         for form in forms if len(forms) < 2 else forms[1:]:
-            if (most := edits_allowed(len(form) + odd)) and (hit := self.trie.find(form, most)) and hit[0] <= edits_allowed(len(hit[1]) + odd) and (best is None or hit < best):
+            if (most := edits_allowed(len(form), odd)) and (hit := self.trie.find(form, most)) and hit[0] <= edits_allowed(len(hit[1]), odd) and (best is None or hit < best):
                 best = hit
         return best and best[1:]
 
 
-def raw_tokens(text: str | None, emojis: str | None) -> list[str]:
-    """Words by blanks, spaced-out words joined, then each kind of emoji once."""
+def raw_tokens(text: str | None, emojis: str | None, known: Container[str] = ()) -> list[str]:
+    """Words by blanks, spaced-out words joined, then each kind of emoji once.
+
+    A word of one letter before a spaced-out word of ``known`` stays by itself.
+    """
+
+    def join(found: re.Match) -> str:
+        word = found.group().replace(" ", "")
+        whole = canonical(word).lower()
+        return f"{word[0]} {word[1:]}" if whole not in known and whole[1:] in known else word
+
     text = text or ""
     if len(text) > 4 and _SPACED.search(text):
-        text = _SPACED.sub(lambda m: m.group().replace(" ", ""), text)
+        text = _SPACED.sub(join, text)
     words = text.split() or ["<empty>"]
     if emojis:
         words.append("<e>")
@@ -169,6 +179,10 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"seen": {}}
 
+    def tokens(self, text: str | None, emojis: str | None) -> list[str]:
+        """Raw tokens, with the lexicon at hand for spaced-out words."""
+        return raw_tokens(text, emojis, self.lexicon.terms)
+
     def symbol(self, raw: str) -> str:
         """What a raw token counts as."""
         if raw[0] == "<" and raw in ("<empty>", "<e>"):
@@ -261,7 +275,7 @@ def _learned_terms(rows: list[tuple[list[str], str]], terms: dict[str, str]) ->
         for place, n in where.items():
             if place in places:
                 good[place[0]] += n
-        if not good or len(x) < 3 or _RUN.search(x) or trie.find(x, edits_allowed(len(x) + 1)):
+        if not good or len(x) < 3 or _RUN.search(x) or trie.find(x, edits_allowed(len(x), True)):
             continue
         category, n = good.most_common(1)[0]
         terms_there = set().union(*(places[p] for p in where if p in places))
@@ -333,6 +347,7 @@ def train(labels: pd.DataFrame, terms: pd.DataFrame, copies: int = 3, steps: int
     parted = {re.sub(r"[-_.*·]", "", canonical(x).strip(_EDGE)).lower() for words, _ in rows for x in words}
     joined = {w: c for (a, b, c), n in pairs.items() if n > 1 and (w := (a + b).lower()) in parted}
     lexicon = Lexicon(joined | _learned_terms(rows, listed) | listed, frozenset(w for w, n in usual.items() if n > 3))
+    rows = [(raw_tokens(t, e, lexicon.terms), c) for (_, c), t, e in zip(rows, labels["text"], labels["emojis"], strict=True)]
     model = Model(lexicon, {w: 0 for w, n in usual.items() if n > 1})
     model.alike = _interchangeable([[model.symbol(x) for x in words] for words, _ in rows])
     symbols = [({model.symbol(x) for x in words}, c) for words, c in rows]
@@ -409,7 +424,7 @@ def score_comments(comments: DataFrame, model: Model, keep: tuple[str, ...] = ("
             if not batch.num_rows:
                 continue
             n = len(keep)
-            texts = [raw_tokens(t, e) for t, e in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True)]
+            texts = [sent.value.tokens(t, e) for t, e in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True)]
             margin, kind = sent.value.score(texts)
             kind = np.where(margin > 0, kind, len(CATEGORIES))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(margin), pa.array(names[kind], pa.string())], names=[f.name for f in schema])
