@@ -62,6 +62,27 @@ def test_no_items_and_bad_capacity(spark):
         packing.pack_items(df, 0)
 
 
+def test_items_that_fill_no_container(spark):
+    """More than a load of them: every one keeps a container of its own."""
+    df = spark.createDataFrame([(i, 700) for i in range(50)], "doc_id long, tokens long").repartition(3)
+    out = packing.pack_items(df, 1000, load=20).collect()
+    assert sorted(r.doc_id for r in out) == list(range(50)) and len({r.container for r in out}) == 50
+    assert all(r.room == 300 for r in out)
+    with pytest.raises(ValueError):
+        packing.pack_items(df, 1000, load=0)
+
+
+def test_sizes_of_different_loads_meet(spark):
+    """Large items in some partitions and small ones in others: alone 60 and 20 containers."""
+    df = spark.createDataFrame([(i, 700 if i < 60 else 260) for i in range(120)], "doc_id long, tokens long").coalesce(4).sortWithinPartitions("doc_id")
+    out = packing.pack_items(df, 1000, load=20).collect()
+    fill = Counter()
+    for r in out:
+        fill[r.container] += r.tokens
+    assert sorted(r.doc_id for r in out) == list(range(120)) and max(fill.values()) <= 1000
+    assert 60 <= len(fill) <= 70
+
+
 def test_documents(spark):
     df = spark.createDataFrame([(1, "one two three", "x"), (2, None, "x"), (3, "", "x"), (4, "word " * 9000, "x")], "doc_id long, text string, tokens string")
     rows = packing.containers(df, 4096).collect()

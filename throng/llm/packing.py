@@ -1,11 +1,13 @@
 """Filling containers of a fixed capacity with whole items.
 
-No shuffle: every partition of the sized items is packed by itself, in loads of
-bounded size. A load starts from best fit by descending size; then a local search
+Every partition of the sized items is packed by itself, without a shuffle, in loads
+of bounded size. A load starts from best fit by descending size; then a local search
 over its underfull containers exchanges one item for one, two for one, or moves
 an item, whenever that raises the sum of squared fills, until the emptiest
 containers are gone or nothing helps. Items of containers that still have room
-go into the next round over fewer partitions, until one load holds them all.
+go into the next round over fewer partitions, until one load holds them all. Rounds
+that take off too little mix what is left over all loads, by a shuffle; when mixed
+rounds take off too little as well, the containers stay as they are.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ CAPACITY = 4096
 LOAD = 50_000
 #: A container with no more room than this part of the capacity is closed.
 CLOSED = 0.002
+#: A round counts as progress if it takes off this part of the items in containers
+#: with room, or this part of these containers; so the rounds come to an end.
+ITEMS_LESS, CONTAINERS_LESS = 0.1, 0.01
 _PACKED = [T.StructField(c, T.LongType()) for c in ("part", "tokens", "container", "room")]
 
 
@@ -123,7 +128,7 @@ def _exchange(bins: list[list[int]], size: list[int], fill: dict[int, int], capa
     return False
 
 
-def _pack(capacity: int, round_no: int):
+def _pack(capacity: int, round_no: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         held: list[pa.RecordBatch] = []
@@ -144,9 +149,9 @@ def _pack(capacity: int, round_no: int):
             yield from out.append_column("container", pa.array(container)).append_column("room", pa.array(room)).combine_chunks().to_batches()
 
         for batch in batches:
-            for at in range(0, batch.num_rows, LOAD):
-                held.append(batch.slice(at, LOAD))
-                if sum(b.num_rows for b in held) >= LOAD:
+            for at in range(0, batch.num_rows, most):
+                held.append(batch.slice(at, most))
+                if sum(b.num_rows for b in held) >= most:
                     yield from packed()
         if sum(b.num_rows for b in held):
             yield from packed()
@@ -154,34 +159,46 @@ def _pack(capacity: int, round_no: int):
     return run
 
 
-def pack_items(items: DataFrame, capacity: int) -> DataFrame:
+def pack_items(items: DataFrame, capacity: int, load: int = LOAD) -> DataFrame:
     """``doc_id, part, tokens, container, room`` of items ``doc_id, tokens``.
 
     An item that exceeds the capacity is the only kind that is split: into parts
     of the capacity and a rest, numbered from 0. Every other item is one part 0.
     Items of no tokens, and of a null size, take no room and are assigned too;
     repeated rows are items of their own. ``room`` is what the container has left.
-    Loads left partly filled are packed again in further rounds.
+    Loads left partly filled are packed again in further rounds, as long as that
+    helps: items that can't fill containers keep the containers they have.
+    load: how many items are packed together.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
+    if not 1 <= load <= LOAD:
+        raise ValueError(f"a load must hold 1 to {LOAD} items")
     size = F.coalesce(F.col("tokens"), F.lit(0)).cast("long")
     last_part = F.greatest(F.lit(0), F.floor((F.col("all") - 1) / capacity)).cast("long")
     parts = items.select("doc_id", size.alias("all")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last_part)))
     todo = parts.select("doc_id", "part", F.least(F.lit(capacity), F.col("all") - F.col("part") * capacity).cast("long").alias("tokens"))
     schema = T.StructType([todo.schema["doc_id"], *_PACKED])
     done, round_no, loads = None, 1, 0
+    before, kept, mixed = None, None, False
     while True:
-        placed = stage_table(todo.mapInArrow(_pack(capacity, round_no), schema), f"p7-round{round_no}")
+        placed = stage_table(todo.mapInArrow(_pack(capacity, round_no, load), schema), f"p7-round{round_no}")
         if loads == 1:
             return done.unionByName(placed)
+        unfilled = placed.where(F.col("room") > CLOSED * capacity)
+        left = unfilled.count()
+        now = (left, unfilled.select("container").distinct().count() if left > load else 0)
+        stuck = left > load and before is not None and now[0] > (1 - ITEMS_LESS) * before[0] and now[1] > (1 - CONTAINERS_LESS) * before[1]
+        if stuck and mixed:
+            return done.unionByName(placed if placed.select("container").distinct().count() <= before[1] else kept)
         shut = placed.where(F.col("room") <= CLOSED * capacity)
         done = shut if done is None else done.unionByName(shut)
-        again = placed.where(F.col("room") > CLOSED * capacity).drop("container", "room")
-        if not (left := again.count()):
+        if not left:
             return done
-        loads = -(-left // LOAD)
-        todo, round_no = again.coalesce(loads), round_no + 1
+        again, loads, round_no = unfilled.drop("container", "room"), -(-left // load), round_no + 1
+        before, kept, mixed = now, unfilled, mixed or stuck
+        # one load more, as shares of a shuffle aren't quite equal
+        todo = again.repartition(loads + 1) if mixed and loads > 1 else again.coalesce(loads)
 
 
 def containers(documents: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
