@@ -162,6 +162,16 @@ def test_reading_question(asked):
     assert not [w for w in a.warnings if "invented" in w]
 
 
+def test_likes_of_any_member_may_be_stated(spark, corpus):
+    """The least likes of a cluster with more than 10,000 different counts."""
+    n = 10_050
+    said = F.lit("the blue harbour scene is the best moment")
+    rows = spark.range(n).select(F.concat(F.lit("c"), F.col("id") + 100).alias("cid"), said.alias("text"), ((F.col("id") + 1) * 7).alias("likes"), *[F.lit(v).cast(corpus.schema[c].dataType).alias(c) for c, v in (("author", "@a"), ("published", ""), ("published_ts", None), ("reply_count", 0), ("is_reply", False), ("emojis", ""), ("valence", 0.0))])
+    told = "One has 14 likes [c101], one 1,000,003 likes, one 11 [c999999] likes, one 21 [c999999] likes."
+    answer = Comments(rows.select(corpus.columns), complete=lambda shown, question: told).ask("the harbour scene")
+    assert [w for w in answer.warnings if "figures" in w] == ["figures that nothing computed supports, perhaps invented: 1,000,003 likes, 11 likes"]
+
+
 def test_consensus_question(asked):
     a = asked.ask("what do people think overall")
     assert a.kind == "CONSENSUS" and a.evidence[0]["representative_cid"] == "c4" and "%" in a.text

@@ -17,6 +17,19 @@ def citations(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(CITATION), F.lit(1)))
 
 
+def stated(text: Column) -> Column:
+    """Percentages and counts that a text states, each as ``whole, value, within``:
+    its words, its number and how far a computed number may be from it."""
+
+    def told(pattern: str, within: float) -> Column:
+        whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        value = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        number = lambda x: F.regexp_replace(x["value"], ",", "").try_cast("double").alias("value")
+        return F.transform(F.arrays_zip(whole.alias("whole"), value.alias("value")), lambda x: F.struct(x["whole"].alias("whole"), number(x), F.lit(within).alias("within")))
+
+    return F.concat(told(PERCENT, PERCENT_WITHIN), told(COUNTED, COUNT_WITHIN))
+
+
 def verify(answers: DataFrame, text: str = "text", ids: str = "allowed_ids", numbers: str = "allowed_numbers") -> DataFrame:
     """Answers with ``clean, citations, invalid, unsupported, grounded, warnings``.
 
@@ -31,13 +44,8 @@ def verify(answers: DataFrame, text: str = "text", ids: str = "allowed_ids", num
     strip = F.aggregate("invalid", F.coalesce(F.col(text), F.lit("")), lambda acc, bad: F.regexp_replace(acc, F.concat(F.lit(r"(?i)\s*\[\s*"), bad, F.lit(r"\s*\]")), F.lit("")))
     out = out.withColumn("clean", F.trim(F.regexp_replace(strip, r"\s+([.,;:])", "$1")))
 
-    def claims(pattern: str, within: float) -> Column:
-        whole = F.regexp_extract_all("clean", F.lit(pattern), F.lit(0))
-        value = F.regexp_extract_all("clean", F.lit(pattern), F.lit(1))
-        told = F.transform(F.arrays_zip(whole.alias("whole"), value.alias("value")), lambda x: F.struct(x["whole"].alias("whole"), F.regexp_replace(x["value"], ",", "").try_cast("double").alias("value")))
-        return F.transform(F.filter(told, lambda x: ~F.exists(figures, lambda n: F.abs(n - x["value"]) <= within)), lambda x: x["whole"])
-
-    found = F.concat(claims(PERCENT, PERCENT_WITHIN), claims(COUNTED, COUNT_WITHIN))
+    bare = F.filter(stated(F.col("clean")), lambda x: ~F.exists(figures, lambda n: F.abs(n - x["value"]) <= x["within"]))
+    found = F.transform(bare, lambda x: x["whole"])
     out = out.withColumn("unsupported", F.when(F.size(figures) > 0, found).otherwise(F.array().cast("array<string>")))
     told = F.array(
         F.when(F.size("invalid") > 0, F.concat(F.lit("removed citations of comments that weren't retrieved: "), F.array_join("invalid", ", "))),
