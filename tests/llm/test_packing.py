@@ -33,6 +33,26 @@ def test_exchanges_two_for_one():
     assert fill[0] == 100 and sum(fill.values()) == 160 and sorted(bins[0]) == [1, 2, 3]
 
 
+def test_search_goes_on_after_a_stuck_giver():
+    sizes = np.array([400, 401, 405, 402, 590])
+    bins = packing.local_search([[0], [1, 2], [3, 4]], sizes, 1000)
+    assert sorted(int(sizes[b].sum()) for b in bins) == [400, 803, 995]
+
+
+def test_pairs_beyond_the_largest_items():
+    sizes = np.array([1000 + 2 * i for i in range(41)] + [4, 3, 6, 49_993])
+    bins = [list(range(43)), [43, 44]]
+    fill = {k: int(sizes[b].sum()) for k, b in enumerate(bins)}
+    assert packing._exchange(bins, sizes.tolist(), fill, 50_000, 0, [1])
+    assert fill[1] == 50_000 and sorted(bins[1]) == [41, 42, 44]
+
+
+def test_search_moves_items_of_no_tokens():
+    sizes = np.array([5, 0, 5])
+    bins = packing.local_search([[0, 1], [2]], sizes, 10)
+    assert len(bins) == 1 and sorted(bins[0]) == [0, 1, 2]
+
+
 def test_table(spark):
     rnd = random.Random(3)
     rows = [(i, rnd.choice([0, 1, 5, 80, 300, 950, 1001, 5000])) for i in range(800)] + [(7, 10), (7, 10), (None, 3), (9_007_199_254_740_993, 2), (801, None)]

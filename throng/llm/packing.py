@@ -2,12 +2,12 @@
 
 Every partition of the sized items is packed by itself, without a shuffle, in loads
 of bounded size. A load starts from best fit by descending size; then a local search
-over its underfull containers exchanges one item for one, two for one, or moves
-an item, whenever that raises the sum of squared fills, until the emptiest
-containers are gone or nothing helps. Items of containers that still have room
-go into the next round over fewer partitions, until one load holds them all. Rounds
-that take off too little mix what is left over all loads, by a shuffle; when mixed
-rounds take off too little as well, the containers stay as they are.
+over its underfull containers exchanges up to two items for up to two, or moves
+them, whenever that raises the sum of squared fills, until nothing helps. Items of
+containers that still have room go into the next round over fewer partitions, until
+one load holds them all. Rounds that take off too little mix what is left over all
+loads, by a shuffle; when mixed rounds take off too little as well, the containers
+stay as they are.
 """
 
 from __future__ import annotations
@@ -58,74 +58,96 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, tries: int = 400) -> list[list[int]]:
-    """Improve a packing by moves, one-for-one and two-for-one exchanges.
+def _sums(items: list[int], size: list[int]) -> np.ndarray:
+    """0 and what one or two of the items hold, each sum once, ascending."""
+    levels, times = np.unique(np.array([size[i] for i in items if size[i]], dtype=np.int64), return_counts=True)
+    a, b = np.triu_indices(len(levels), 1)
+    return np.unique(np.concatenate([[0], levels, levels[a] + levels[b], 2 * levels[times > 1]]))
 
-    The emptiest container gives: each accepted step puts a positive net amount
-    into a fuller container, so the sum of squared fills grows, until the giver
-    is empty or nothing helps. tries: how many givers are worked on at most; the
-    containers are as good as they are then, and none is lost.
+
+def _pick(items: list[int], size: list[int], total: int) -> tuple[int, ...]:
+    """At most two of the items that hold ``total`` together."""
+    if not total:
+        return ()
+    of: dict[int, list[int]] = {}
+    for i in items:
+        of.setdefault(size[i], []).append(i)
+    if total in of:
+        return (of[total][0],)
+    return next((s[0], of[total - t][-1]) for t, s in of.items() if total - t in of and (2 * t != total or len(s) > 1))
+
+
+def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """Improve a packing by exchanges of up to two items for up to two.
+
+    The emptiest container gives: each step puts a positive net amount into a
+    fuller container, so the sum of squared fills grows, until the giver is empty
+    or nothing helps; then the next emptiest gives, until a pass over all
+    containers that aren't closed brings nothing. A giver that was stuck, and any
+    other of the same sizes, meets only containers altered since.
     """
     size = sizes.tolist()
     fill = {k: sum(size[i] for i in b) for k, b in enumerate(bins)}
-    short = sorted((k for k in fill if fill[k] < capacity), key=lambda k: (fill[k], k))
-    for _ in range(tries):
-        short = sorted((k for k in short if 0 < fill[k] < capacity), key=lambda k: (fill[k], k))
-        if len(short) < 2:
-            break
-        giver, takers = short[0], short[:0:-1]
-        while fill[giver] and _exchange(bins, size, fill, capacity, giver, takers):
-            pass
-        if fill[giver]:
-            break
+    known: dict[int, np.ndarray] = {}
+    altered: list[int] = []
+    stuck: dict[tuple[int, ...], int] = {}
+    short = [k for k in fill if 0 < fill[k] < capacity]
+    moved = True
+    while moved:
+        moved = False
+        short = sorted((k for k in short if 0 < fill[k] < capacity), key=lambda k: (-fill[k], k))
+        for giver in short[::-1]:
+            while 0 < fill[giver] < (1 - CLOSED) * capacity:
+                sig = tuple(sorted(size[i] for i in bins[giver] if size[i]))
+                since = stuck.get(sig)
+                takers = short if since is None else sorted(set(altered[since:]), key=lambda k: (-fill[k], k))
+                step = _exchange(bins, size, fill, capacity, giver, takers, known)
+                if not step:
+                    stuck[sig] = len(altered)
+                    break
+                altered += [*step, giver]
+                moved = True
+            if not fill[giver] and bins[giver]:  # items of no tokens
+                bins[altered[-2]] += bins[giver]
+                bins[giver] = []
     return [b for b in bins if b]
 
 
-def _exchange(bins: list[list[int]], size: list[int], fill: dict[int, int], capacity: int, giver: int, takers: list[int]) -> bool:
-    """The first step that brings more into a taker than it gives back."""
-    own = sorted(bins[giver], key=lambda i: (-size[i], i))
-    if fill[giver] and not size[own[0]]:
-        return False
-    for k in takers:
-        room = capacity - fill[k]
-        if not room:
+def _exchange(bins: list[list[int]], size: list[int], fill: dict[int, int], capacity: int, giver: int, takers: list[int], known: dict[int, np.ndarray] | None = None) -> tuple[int, ...]:
+    """The first step that brings more into a taker than it gives back: its taker,
+    or () if there is none. known: sums of containers met before."""
+    known = {} if known is None else known
+
+    def sums(k: int) -> np.ndarray:
+        if k not in known:
+            known[k] = _sums(bins[k], size)
+        return known[k]
+
+    own = sums(giver)
+    for at in range(0, len(takers), 256):
+        some = [k for k in takers[at : at + 256] if k != giver and fill[giver] <= fill[k] < capacity]
+        if not some:
+            continue
+        theirs = [sums(k) for k in some]
+        lengths = [len(x) for x in theirs]
+        flat, rooms = np.concatenate(theirs), np.repeat([capacity - fill[k] for k in some], lengths)
+        up = np.searchsorted(own, flat, "right")  # the least that is more than what comes back
+        fits = (up < len(own)) & (own[np.minimum(up, len(own) - 1)] <= flat + rooms)
+        if not fits.any():
             continue
-        best: tuple[int, tuple[int, ...], tuple[int, ...]] = (0, (), ())
-        for i in own:  # move one
-            if size[i] <= room:
-                best = (size[i], (i,), ())
-                break
-        mine = {}
-        for i in bins[k]:
-            mine.setdefault(size[i], i)
-        levels = np.array(sorted(mine))
-        for i in own:  # one for one: the least that leaves no more than the room
-            at = np.searchsorted(levels, max(1, size[i] - room))
-            if at < len(levels) and best[0] < size[i] - levels[at] <= room:
-                best = (int(size[i] - levels[at]), (i,), (mine[int(levels[at])],))
-        if best[0] < room:
-            few = own[:40]
-            for a, i in enumerate(few):  # two of the giver's for one of the taker's
-                for j in few[a + 1 :]:
-                    both = size[i] + size[j]
-                    at = np.searchsorted(levels, max(1, both - room))
-                    if at < len(levels) and best[0] < both - levels[at] <= room:
-                        best = (int(both - levels[at]), (i, j), (mine[int(levels[at])],))
-            lot = sorted(bins[k], key=lambda i: (size[i], i))[:40]
-            for i in few:  # one of the giver's for two of the taker's
-                for a, x in enumerate(lot):
-                    for y in lot[a + 1 :]:
-                        gain = size[i] - size[x] - size[y]
-                        if best[0] < gain <= room:
-                            best = (gain, (i,), (x, y))
-        gain, out, back = best
-        if gain > 0 and fill[k] + gain > fill[giver] - gain:
-            bins[giver] = [i for i in bins[giver] if i not in out] + list(back)
-            bins[k] = [i for i in bins[k] if i not in back] + list(out)
-            fill[giver] -= gain
-            fill[k] += gain
-            return True
-    return False
+        n = int(np.repeat(np.arange(len(some)), lengths)[fits.argmax()])
+        k, back = some[n], theirs[n]
+        give = own[np.searchsorted(own, back + capacity - fill[k], "right") - 1]
+        best = int((give - back).argmax())
+        out, into = _pick(bins[giver], size, int(give[best])), _pick(bins[k], size, int(back[best]))
+        gain = int(give[best] - back[best])
+        bins[giver] = [i for i in bins[giver] if i not in out] + list(into)
+        bins[k] = [i for i in bins[k] if i not in into] + list(out)
+        fill[giver] -= gain
+        fill[k] += gain
+        del known[giver], known[k]
+        return (k,)
+    return ()
 
 
 def _pack(capacity: int, round_no: int, most: int):
