@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from throng import catalog
 from throng.operators import aggregates, clusters, evaluate, guard, search
 from throng.plans import routes
 from throng.plans.answers import Comments
@@ -215,6 +216,19 @@ def test_opinion_share(spark, corpus, asked):
     assert clusters.coverage(found.where("place = 1"), corpus).first().coverage == 3 / 11
 
 
+def test_registered_share_is_the_overview(spark, corpus, monkeypatch):
+    """Nine opinions, of which the eight with the most comments and likes are shown."""
+    words = ["harbour", "editing", "music", "dragon", "voices", "ending", "costumes", "jokes", "pacing"]
+    rows = [(f"c{10 * i + j}", f"{w} {w} {w}", 100 * (9 - i) + j) for i, w in enumerate(words) for j in range(9 - i)]
+    said = spark.createDataFrame(rows, "cid string, text string, likes long")
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in corpus.schema if f.name not in said.columns]
+    monkeypatch.setattr(catalog, "corpus", lambda spark, sf_dir: said.select("*", *rest, F.lit("v1").alias("video_id")).fillna("").fillna(0.0))
+    monkeypatch.setattr(catalog, "phrased_questions", lambda spark, sf_dir: spark.createDataFrame([("any theories about pacing",)], "words string"))
+    got = catalog.opinion_share(spark, "").orderBy("place").collect()
+    assert [(r.question, r.place, r.label) for r in got] == [("", i + 1, f"{w} {w} {w}") for i, w in enumerate(words[:8])]
+    assert got[0].people == pytest.approx(20.0) and got[7].people == pytest.approx(round(200 / 45, 4))
+
+
 def test_facade_constructors(spark, corpus, tmp_path):
     Comments(corpus).save(str(tmp_path / "i"))
     again = Comments.load(spark, str(tmp_path / "i"))

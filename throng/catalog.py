@@ -153,7 +153,10 @@ def opinion_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def opinion_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.opinion_share(opinion_evidence(spark, sf_dir))
+    """The eight opinions of the overview: no question, ranked by social proof."""
+    comments, members, summary = _clusters(spark, sf_dir)
+    asked = spark.createDataFrame([("", "")], "question string, words string")
+    return clusters.opinion_share(clusters.evidence(comments, members, summary, asked, routes.OVERVIEW, 8))
 
 
 def bm25_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
