@@ -1,12 +1,16 @@
 """Containers hold everything, nothing too much, and little room is left."""
 
+import os
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from throng.llm import packing
+from throng.llm import bpe, packing
+
+DATA = "/root/testdata/sf0.01"
 
 
 def test_best_fit_and_search_keep_items():
@@ -27,10 +31,9 @@ def test_search_empties_a_container():
 
 def test_exchanges_two_for_one():
     sizes = np.array([60, 39, 30, 31])
-    fill = {0: 99, 1: 61}
-    bins = [[0, 1], [2, 3]]
-    assert packing._exchange(bins, sizes.tolist(), fill, 100, 1, [0])
-    assert fill[0] == 100 and sum(fill.values()) == 160 and sorted(bins[0]) == [1, 2, 3]
+    search = packing._Search([[0, 1], [2, 3]], sizes, 100)
+    assert search.step(1, [(0,)]) == 0
+    assert search.fill[0] == 100 and search.fill.sum() == 160 and sorted(search.bins[0]) == [1, 2, 3]
 
 
 def test_search_goes_on_after_a_stuck_giver():
@@ -42,9 +45,30 @@ def test_search_goes_on_after_a_stuck_giver():
 def test_pairs_beyond_the_largest_items():
     sizes = np.array([1000 + 2 * i for i in range(41)] + [4, 3, 6, 49_993])
     bins = [list(range(43)), [43, 44]]
-    fill = {k: int(sizes[b].sum()) for k, b in enumerate(bins)}
-    assert packing._exchange(bins, sizes.tolist(), fill, 50_000, 0, [1])
-    assert fill[1] == 50_000 and sorted(bins[1]) == [41, 42, 44]
+    search = packing._Search(bins, sizes, 50_000)
+    assert search.step(0, [(1,)]) == 1
+    assert search.fill[1] == 50_000 and sorted(search.bins[1]) == [41, 42, 44]
+
+
+def test_search_removes_containers_of_large_items():
+    """Items of a sixth to three quarters of a container: best fit leaves many short."""
+    sizes = np.random.default_rng(0).integers(700, 3000, 400)
+    start = packing.best_fit(sizes, 4096)
+    search = packing._Search(start, sizes, 4096)
+    search.run()
+    filled = [b for b in search.bins if b]
+    assert search.steps > 100 and len(filled) < 0.97 * len(start) and sorted(i for b in filled for i in b) == list(range(400))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_search_works_on_the_given_documents():
+    texts = pq.read_table(f"{DATA}/documents.parquet")["text"].to_pylist()
+    sizes = np.minimum(bpe.Encoder(*bpe.read_merges(bpe.tokenizer_path())).count([t or "" for t in texts]), 4096)
+    search = packing._Search(packing.best_fit(sizes, 4096), sizes, 4096)
+    before = (search.fill**2).sum()
+    search.run()
+    assert search.steps > 0 and (search.fill**2).sum() > before and search.fill.max() <= 4096
+    assert sum(map(bool, search.bins)) <= -(-sizes.sum() // 4096) + 1
 
 
 def test_search_moves_items_of_no_tokens():

@@ -1,9 +1,9 @@
 """Filling containers of a fixed capacity with whole items.
 
 Every partition of the sized items is packed by itself, without a shuffle, in loads
-of bounded size. A load starts from best fit by descending size; then a local search
-over its underfull containers exchanges up to two items for up to two, or moves
-them, whenever that raises the sum of squared fills, until nothing helps. Items of
+of bounded size. A load starts from best fit in the order of arrival; then a local
+search over its underfull containers exchanges up to two items for up to two, or
+moves them, whenever that raises the sum of squared fills, until nothing helps. Items of
 containers that still have room go into the next round over fewer partitions, until
 one load holds them all. Rounds that take off too little mix what is left over all
 loads, by a shuffle; when mixed rounds take off too little as well, the containers
@@ -27,22 +27,24 @@ from throng.session import stage_table
 #: Tokens a container holds.
 CAPACITY = 4096
 #: Items packed together; bounds the memory and the search of a task.
-LOAD = 50_000
+LOAD = 10_000
 #: A container with no more room than this part of the capacity is closed.
 CLOSED = 0.002
 #: A round counts as progress if it takes off this part of the items in containers
 #: with room, or this part of these containers; so the rounds come to an end.
 ITEMS_LESS, CONTAINERS_LESS = 0.1, 0.01
+#: Bits of a container's number for the container in its load, the load in its
+#: partition and the partition; the rest is the round.
+_NUMBER, _LOADS, _PARTS = 16, 17, 22
 _PACKED = [T.StructField(c, T.LongType()) for c in ("part", "tokens", "container", "room")]
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Item numbers of each container, by best fit of descending sizes."""
+    """Item numbers of each container, by best fit in the order of arrival."""
     bins: list[list[int]] = []
     room_of: dict[int, list[int]] = {}
     rooms = 0  # bit r is set while some container has room r
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        s = int(sizes[i])
+    for i, s in enumerate(sizes.tolist()):
         fits = rooms >> s
         if fits:
             r = (fits & -fits).bit_length() - 1 + s
@@ -77,6 +79,96 @@ def _pick(items: list[int], size: list[int], total: int) -> tuple[int, ...]:
     return next((s[0], of[total - t][-1]) for t, s in of.items() if total - t in of and (2 * t != total or len(s) > 1))
 
 
+class _Search:
+    """Containers under exchange; ``steps`` counts the exchanges made.
+
+    Sums of up to two items are kept for groups of containers side by side, so a
+    giver meets a whole group at once; a group is put together anew only after one
+    of its containers was altered.
+    """
+
+    def __init__(self, bins: list[list[int]], sizes: np.ndarray, capacity: int) -> None:
+        self.bins, self.size, self.capacity = bins, sizes.tolist(), capacity
+        self.fill = np.array([sum(self.size[i] for i in b) for b in bins], dtype=np.int64)
+        self.sums: dict[int, np.ndarray] = {}
+        self.groups: dict[tuple[int, ...], tuple[np.ndarray, np.ndarray]] = {}
+        self.within: dict[int, set[tuple[int, ...]]] = {}
+        self.steps = 0
+
+    def _sums_of(self, k: int) -> np.ndarray:
+        if k not in self.sums:
+            self.sums[k] = _sums(self.bins[k], self.size)
+        return self.sums[k]
+
+    def _group(self, takers: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        if takers not in self.groups:
+            theirs = [self._sums_of(k) for k in takers]
+            self.groups[takers] = np.concatenate(theirs), np.repeat(np.array(takers), [len(x) for x in theirs])
+            for k in takers:
+                self.within.setdefault(k, set()).add(takers)
+        return self.groups[takers]
+
+    def step(self, giver: int, groups: list[tuple[int, ...]]) -> int | None:
+        """Make the exchange that brings most into a fuller container of the first
+        group where any does; its taker, or None if there is none."""
+        own = self._sums_of(giver)
+        for takers in groups:
+            back, of = self._group(takers)
+            fill = self.fill[of]
+            give = own[np.searchsorted(own, back + self.capacity - fill, "right") - 1]
+            gain = np.where((of != giver) & (fill >= self.fill[giver]) & (fill < self.capacity), give - back, 0)
+            best = int(gain.argmax())
+            if gain[best] > 0:
+                taker = int(of[best])
+                self._move(giver, taker, int(give[best]), int(back[best]))
+                return taker
+        return None
+
+    def _move(self, giver: int, taker: int, give: int, back: int) -> None:
+        out, into = _pick(self.bins[giver], self.size, give), _pick(self.bins[taker], self.size, back)
+        self.bins[giver] = [i for i in self.bins[giver] if i not in out] + list(into)
+        self.bins[taker] = [i for i in self.bins[taker] if i not in into] + list(out)
+        self.fill[giver] -= give - back
+        self.fill[taker] += give - back
+        self.steps += 1
+        for k in (giver, taker):
+            self.sums.pop(k, None)
+            for g in self.within.pop(k, ()):
+                self.groups.pop(g, None)
+
+    def underfull(self) -> list[int]:
+        """Containers that aren't full, the fullest first."""
+        some = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
+        return some[np.argsort(-self.fill[some], kind="stable")].tolist()
+
+    def run(self) -> None:
+        """Exchange until a pass over all underfull containers brings nothing."""
+        altered: list[int] = []
+        stuck: dict[tuple[int, ...], int] = {}
+        moved = True
+        while moved:
+            moved = False
+            short = self.underfull()
+            near = _grouped(short)
+            for giver in short[::-1]:
+                while 0 < self.fill[giver] < (1 - CLOSED) * self.capacity:
+                    sig = tuple(sorted(self.size[i] for i in self.bins[giver] if self.size[i]))
+                    since = stuck.get(sig)
+                    taker = self.step(giver, near if since is None else _grouped(sorted(set(altered[since:]))))
+                    if taker is None:
+                        stuck[sig] = len(altered)
+                        break
+                    altered += [taker, giver]
+                    moved = True
+                if not self.fill[giver] and self.bins[giver]:  # items of no tokens
+                    self.bins[altered[-2]] += self.bins[giver]
+                    self.bins[giver] = []
+
+
+def _grouped(containers: list[int], most: int = 256) -> list[tuple[int, ...]]:
+    return [tuple(containers[at : at + most]) for at in range(0, len(containers), most)]
+
+
 def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Improve a packing by exchanges of up to two items for up to two.
 
@@ -86,73 +178,16 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> lis
     containers that aren't closed brings nothing. A giver that was stuck, and any
     other of the same sizes, meets only containers altered since.
     """
-    size = sizes.tolist()
-    fill = {k: sum(size[i] for i in b) for k, b in enumerate(bins)}
-    known: dict[int, np.ndarray] = {}
-    altered: list[int] = []
-    stuck: dict[tuple[int, ...], int] = {}
-    short = [k for k in fill if 0 < fill[k] < capacity]
-    moved = True
-    while moved:
-        moved = False
-        short = sorted((k for k in short if 0 < fill[k] < capacity), key=lambda k: (-fill[k], k))
-        for giver in short[::-1]:
-            while 0 < fill[giver] < (1 - CLOSED) * capacity:
-                sig = tuple(sorted(size[i] for i in bins[giver] if size[i]))
-                since = stuck.get(sig)
-                takers = short if since is None else sorted(set(altered[since:]), key=lambda k: (-fill[k], k))
-                step = _exchange(bins, size, fill, capacity, giver, takers, known)
-                if not step:
-                    stuck[sig] = len(altered)
-                    break
-                altered += [*step, giver]
-                moved = True
-            if not fill[giver] and bins[giver]:  # items of no tokens
-                bins[altered[-2]] += bins[giver]
-                bins[giver] = []
-    return [b for b in bins if b]
-
-
-def _exchange(bins: list[list[int]], size: list[int], fill: dict[int, int], capacity: int, giver: int, takers: list[int], known: dict[int, np.ndarray] | None = None) -> tuple[int, ...]:
-    """The first step that brings more into a taker than it gives back: its taker,
-    or () if there is none. known: sums of containers met before."""
-    known = {} if known is None else known
-
-    def sums(k: int) -> np.ndarray:
-        if k not in known:
-            known[k] = _sums(bins[k], size)
-        return known[k]
-
-    own = sums(giver)
-    for at in range(0, len(takers), 256):
-        some = [k for k in takers[at : at + 256] if k != giver and fill[giver] <= fill[k] < capacity]
-        if not some:
-            continue
-        theirs = [sums(k) for k in some]
-        lengths = [len(x) for x in theirs]
-        flat, rooms = np.concatenate(theirs), np.repeat([capacity - fill[k] for k in some], lengths)
-        up = np.searchsorted(own, flat, "right")  # the least that is more than what comes back
-        fits = (up < len(own)) & (own[np.minimum(up, len(own) - 1)] <= flat + rooms)
-        if not fits.any():
-            continue
-        n = int(np.repeat(np.arange(len(some)), lengths)[fits.argmax()])
-        k, back = some[n], theirs[n]
-        give = own[np.searchsorted(own, back + capacity - fill[k], "right") - 1]
-        best = int((give - back).argmax())
-        out, into = _pick(bins[giver], size, int(give[best])), _pick(bins[k], size, int(back[best]))
-        gain = int(give[best] - back[best])
-        bins[giver] = [i for i in bins[giver] if i not in out] + list(into)
-        bins[k] = [i for i in bins[k] if i not in into] + list(out)
-        fill[giver] -= gain
-        fill[k] += gain
-        del known[giver], known[k]
-        return (k,)
-    return ()
+    search = _Search([list(b) for b in bins], sizes, capacity)
+    search.run()
+    return [b for b in search.bins if b]
 
 
 def _pack(capacity: int, round_no: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
+        if part >> _PARTS or round_no >> 7:
+            raise ValueError(f"no container numbers for partition {part} in round {round_no}")
         held: list[pa.RecordBatch] = []
         load = 0
 
@@ -160,11 +195,13 @@ def _pack(capacity: int, round_no: int, most: int):
             nonlocal load
             items = pa.Table.from_batches(held).combine_chunks()
             held.clear()
+            if load >> _LOADS:
+                raise ValueError(f"more than {load} loads in a partition; use more partitions")
             sizes = items["tokens"].to_numpy()
             bins = local_search(best_fit(sizes, capacity), sizes, capacity)
             order = np.concatenate([np.array(b, dtype=np.int64) for b in bins])
             number = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
-            container = ((round_no * 10**6 + part) * 10**4 + load) * 10**5 + number
+            container = ((((round_no << _PARTS) + part) << _LOADS) + load << _NUMBER) + number
             room = capacity - np.bincount(number, weights=sizes[order]).astype(np.int64)[number]
             load += 1
             out = items.take(pa.array(order)).select(["doc_id", "part", "tokens"])
@@ -194,8 +231,8 @@ def pack_items(items: DataFrame, capacity: int, load: int = LOAD) -> DataFrame:
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    if not 1 <= load <= LOAD:
-        raise ValueError(f"a load must hold 1 to {LOAD} items")
+    if not 1 <= load <= 1 << _NUMBER:
+        raise ValueError(f"a load must hold 1 to {1 << _NUMBER} items")
     size = F.coalesce(F.col("tokens"), F.lit(0)).cast("long")
     last_part = F.greatest(F.lit(0), F.floor((F.col("all") - 1) / capacity)).cast("long")
     parts = items.select("doc_id", size.alias("all")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last_part)))
