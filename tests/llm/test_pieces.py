@@ -1,6 +1,7 @@
 """Pieces make up the text, fit, overlap and end at natural places."""
 
 import random
+import re
 
 import pytest
 
@@ -58,6 +59,48 @@ def test_sentences_before_words(encoder):
     assert all(s < a for s, a, _, _ in out[1:])
 
 
+def test_outline_nests():
+    text = "# A\n\nsome words\nmore\n\n## B\n- one\n  - two\n\n    of two\n- three\n# C\n<ul>\n<li>x</li>\n</ul>\nlast\n"
+    at = lambda part: text.index(part)
+    assert pieces.outline(text) == [
+        (0, 0), (0, 1), (0, 2), (at("more"), 3), (at("## B"), 2), (at("## B"), 3), (at("  - two"), 4), (at("    of two"), 5), (at("- three"), 3),
+        (at("# C"), 1), (at("# C"), 2), (at("# C"), 3), (at("last"), 2),
+    ]
+
+
+def test_outline_of_very_deep_nesting(encoder):
+    text = "".join(" " * i + "- item\n" for i in range(1500))
+    assert max(d for _, d in pieces.outline(text)) == pieces.DEEPEST
+    checked(encoder, text, 400, 0)
+
+
+def test_fenced_lines_are_no_headings():
+    text = "words\n\n```\n# no heading\n- no item\n```\n\nTitle\n=====\nbody\n"
+    assert [(text[c:][:3], d) for c, d in pieces.outline(text)] == [("wor", 0), ("wor", 1), ("```", 1), ("# n", 2), ("- n", 2), ("```", 2), ("Tit", 1), ("Tit", 2)]
+
+
+def test_neighbours_never_fit_in_one(encoder):
+    rnd = random.Random(8)
+    for _ in range(30):
+        text = "".join(rnd.choice(["# Head\n", "## Sub\n", "- item of words\n", "  - nested one\n", "Words in a line. And more of it. " * rnd.randint(1, 9) + "\n", "\n"]) + "." for _ in range(200))
+        out = checked(encoder, text, 90, 0)
+        sizes = encoder.count([text[a:b] for _, a, b, _ in out]).tolist()
+        assert all(a + b > 90 - 3 for a, b in zip(sizes, sizes[1:], strict=False))
+        assert all(text[a:b].strip() for _, a, b, _ in out)
+
+
+def test_headings_stay_with_what_follows(encoder):
+    text = "".join(f"# Part {i}\n\n" + "Some words of a long body. " * 40 + "\n\n" for i in range(6))
+    out = checked(encoder, text, 80, 0)
+    assert not any(re.fullmatch(r"\s*# Part \d\s*", text[a:b]) or re.search(r"# Part \d\s*$", text[a:b]) for _, a, b, _ in out)
+
+
+def test_rest_of_an_opened_section_joins_the_next(encoder):
+    text = "# A\n" + "Some long words here. " * 60 + "\n\n## B\nshort\n\n## C\nshort too\n"
+    out = checked(encoder, text, 128, 0)
+    assert "## B" in text[out[-1][1] :] and "## C" in text[out[-1][1] :] and "long words" in text[out[-1][1] :]
+
+
 def test_table(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "short", 0), (4, "Word after word. " * 400, 0), (4, "Word after word. " * 400, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, piece int")

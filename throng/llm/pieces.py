@@ -1,11 +1,15 @@
 """Splitting oversized texts at natural boundaries.
 
-A text is read as a tree: sections under headings by depth, paragraphs, comments
-and list items, lines, sentences, words, pre-tokens. Siblings are merged from the
-left up to the limit; only a node that is too large by itself is opened. Sizes
-are tokens of byte_bpe_50k. Cuts fall on starts of pre-tokens, where the tokens
-of a text are the tokens of its parts, so sizes are sums; a run of blanks at the
-end of a piece, which may group otherwise there, is counted anew.
+A text is parsed into a tree: sections under headings, marked-up blocks, list items
+and comments by their indent, paragraphs, lines. Only nodes that are too large by
+themselves are opened, down to remarks, sentences, words and pre-tokens inside one
+line; then siblings are merged bottom-up, left to right, up to the limit, the rest
+of an opened node with what follows it, so no two neighbouring pieces would fit in
+one. A heading stays with the first lines under it.
+
+Sizes are tokens of byte_bpe_50k. Cuts fall on starts of pre-tokens, where the
+tokens of a text are the tokens of its parts, so sizes are sums; a run of blanks at
+the end of a piece, which may group otherwise there, is counted anew.
 """
 
 from __future__ import annotations
@@ -20,14 +24,101 @@ from pyspark.sql import types as T
 
 from throng.llm.bpe import Encoder, SharedEncoder, slices
 
-# What starts a section, a paragraph, a comment or list item, a line.
-_HEADING = re.compile(r"^(#{1,6}) ", re.M)
-_PARAGRAPH = re.compile(r"(?:\r?\n|\r)[ \t]*(?:\r?\n|\r)\s*")
-_ITEM = re.compile(r"^(?:@|\[\d|[-*•] |\d+[.)] )", re.M)
-_LINE = re.compile(r"\r\n|\n|\r| | ")
+# What ends a line, starts a section, a marked-up block, a list item or
+# comment, and what parts remarks, sentences and words inside a line.
+_LINE = re.compile("(?:[^\\r\\n\\u2028\\u2029]*)(?:\\r\\n|[\\n\\r\\u2028\\u2029]|\\Z)")
+_HEADING = re.compile(r"(#{1,6})[ \t]")
+_UNDERLINE = re.compile(r"(={3,}|-{3,})\s*\Z")
+_FENCE = re.compile(r"[ \t]*(```+|~~~+)")
+_TAG = re.compile(r"[ \t]*<(/?)(article|aside|blockquote|body|div|dl|figure|footer|header|html|li|main|nav|ol|p|pre|section|table|tbody|tr|ul)\b[^<>]*>", re.I)
+_ITEM = re.compile(r"([ \t]*)(>(?:[ \t]*>)*[ \t]*)?(?:@|\[\d|[-*+•·][ \t]|\d+[.)][ \t])?")
+_REMARK = re.compile(r"[ \t]+[·•][ \t]+")
 _SENTENCE = re.compile(r"[.!?…]+[\"'”’)\]]*(?=\s)|[。！？]+")
 _WORD = re.compile(r"(?<=\S)(?=\s)")
-LEVELS = ("heading 1", "heading 2", "heading 3", "heading 4", "heading 5", "heading 6", "paragraph", "item", "line", "sentence", "word", "token", "character")
+_INLINE = (_REMARK, _SENTENCE, _WORD)
+#: Depth of the tree; what is nested deeper is no longer told apart by its depth.
+DEEPEST = 200
+
+
+def outline(text: str) -> list[tuple[int, int]]:
+    """(start, depth) of every node of the tree of a text, in the order of the text.
+
+    The root has depth 0; a node ends where the next one of no greater depth
+    starts. Text of a node before its first child belongs to the node itself. The
+    first node under a heading or a tag starts at these, if nothing else is
+    between. Nodes nested deeper than DEEPEST become siblings.
+    """
+    nodes = [(0, 0)]
+    around: list[tuple[str, int]] = []  # kind and rank of what is open at the line
+    held: int | None = 0  # where headings, tags or blanks start that the next node takes in
+    fresh, fence, underline = True, "", -1
+
+    def leave(kinds: str, rank: int) -> None:
+        while around and (around[-1][0] == "paragraph" or around[-1][0] in kinds and around[-1][1] >= rank):
+            around.pop()
+
+    def start(at: int, hold: bool = False) -> None:
+        nonlocal held
+        begin = at if held is None else held
+        nodes.append((begin, min(len(around) + 1, DEEPEST)))
+        held = begin if hold else None
+
+    lines = [(m.start(), m.group()) for m in _LINE.finditer(text) if m.group()]
+    for n, (at, line) in enumerate(lines):
+        if n == underline:
+            continue
+        if fence:
+            nodes.append((at, min(len(around) + 2, DEEPEST)))
+            if line.strip().startswith(fence):
+                fence, fresh = "", True
+            continue
+        if not line.strip():
+            fresh = True
+            continue
+        item = _ITEM.match(line)
+        indent = len(item.group(1).expandtabs(4)) + 2 * (item.group(2) or "").count(">")
+        if level := _heading_level(line, lines[n + 1][1] if fresh and n + 1 < len(lines) else ""):
+            leave("item", 0)
+            leave("heading", level)
+            start(at, hold=True)
+            around.append(("heading", level))
+            fresh, underline = True, -1 if line[0] == "#" else n + 1
+        elif tag := _TAG.match(line):
+            name = tag.group(2).lower()
+            if not tag.group(1):
+                leave("item", 0)
+                start(at, hold=not line[tag.end() :].strip())
+                if f"</{name}" not in line.lower():
+                    around.append((name, 0))
+            elif (name, 0) in around:
+                while around.pop() != (name, 0):
+                    pass
+            fresh = True
+        elif opening := _FENCE.match(line):
+            leave("item", indent)
+            start(at)
+            fence = opening.group(1)[:3]
+        elif item.end() > len(item.group(1)):
+            leave("item", indent)
+            start(at)
+            around.append(("item", indent))
+            fresh = False
+        elif fresh:
+            leave("item", indent)
+            start(at)
+            around.append(("paragraph", 0))
+            fresh = False
+        else:
+            start(at)
+    return nodes
+
+
+def _heading_level(line: str, below: str) -> int:
+    """Depth of the section that a line opens, by its signs or the line below; 0 if none."""
+    if head := _HEADING.match(line):
+        return len(head.group(1))
+    under = _UNDERLINE.match(below)
+    return 0 if not under or line[0] in " \t" else 1 if under.group(1)[0] == "=" else 2
 
 
 class _Text:
@@ -36,61 +127,88 @@ class _Text:
     def __init__(self, text: str, at: np.ndarray, sizes: np.ndarray) -> None:
         self.text, self.at = text, np.append(at, len(text))
         self.tokens = np.concatenate([[0], np.cumsum(sizes)])
-        self.levels: dict[int, np.ndarray] = {}
 
-    def _cuts(self, chars: list[int]) -> np.ndarray:
-        """Pre-tokens at these characters, or at the next with blanks between only."""
-        chars = np.unique(np.array(chars, dtype=np.int64))
+    def _places(self, chars: np.ndarray) -> np.ndarray:
+        """The pre-token at each character, or the next if only blanks are between;
+        -1 where there is none."""
         k = np.searchsorted(self.at, chars)
-        good = [i for c, i in zip(chars.tolist(), k.tolist(), strict=True) if self.at[i] == c or self.text[c : self.at[i]].isspace()]
-        return np.unique(np.array(good, dtype=np.int64))
-
-    def inside(self, level: int, lo: int, hi: int) -> np.ndarray:
-        """Boundaries of a level strictly between two pre-tokens."""
-        if level >= 9:
-            a, b = int(self.at[lo]), int(self.at[hi])
-            if level == 11:
-                return np.arange(lo + 1, hi)
-            found = [m.end() for m in (_SENTENCE if level == 9 else _WORD).finditer(self.text, a, b)]
-            cuts = self._cuts(found)
-        else:
-            if level not in self.levels:
-                self.levels[level] = self._cuts(self._chars(level))
-            cuts = self.levels[level]
-        return cuts[(cuts > lo) & (cuts < hi)]
-
-    def _chars(self, level: int) -> list[int]:
-        if level < 6:
-            if 0 not in self.levels or level == 0:
-                self.heads = [(m.start(), len(m.group(1)) - 1) for m in _HEADING.finditer(self.text)]
-            return [c for c, depth in self.heads if depth == level]
-        if level == 7:
-            return [m.start() for m in _ITEM.finditer(self.text)]
-        return [m.end() for m in (_PARAGRAPH if level == 6 else _LINE).finditer(self.text)]
-
-    def split(self, lo: int, hi: int, budget: int, level: int = 0) -> list[tuple[int, int, int]]:
-        """Pieces of at most ``budget`` tokens, and the level each ends at; a single
-        larger pre-token stays whole here."""
+        for j in np.flatnonzero(self.at[k] != chars).tolist():
+            if not self.text[chars[j] : self.at[k[j]]].isspace():
+                k[j] = -1
+        return k
+
+    def tree(self) -> list[tuple[int, int]]:
+        """(pre-token, depth) of the nodes of the outline that start at one."""
+        nodes = outline(self.text)
+        places = self._places(np.array([c for c, _ in nodes], dtype=np.int64)).tolist()
+        return [(k, depth) for k, (_, depth) in zip(places, nodes, strict=True) if k >= 0]
+
+    def pieces(self, budget: int) -> list[tuple[int, int]]:
+        """The text as pieces of at most ``budget`` tokens; a single larger
+        pre-token stays whole here."""
+        nodes = self.tree()
+        after = _next_of_no_greater_depth([d for _, d in nodes])
+        return self._opened(nodes, after, 0, len(self.at) - 1, budget)
+
+    def _opened(self, nodes: list[tuple[int, int]], after: list[int], node: int, hi: int, budget: int) -> list[tuple[int, int]]:
+        """Pieces of an oversized node: its children, opened if need be, then merged."""
+        total, units = self.tokens, []
+        lo, child, last = nodes[node][0], node + 1, after[node]
+        own = nodes[child][0] if child < last else hi
+        if own > lo:
+            units += [(lo, own)] if total[own] - total[lo] <= budget else self._inline(lo, own, budget)
+        while child < last:
+            a, follow = nodes[child][0], after[child]
+            b = nodes[follow][0] if follow < last else hi
+            if b > a:
+                units += [(a, b)] if total[b] - total[a] <= budget else self._opened(nodes, after, child, b, budget)
+            child = follow
+        return self._merged(units, budget)
+
+    def _inline(self, lo: int, hi: int, budget: int, level: int = 0) -> list[tuple[int, int]]:
+        """Pieces of a stretch without structure of its own."""
         total = self.tokens
         if total[hi] - total[lo] <= budget or hi - lo == 1:
-            return [(lo, hi, level)]
-        cuts = self.inside(level, lo, hi)
-        if not len(cuts):
-            return self.split(lo, hi, budget, level + 1)
+            return [(lo, hi)]
+        if level == len(_INLINE):
+            cuts = np.arange(lo + 1, hi)
+        else:
+            ends = [m.end() for m in _INLINE[level].finditer(self.text, int(self.at[lo]), int(self.at[hi]))]
+            cuts = np.unique(self._places(np.array(ends, dtype=np.int64)))
+            cuts = cuts[(cuts > lo) & (cuts < hi)]
+            if not len(cuts):
+                return self._inline(lo, hi, budget, level + 1)
         edges = np.concatenate([[lo], cuts, [hi]])
-        size = total[edges]
+        over = np.diff(total[edges]) > budget
+        if level == len(_INLINE) or not over.any():
+            return self._merged(np.stack([edges[:-1], edges[1:]], axis=1).tolist(), budget)
+        units: list[tuple[int, int]] = []
+        for a, b, large in zip(edges[:-1].tolist(), edges[1:].tolist(), over.tolist(), strict=True):
+            units += self._inline(a, b, budget, level + 1) if large else [(a, b)]
+        return self._merged(units, budget)
+
+    def _merged(self, units: list[tuple[int, int]], budget: int) -> list[tuple[int, int]]:
+        """Neighbours put together from the left as long as they stay in the budget."""
+        edges = np.array([units[0][0], *(b for _, b in units)], dtype=np.int64)
+        size = self.tokens[edges]
         out, i = [], 0
-        while i < len(edges) - 1:
-            j = int(np.searchsorted(size, size[i] + budget, side="right")) - 1
-            if j > i:
-                out.append((int(edges[i]), int(edges[j]), level))
-                i = j
-            else:
-                out += self.split(int(edges[i]), int(edges[i + 1]), budget, min(level + 1, 11))
-                i += 1
+        while i < len(units):
+            j = max(i + 1, int(np.searchsorted(size, size[i] + budget, side="right")) - 1)
+            out.append((int(edges[i]), int(edges[j])))
+            i = j
         return out
 
 
+def _next_of_no_greater_depth(depths: list[int]) -> list[int]:
+    """For each node the number of the next one that isn't inside it."""
+    out, waiting = [len(depths)] * len(depths), []
+    for k, d in enumerate(depths):
+        while waiting and depths[waiting[-1]] >= d:
+            out[waiting.pop()] = k
+        waiting.append(k)
+    return out
+
+
 def _by_bytes(word: str, most: int) -> Iterator[int]:
     """Ends of parts of a string with at most ``most`` bytes each."""
     used = 0
@@ -112,7 +230,7 @@ def split_text(text: str, at: np.ndarray, sizes: np.ndarray, encoder: Encoder, l
     doc = _Text(text, at, sizes)
     total, budget = doc.tokens, limit - overlap
     spans: list[tuple[int, int, int, int]] = []
-    for lo, hi, _ in doc.split(0, len(at), budget):
+    for lo, hi in doc.pieces(budget):
         a, b = int(doc.at[lo]), int(doc.at[hi])
         if total[hi] - total[lo] <= budget:
             spans.append((a, b, lo, hi))
@@ -128,7 +246,7 @@ def split_text(text: str, at: np.ndarray, sizes: np.ndarray, encoder: Encoder, l
             p, _, plo, phi = spans[k - 1]
             if lo >= 0 and plo >= 0:
                 j = max(plo, int(np.searchsorted(total, total[lo] - overlap)))
-                words = [x for x in range(j, min(j + 40, lo)) if x == plo or text[doc.at[x]].isspace() or text[doc.at[x] - 1].isspace()]
+                words = [x for x in range(j, lo) if x == plo or text[doc.at[x]].isspace() or text[doc.at[x] - 1].isspace()]
                 start = int(doc.at[words[0] if words else j])
             else:
                 tail, used = a, 0
