@@ -37,7 +37,7 @@ from throng.session import stage_path
 CLUSTERED = "grp string, score long, tie string"
 FOOTER = "path string, row_group long, first string, last string, low long, high long, rows long"
 #: Rows of a row group, the unit of skipping, and of a file, the unit of reading.
-ROW_GROUP_ROWS, FILE_ROWS = 8192, 4_000_000
+ROW_GROUP_ROWS, FILE_ROWS = 4096, 4_000_000
 
 
 def _open(path: str) -> pq.ParquetFile:
