@@ -30,10 +30,16 @@ SAME_SHAPE = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ӏ": "l", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "У": "Y", "Ү": "Y", "Ԁ": "D", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V",
     # Greek
-    "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
+    "ο": "o", "ν": "v", "ρ": "p", "ϲ": "c", "ϳ": "j",
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "Ϝ": "F",
     # Armenian and phonetic letters
     "օ": "o", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "ɑ": "a", "ɡ": "g", "ɩ": "i", "Օ": "O", "Տ": "S",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    # Coptic
+    "ⲟ": "o", "ⲣ": "p", "ⲥ": "c", "Ⲃ": "B", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲭ": "X",
 }
 # Format characters that do show something.
 _VISIBLE_FORMAT = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD, *range(0x13430, 0x13460)}
@@ -51,7 +57,7 @@ def _expansions() -> dict[int, str]:
             out[cp] = ""
         elif kind == "Zs" or ch == "\t":
             out[cp] = " "
-        elif tag.startswith(("<wide>", "<narrow>")) or tag.startswith("<compat>") and tag.count(" ") > 1 and all(ud.category(chr(int(x, 16)))[0] == "L" for x in tag.split()[1:]):
+        elif tag.startswith(("<wide>", "<narrow>")) or tag.startswith("<compat>") and kind[0] == "L" and tag.count(" ") > 1 and all(ud.category(chr(int(x, 16)))[0] == "L" for x in tag.split()[1:]):
             out[cp] = "".join(chr(int(x, 16)) for x in tag.split()[1:])
     return out
 
@@ -143,18 +149,24 @@ def lookalike_pairs(values: DataFrame, key: str, value: str, name: str) -> DataF
     ``values`` may repeat rows. Null and empty values take no part. Returns
     ``key_a``, ``key_b`` with key_a < key_b, each pair once.
 
-    1. Each canonical form, as a hash, is reduced map-side to the least and
-       greatest hash of its strings; where they differ, it is mixed.
-    2. Only rows of mixed forms go on, with their whole strings, so that a hash
-       that two forms share can't pair them.
+    1. Every string is brought to its form once; only hashes of both are kept.
+       Each form is reduced map-side to the least and greatest hash of its
+       strings; where they differ, it is mixed.
+    2. Rows whose string may be of a mixed form, found again by the hash of the
+       string, go on whole, so that hashes that two strings share can't pair them.
     3. Pairs are made between the different strings of a form first and joined
        with the keys of either string then. No row meets another of its own
        string, so the work follows the result however many copies a string has.
+
+    The hashes in question are written before they are joined: Spark knows their
+    size then and sends them to all tasks only below its broadcast threshold.
     """
-    rows = values.select(F.col(key).alias("k"), F.col(value).alias("v")).where("k is not null and v is not null and v <> ''").withColumn("c", canonical_column(F.col("v")))
-    hashed = rows.select(F.xxhash64("c").alias("h"), F.xxhash64("v").alias("s"))
-    mixed = hashed.groupBy("h").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a <> b").select("h")
-    few = stage_table(rows.withColumn("h", F.xxhash64("c")).join(mixed, "h", "left_semi").select("c", "v", "k").distinct(), name)
+    rows = values.select(F.col(key).alias("k"), F.col(value).alias("v")).where("k is not null and v is not null and v <> ''")
+    hashed = stage_table(rows.select(F.xxhash64("v").alias("s"), F.xxhash64(canonical_column(F.col("v"))).alias("h")), f"{name}-hashes")
+    mixed = stage_table(hashed.groupBy("h").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a <> b").select("h"), f"{name}-mixed")
+    odd = stage_table(hashed.join(mixed, "h", "left_semi").select("s").distinct(), f"{name}-odd")
+    few = rows.withColumn("s", F.xxhash64("v")).join(odd, "s", "left_semi").select(canonical_column(F.col("v")).alias("c"), "v", "k")
+    few = stage_table(few.distinct(), name)
     strings = few.select("c", "v").distinct()
     other = strings.select("c", F.col("v").alias("w"))
     met = strings.join(other, "c").where("v < w").select("c", "v", "w")
