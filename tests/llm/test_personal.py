@@ -56,13 +56,68 @@ def test_nothing(table):
 
 
 def test_redaction(table):
-    weights = personal.fit(personal.spans_table(table))
-    rows = {r.cid: r for r in personal.redact(table, weights).collect()}
+    model = personal.fit(personal.spans_table(table))
+    rows = {r.cid: r for r in personal.redact(table, model).collect()}
     assert rows["c0"].text_redacted == "write me at [EMAIL] please"
     assert rows[f"c{len(CASES)}"].text_redacted == HARMLESS[0]
     assert rows["n"].text_redacted is None and rows["e"].text_redacted == "" and rows["c0"].kind == "old"
 
 
+UNLISTED = [
+    ("My neighbour is Deepak Chopra and he sings", ["Deepak Chopra"]),
+    ("I met Wei Zhang yesterday", ["Wei Zhang"]),
+    ("we talked to Nguyen Van Minh about it", ["Nguyen Van Minh"]),
+    ("saw Tyrone Jackson at the premiere", ["Tyrone Jackson"]),
+    ("Thanks Priyanka Sharma for the ride", ["Priyanka Sharma"]),
+    ("thanks, Old Hesper did nothing wrong", []),
+    ("Mottrick lives on Quarry Hill Lane in the story", []),
+    ("the Quarry Hill scene still hurts", []),
+    ("I SAID SO MANY TIMES", []),
+]
+
+
+def test_names_that_no_list_has(spark, table):
+    figures = personal.figure_words(spark.createDataFrame([("Old Hesper: the end, part 1",), ("Mottrick: editing",), (None,)], "title string"))
+    assert figures == {"old", "hesper", "mottrick"}
+    model = personal.fit(personal.spans_table(table, figures), figures)
+    for text, names in UNLISTED:
+        assert [text[s.begin : s.end] for s in model.decide(personal.propose(text, figures), text)] == names, text
+
+
+def test_words_common_in_capitals_are_no_names(spark):
+    rows = [(f"c{i}", f"ich habe Liebe Oma{'rst'[i % 3]} gefragt") for i in range(60)] + [("d", "then Wei Zhang sang"), ("e", "my name is Clara Hofberg")]
+    spans = personal.spans_table(spark.createDataFrame(rows, "cid string, text string"))
+    assert personal.common_words(spans) >= {"liebe", "omar"}
+    assert "zhang" not in personal.common_words(spans)
+    told = personal.with_common(spans, frozenset({"liebe"}))
+    assert told.where(f"votes like '%-' and array_contains(features, {personal.COMMON})").count() == 60
+
+
+def test_long_addresses_are_whole(table):
+    street = "Neue " + "Ober" * 30 + "straße 12"
+    model = personal.fit(personal.spans_table(table))
+    text = f"ich wohne {street} schon lange"
+    assert [s.kind for s in personal.propose(text)] == ["address"]
+    assert [text[s.begin : s.end] for s in model.decide(personal.propose(text), text)] == [street]
+
+
+def test_texts_of_one_cid_are_decided_on_apart(spark, table):
+    extra = spark.createDataFrame([("t", "call me on +44 7700 900123 tonight", ""), ("t", "my social 923-04-1188 is known", "")], table.schema)
+    assert {(r.kind, r.value) for r in personal.found(table.unionByName(extra)).where("cid = 't'").collect()} == {("phone", "+44 7700 900123"), ("id", "923-04-1188")}
+
+
+def test_draw_of_any_number_of_spans():
+    assert personal.draw_below(10) == 2**63 - 1
+    assert 0 < personal.draw_below(10**11) < personal.draw_below(10**7) < 2**63 - 1
+    assert personal.draw_below(10**7) / 2**63 * 10**7 <= personal.MOST_SPANS / len(personal.KINDS)
+
+
+def test_silence_of_partial_labelers_is_no_evidence():
+    counts = {(1, 1, 0): 300, (0, 1, 0): 5, (0, 1, -1): 40, (0, -1, -1): 300}
+    p = personal.reliabilities(counts, partial=(0,))
+    assert p[(0, 1, 0)] > 0.9 and p[(0, -1, -1)] < 0.05
+
+
 def test_reliabilities_follow_the_better_labeler():
     counts = {(1, 1): 400, (-1, -1): 400, (1, -1): 60, (-1, 1): 2, (0, 1): 50, (0, -1): 50}
     p = personal.reliabilities(counts)

@@ -30,6 +30,10 @@ from throng.session import stage_table
 KINDS = ("email", "phone", "id", "address", "name")
 #: Spans that the classifier is fitted on at most, drawn by a hash of the span.
 MOST_SPANS = 20_000
+#: Labelers of names that know some of them: given names, endings, words around.
+PARTIAL = (0, 1, 2, 3)
+#: Words of figures' names that are sent to all tasks.
+MOST_FIGURES = 100_000
 #: Slots of hashed features.
 SLOTS = 1 << 15
 
@@ -75,8 +79,10 @@ ADDRESS_LEFT = re.compile(
     rf"(?<![\w-])(?:(?:{_STREET_ES})\.? (?:(?:de las|de los|de la|del|de|da|do|della|del) )?{_WORD}(?: (?:(?:de|del|de la) )?{_WORD})?,? ?(?:n[º°.]\.? ?|núm\.? |no\. )?|(?:(?:alte|neue|kleine|große|lange|obere|untere|hintere)[rns]? {_LETTER}*|{_LETTER}{{3,}}(?:-{_LETTER}+)*)(?:{_STREET_DE}) |(?:am|an der|an den|im|in der|zum|zur|auf dem|auf der|unter den|hinter dem) {_LETTER}{{4,}} )(?P<number>\d{{1,4}}(?: ?[a-h](?![\w'’]))?)(?![\w]|:\d)",
     re.I,
 )
-NAME = re.compile(rf"(?<![\w@#'’-])(?P<given>{_LETTER}{{2,}}(?:-{_LETTER}{{2,}})?) (?P<middle>(?:{_LETTER}\.? )*)(?P<family>(?:(?:van der|van|von|de la|de|di|da|del|le|al|bin|mc|o['’]) ?)?{_LETTER}{{3,}}(?:['’-]{_LETTER}{{2,}})*)(?![\w@])")
+NAME = re.compile(rf"(?<![\w@#'’-])(?P<given>{_LETTER}{{2,}}(?:-{_LETTER}{{2,}})?) (?P<middle>(?:{_LETTER}\.? )*)(?P<family>(?:(?:(?i:van der|van|von|de la|de|di|da|del|le|al|bin|mc)|[oO]['’]) ?)?{_LETTER}{{3,}}(?:['’-]{_LETTER}{{2,}})*)(?![\w@])")
 NAME_CUE = re.compile(r"(?:name is|me llamo|ich heiße|je m['’]appelle|mi nombre es|signed,?|greetings from|(?:mr|mrs|ms|dr|prof|frau|herr)\.?|teacher|neighbour) $", re.I)
+_CAPITAL = r"[^\W\d_a-zà-öø-ÿß-]"
+TITLED = re.compile(rf"(?<![\w@#'’-]){_CAPITAL}[^\W\d_]+(?:-[^\W\d_]+)? (?:{_LETTER}\.? )*(?:{_LETTER}+ |[oO]['’]|Mc)?{_CAPITAL}")
 _DATE = re.compile(r"(?:19|20)\d\d[-./ ]\d{1,2}[-./ ]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./](?:19|20)?\d\d")
 _YEARS = re.compile(r"(?:19|20)\d\d ?[-–/] ?(?:19|20)\d\d")
 _BUILD = re.compile(r"\d{1,3}\.\d{1,3}\.\d{4}\.\d{1,4}")
@@ -131,7 +137,7 @@ def _vote(yes: bool, no: bool = False) -> int:
     return 1 if yes else -1 if no else 0
 
 
-def _spans(text: str) -> Iterator[tuple[str, int, int, tuple[int, ...]]]:
+def _spans(text: str, figures: frozenset[str]) -> Iterator[tuple[str, int, int, tuple[int, ...]]]:
     """Kind, begin, end and votes of every proposed span of a folded text."""
     low = text.lower()
     if "@" in low or "at" in low and (" at " in low or "at)" in low or "at]" in low or "at}" in low):
@@ -206,19 +212,22 @@ def _spans(text: str) -> Iterator[tuple[str, int, int, tuple[int, ...]]]:
                     _vote(8 <= digits <= 11 or any(c.isalpha() for c in value), digits < 7),
                 ),
             )
+    left: dict[int, re.Match] | None = None
+    places: list[tuple[int, int]] = []
     for m in SMALL.finditer(text):
         if right := ADDRESS_RIGHT.match(text, m.start()):
             begin, end = right.start(), right.start() + len(_whole_name(right.group()))
             words = _WORDS.findall(text[begin:end].lower())
         else:
-            left = max(0, m.start() - 60)
-            hit = next((h for h in ADDRESS_LEFT.finditer(text, left, min(len(text), m.end() + 3)) if h.start("number") == m.start()), None)
-            if not hit:
+            if left is None:
+                left = {h.start("number"): h for h in ADDRESS_LEFT.finditer(text)}
+            if not (hit := left.get(m.start())):
                 continue
             begin, end = hit.span()
             words = _WORDS.findall(hit.group().lower())
         before, after = _around(text, begin, end)
         number_first = bool(right)
+        places.append((begin, end))
         yield (
             "address",
             begin,
@@ -232,28 +241,32 @@ def _spans(text: str) -> Iterator[tuple[str, int, int, tuple[int, ...]]]:
             ),
         )
     words = {w for w in _WORDS.findall(low)}
-    if not words.isdisjoint(GIVEN) or not words.isdisjoint(_NAME_WORDS):
-        for m in _names(text):
-            given, family = m["given"].lower(), m["family"].lower()
-            before, after = _around(text, *m.span())
-            known = all(g in GIVEN for g in given.split("-"))
-            cue = bool(NAME_CUE.search(text, max(0, m.start() - 24), m.start()))
-            if not known and not cue:
-                continue
-            g, f = m["given"], m["family"]
-            alike = g[:1].isupper() and f[:1].isupper() and (g.isupper() == f.isupper() or len(f) < 4)
-            yield (
-                "name",
-                *m.span(),
-                (
-                    _vote(known, not known and not alike),
-                    _vote(bool(FAMILY_ENDING.search(family)) and len(family) > 5, family in _ORDINARY or len(family) < 4),
-                    _vote(cue or bool(set(before[-1:]) & _cues("name"))),
-                    _vote(bool(set(after[:1]) & NAME_AFTER)),
-                    _vote(alike, g[:1].isupper() != f[:1].isupper()),
-                    _vote(False, bool({given, family} & _ORDINARY)),
-                ),
-            )
+    told = not words.isdisjoint(GIVEN) or not words.isdisjoint(_NAME_WORDS)
+    for m in _names(text) if told else _titled(text):
+        given, family = m["given"].lower(), m["family"].lower()
+        before, after = _around(text, *m.span())
+        known = all(g in GIVEN for g in given.split("-"))
+        cue = bool(NAME_CUE.search(text, max(0, m.start() - 24), m.start()))
+        g, f = m["given"], m["family"]
+        alike = g[:1].isupper() and f[:1].isupper() and (g.isupper() == f.isupper() or len(f) < 4)
+        own = {given, *family.split()}
+        against = given == family or not own.isdisjoint(_ORDINARY) or before[-1:] != [] and before[-1] in _ARTICLES, not own.isdisjoint(figures), not own.isdisjoint(_STREETS) or f.lower().endswith(_STREET_ENDS) or after[:1] != [] and after[0] in _STREETS
+        if not known and (against[1] or not cue and (any(against) or any(m.start() < e and b < m.end() for b, e in places))):
+            continue  # capitals alone don't make a figure, a street or the start of a sentence a name
+        last = text[: m.start()].rstrip()[-1:]
+        yield (
+            "name",
+            *m.span(),
+            (
+                _vote(known, not known and not alike),
+                _vote(bool(FAMILY_ENDING.search(family)) and len(family) > 5, family in _ORDINARY or len(family) < 4),
+                _vote(cue or bool(set(before[-1:]) & _cues("name"))),
+                _vote(bool(set(after[:1]) & NAME_AFTER)),
+                _vote(alike, g[:1].isupper() != f[:1].isupper()),
+                *(_vote(False, no) for no in against),
+                _vote(last.isalpha() and before[-1:] != [] and before[-1] not in _ORDINARY_OPENERS or last == ","),
+            ),
+        )
 
 
 def _emails(text: str) -> Iterator[re.Match]:
@@ -288,17 +301,46 @@ def _whole_name(address: str) -> str:
 
 
 def _names(text: str) -> Iterator[re.Match]:
-    """Pairs of neighbouring words, overlapping ones too."""
+    """Pairs of neighbouring words with a known given name, after words that
+    announce a name, or with capitals; the latter may overlap others."""
     at = 0
     while m := NAME.search(text, at):
         given = m["given"].lower()
-        if given.split("-")[0] in GIVEN or NAME_CUE.search(text, max(0, m.start() - 24), m.start()):
+        if given.split("-")[0] in GIVEN or given not in _ORDINARY and NAME_CUE.search(text, max(0, m.start() - 24), m.start()):
             yield m
             at = m.end()
         else:
+            if _is_titled(m):
+                yield m
             at = m.end("given")
 
 
+def _titled(text: str) -> Iterator[re.Match]:
+    """Pairs of neighbouring words with capitals, overlapping ones too."""
+    at = 0
+    while found := TITLED.search(text, at):
+        if (m := NAME.match(text, found.start())) and _is_titled(m):
+            yield m
+        at = found.start() + 1
+
+
+def _is_titled(m: re.Match) -> bool:
+    """Whether given and family name have a capital at their start and small letters."""
+    family = m["family"].split()[-1]
+    return m["given"].lower() not in _PARTICLES and m["given"][0].isupper() and m["given"][1:].islower() and family[0].isupper() and not family.isupper()
+
+
+def figure_words(titles: DataFrame, column: str = "title") -> frozenset[str]:
+    """Words with a capital in titles: names of figures, which are no persons.
+
+    For titles of a catalogue of bounded size; refused beyond MOST_FIGURES words.
+    """
+    words = titles.select(F.explode(F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(r"(\p{Lu}[\p{L}'’-]+)"), F.lit(1))).alias("w")).select(F.lower("w").alias("w")).distinct().limit(MOST_FIGURES + 1).collect()
+    if len(words) > MOST_FIGURES:
+        raise ValueError(f"more than {MOST_FIGURES} words with a capital in titles")
+    return frozenset(r.w for r in words)
+
+
 def _cues(kind: str) -> frozenset[str]:
     return _CUE_SETS[kind]
 
@@ -309,16 +351,22 @@ _NAME_WORDS = frozenset("name llamo heiße appelle nombre signed greetings dr pr
 _STREETS = frozenset(f"{_STREET_EN}|{_STREET_FR}|{_STREET_ES}".replace("/", "").split("|")) - {"c", "via"} | {"am", "im"}
 _STREET_ENDS = ("straße", "strasse", "str", "gasse", "weg", "allee", "platz", "ufer", "damm", "grund", "chaussee")
 # Frequent words that are no part of a person's or a street's name.
-_ORDINARY = frozenset("the is was and are for that this with you not but have had has were been its it's his her she he they them who what when why how all any can did does est les des une und der die das ist war mit von auf que los las por con para del minutes minute seconds episode episodes season part pacing ending animation views year years time times weeks did one best more".split())
+_ORDINARY = frozenset("hey hello hi dear thanks thank please only also even then just maybe honestly great good my our your no yes if there here seit meine mein kann bitte für ich warum wer wie nicht eine ein auch noch sehr merci pour une dans avec gracias muy pero the is was and are for that this with you not but have had has were been its it's his her she he they them who what when why how all any can did does est les des une und der die das ist war mit von auf que los las por con para del minutes minute seconds episode episodes season part pacing ending animation views year years time times weeks did one best more".split())
 
 
-def propose(text: str | None) -> list[Span]:
-    """Proposed spans of a text, in places of the text itself."""
+_PARTICLES = frozenset("van von der de la di da del le al bin mc".split())
+_ARTICLES = frozenset("the a an this that these those der die das dem den le la les el los las il lo".split())
+_ORDINARY_OPENERS = frozenset("thanks thank hey hello hi dear".split())
+
+
+def propose(text: str | None, figures: frozenset[str] = frozenset()) -> list[Span]:
+    """Proposed spans of a text, in places of the text itself. figures: words of
+    names that aren't persons', in lower case."""
     if not text:
         return []
     plain, at = fold(text)
     out = []
-    for kind, begin, end, votes in _spans(plain):
+    for kind, begin, end, votes in _spans(plain, figures):
         before, after = _around(plain, begin, end)
         value = plain[begin:end]
         shape = re.sub(r"[a-zà-ÿ]+", "a", re.sub(r"[A-ZÀ-Þ]+", "A", re.sub(r"\d", "9", value)))
@@ -331,10 +379,13 @@ def propose(text: str | None) -> list[Span]:
     return out
 
 
-def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 60) -> dict[tuple[int, ...], float]:
+def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 60, partial: tuple[int, ...] = ()) -> dict[tuple[int, ...], float]:
     """Probability of each vote pattern to be a case, by EM over pattern counts.
 
-    A two-class naive Bayes model; it starts from the majority of votes.
+    A two-class naive Bayes model; it starts from the majority of votes. partial:
+    labelers that can only know some of the cases, as a list of names does: if they
+    say nothing, that is no evidence. Where there are such, each labeler is taken
+    to be better than chance, so a vote never counts for its opposite.
     """
     patterns = sorted(counts)
     votes = np.array(patterns)
@@ -344,11 +395,12 @@ def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 60) -> dict[
         prior = np.clip((n * p).sum() / n.sum(), 0.01, 0.99)
         score = np.full(len(p), np.log(prior / (1 - prior)))
         for j in range(votes.shape[1]):
-            for v in (-1, 0, 1):
+            for v in (-1, 1) if j in partial else (-1, 0, 1):
                 here = votes[:, j] == v
                 yes = ((n * p)[here].sum() + 0.5) / ((n * p).sum() + 1.5)
                 no = ((n * (1 - p))[here].sum() + 0.5) / ((n * (1 - p)).sum() + 1.5)
-                score[here] += np.clip(np.log(yes / no), -4, 4)
+                low, high = (min(4 * v, 0), max(4 * v, 0)) if partial and v else (-4, 4)
+                score[here] += np.clip(np.log(yes / no), low, high)
         p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
     return dict(zip(patterns, p.tolist(), strict=True))
 
@@ -369,77 +421,124 @@ def fit_spans(features: list[list[int]], truth: np.ndarray, steps: int = 300, de
     return out
 
 
-def decide(spans: list[Span], weights: np.ndarray) -> list[Span]:
-    """The spans that are cases; of overlapping ones the likeliest, then longest."""
-    scored = sorted(((float(weights[s.features].sum()), s) for s in spans), key=lambda p: (-p[0], p[1].begin - p[1].end, p[1].begin))
-    kept: list[Span] = []
-    for z, s in scored:
-        if z > 0 and all(s.end <= k.begin or k.end <= s.begin for k in kept):
-            kept.append(s)
-    return sorted(kept, key=lambda s: s.begin)
-
-
-_SPAN = T.StructType(
-    [
-        T.StructField("text_key", T.LongType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("begin", T.IntegerType()),
-        T.StructField("finish", T.IntegerType()),
-        T.StructField("value", T.StringType()),
-        T.StructField("votes", T.StringType()),
-        T.StructField("features", T.ArrayType(T.IntegerType())),
-    ]
-)
-_COLUMNS = [f.name for f in _SPAN][1:]
-
-
-def spans_table(comments: DataFrame, keep: tuple[str, ...] = ("cid",)) -> DataFrame:
-    """All proposed spans with ``keep``, written to the shared folder."""
-    slim = comments.select(*keep, "text").where("text <> ''")
-    schema = T.StructType([*slim.drop("text").schema.fields, *_SPAN.fields[1:]])
-    n = len(keep)
+@dataclass
+class SpanModel:
+    """What decides on spans: weights, words that are common in pairs of words
+    with capitals, and words of figures' names. Of bounded size."""
+
+    weights: np.ndarray
+    common: frozenset[str] = frozenset()
+    figures: frozenset[str] = frozenset()
+
+    def decide(self, spans: list[Span], text: str | None = None) -> list[Span]:
+        """The spans that are cases; of overlapping ones the likeliest, then longest.
+
+        text: given if features of common words aren't in the spans yet.
+        """
+        scored = []
+        for s in spans:
+            z = float(self.weights[s.features].sum())
+            if text is not None and s.kind == "name" and not self.common.isdisjoint(text[s.begin : s.end].lower().split(" ")):
+                z += float(self.weights[COMMON])
+            scored.append((z, s))
+        kept: list[Span] = []
+        for z, s in sorted(scored, key=lambda p: (-p[0], p[1].begin - p[1].end, p[1].begin)):
+            if z > 0 and all(s.end <= k.begin or k.end <= s.begin for k in kept):
+                kept.append(s)
+        return sorted(kept, key=lambda s: s.begin)
+
+
+#: Feature of names that have a common word.
+COMMON = zlib.crc32(b"name|common") % SLOTS
+_SPAN = [
+    T.StructField("kind", T.StringType()),
+    T.StructField("begin", T.IntegerType()),
+    T.StructField("finish", T.IntegerType()),
+    T.StructField("value", T.StringType()),
+    T.StructField("votes", T.StringType()),
+    T.StructField("features", T.ArrayType(T.IntegerType())),
+]
+_CELLS = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int32())]
+
+
+def spans_table(comments: DataFrame, figures: frozenset[str] = frozenset()) -> DataFrame:
+    """All proposed spans of ``cid, text``, written to the shared folder. ``text_key``
+    tells different texts of a cid apart."""
+    slim = comments.select("cid", F.xxhash64("text").alias("text_key"), "text").where("text <> ''")
+    schema = T.StructType([*slim.drop("text").schema.fields, *_SPAN])
+    names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, found = [], []
-            for k, text in enumerate(batch.column(n).to_pylist()):
-                for s in propose(text):
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                for s in propose(text, figures):
                     rows.append(k)
                     found.append((s.kind, s.begin, s.end, text[s.begin : s.end], "".join("-0+"[v + 1] for v in s.votes), s.features))
             if rows:
-                cells = [pa.array(c, f.dataType.simpleString() == "string" and pa.string() or (pa.list_(pa.int32()) if f.name == "features" else pa.int32())) for c, f in zip(zip(*found, strict=True), _SPAN.fields[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows)) for i in range(n)), *cells], names=[*keep, *_COLUMNS])
+                cells = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), _CELLS, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows)) for i in range(2)), *cells], names=names)
 
     return stage_table(slim.mapInArrow(run, schema), "p5-spans")
 
 
-def fit(spans: DataFrame) -> np.ndarray:
-    """Classifier weights from all vote patterns and a bounded sample of spans.
+def common_words(spans: DataFrame) -> frozenset[str]:
+    """Words in at least one of 500 pairs that only capitals made a name, and in
+    five: such words are no names. A pair has few words, so these are few too."""
+    pairs = spans.where("kind = 'name' and votes like '0%'")
+    words = pairs.select(F.explode(F.array_distinct(F.split(F.lower("value"), " "))).alias("w")).groupBy("w").count()
+    return frozenset(r.w for r in words.where(F.col("count") >= max(5, pairs.count() / 500)).collect())
+
+
+def with_common(spans: DataFrame, common: frozenset[str]) -> DataFrame:
+    """Spans with the vote, and feature, of common words in names."""
+    has = F.exists(F.split(F.lower("value"), " "), lambda w: w.isin(*sorted(common))) if common else F.lit(False)
+    hit = (F.col("kind") == "name") & has
+    votes = F.when(F.col("kind") == "name", F.concat("votes", F.when(hit, "-").otherwise("0"))).otherwise(F.col("votes"))
+    return spans.withColumns({"votes": votes, "features": F.when(hit, F.concat("features", F.array(F.lit(COMMON)))).otherwise(F.col("features"))})
+
+
+def draw_below(spans: int) -> int:
+    """What a hash of 63 bits has to stay below for a span of a kind to be drawn,
+    if there are so many of them."""
+    share = 0.9 * MOST_SPANS / len(KINDS)
+    return 2**63 - 1 if spans <= share else max(1, int(2**63 * (share / spans)))
+
+
+def fit(spans: DataFrame, figures: frozenset[str] = frozenset()) -> SpanModel:
+    """The model of all vote patterns and a bounded sample of spans, drawn from
+    each kind alike.
 
     A kind has no more than three to the power of its labelers patterns, so their
     counts are few whatever the corpus.
     """
+    common = common_words(spans)
+    spans = with_common(spans, common)
     counts: dict[str, dict[tuple[int, ...], int]] = {}
     for kind, votes, n in spans.groupBy("kind", "votes").count().collect():
         counts.setdefault(kind, {})[tuple("-0+".index(v) - 1 for v in votes)] = n
-    belief = {kind: reliabilities(c) for kind, c in counts.items()}
-    part = min(1.0, 0.9 * MOST_SPANS / max(1, sum(n for c in counts.values() for n in c.values())))
-    drawn = F.pmod(F.xxhash64("cid", "kind", "begin", "value"), F.lit(1_000_000)) < int(part * 1_000_000)
+    if not counts:
+        return SpanModel(np.zeros(SLOTS), common, figures)
+    belief = {kind: reliabilities(c, partial=PARTIAL if kind == "name" else ()) for kind, c in counts.items()}
+    below = F.create_map(*[F.lit(x) for kind, c in counts.items() for x in (kind, draw_below(sum(c.values())))])
+    drawn = F.shiftrightunsigned(F.xxhash64("cid", "kind", "begin", "value"), 1) < below[F.col("kind")]
     sample = spans.where(drawn).select("kind", "votes", "features").limit(MOST_SPANS).collect()
     if not sample:
-        return np.zeros(SLOTS)
+        raise ValueError("no span was drawn to fit the classifier on")
     truth = np.array([belief[r.kind][tuple("-0+".index(v) - 1 for v in r.votes)] for r in sample])
-    return fit_spans([r.features for r in sample], truth)
+    return SpanModel(fit_spans([r.features for r in sample], truth), common, figures)
 
 
-def found(comments: DataFrame) -> DataFrame:
+def found(comments: DataFrame, figures: frozenset[str] = frozenset()) -> DataFrame:
     """``cid, kind, value``: each distinct value of a kind in a cid's text.
 
-    Null and empty texts have none; repeated rows of a cid give one row; rows
-    without a cid are left out; other columns aren't read.
+    Null and empty texts have none; repeated rows of a cid give one row, different
+    texts of a cid are decided on apart; rows without a cid are left out; other
+    columns aren't read. figures: words of names that aren't persons'.
     """
-    spans = spans_table(comments.where("cid is not null"))
-    weights = comments.sparkSession.sparkContext.broadcast(fit(spans))
+    spans = spans_table(comments.where("cid is not null"), figures)
+    model = fit(spans, figures)
+    sent = comments.sparkSession.sparkContext.broadcast(model)
     schema = "cid string, kind string, value string"
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -448,25 +547,27 @@ def found(comments: DataFrame) -> DataFrame:
             for row in batch.itertuples():
                 spans = [Span(s["kind"], s["begin"], s["finish"], (), list(s["features"])) for s in row.spans]
                 value = {(s["kind"], s["begin"], s["finish"]): s["value"] for s in row.spans}
-                out += [(row.cid, s.kind, value[(s.kind, s.begin, s.end)]) for s in decide(spans, weights.value)]
+                out += [(row.cid, s.kind, value[(s.kind, s.begin, s.end)]) for s in sent.value.decide(spans)]
             yield pd.DataFrame(out, columns=["cid", "kind", "value"])
 
-    by = spans.select("cid", F.struct("kind", "begin", "finish", "value", "features").alias("span")).groupBy("cid").agg(F.collect_set("span").alias("spans"))
+    span = F.struct("kind", "begin", "finish", "value", "features").alias("span")
+    by = with_common(spans, model.common).select("cid", "text_key", span).groupBy("cid", "text_key").agg(F.collect_set("span").alias("spans"))
     return by.mapInPandas(each, schema).distinct()
 
 
-def redact(comments: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
+def redact(comments: DataFrame, model: SpanModel, text_col: str = "text") -> DataFrame:
     """``comments`` with ``<text>_redacted``: each case replaced by ``[KIND]``.
 
     All else stays as it is; null stays null. A column that has the new name
-    already is replaced.
+    already is replaced. Spans are proposed anew here: joining those the model was
+    fitted on would shuffle all texts.
     """
-    sent = comments.sparkSession.sparkContext.broadcast(weights)
+    sent = comments.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.StringType())
     def placeholders(texts: pd.Series) -> pd.Series:
         def one(text: str) -> str:
-            for s in reversed(decide(propose(text), sent.value)):
+            for s in reversed(sent.value.decide(propose(text, sent.value.figures), text)):
                 text = f"{text[: s.begin]}[{s.kind.upper()}]{text[s.end :]}"
             return text
 

@@ -37,12 +37,13 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.found(table(spark, sf_dir, "comments"))
+    return personal.found(table(spark, sf_dir, "comments"), personal.figure_words(table(spark, sf_dir, "videos")))
 
 
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     comments = table(spark, sf_dir, "comments")
-    return personal.redact(comments, personal.fit(personal.spans_table(comments))).select("cid", "text_redacted").distinct()
+    figures = personal.figure_words(table(spark, sf_dir, "videos"))
+    return personal.redact(comments, personal.fit(personal.spans_table(comments, figures), figures)).select("cid", "text_redacted").distinct()
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
