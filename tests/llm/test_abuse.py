@@ -62,6 +62,70 @@ def test_held_out_examples(held_out):
     assert (said[truth == "none"] == "none").mean() > 0.98
 
 
+PROBES = [
+    ("you are an idiot", "abusive"),
+    ("you absolute moron", "abusive"),
+    ("y0u are an 1diot", "abusive"),
+    ("go kill yourself", "abusive"),
+    ("why are you so stupid", "abusive"),
+    ("they are subhuman filth", "hateful"),
+    ("they are subhumn filth", "hateful"),
+    ('"you are a moron" is what he wrote', "none"),
+    ('someone wrote "you are a idiot" and got banned', "none"),
+    ("he called me an idiot", "none"),
+    ("my brother is an idiot", "none"),
+    ("nice animals in this scene", "none"),
+    ("the word idiot is overused", "none"),
+]
+
+
+def test_phrases_that_no_label_has():
+    if not os.path.exists(LABELS):
+        pytest.skip("no labelled table here")
+    model = abuse.train(pd.read_parquet(LABELS), pd.read_parquet(TERMS))
+    margin, kind = model.score([model.tokens(t, None) for t, _ in PROBES])
+    said = np.where(margin > 0, np.array(abuse.CATEGORIES)[kind], "none")
+    assert said.tolist() == [c for _, c in PROBES]
+
+
+@pytest.mark.parametrize("family", ["imagine being this", "you would say that", "and everyone knows it", "go cry somewhere else"])
+def test_families_of_phrases_held_out(family):
+    """Insults of a form that training never saw, by their listed terms alone."""
+    if not os.path.exists(LABELS):
+        pytest.skip("no labelled table here")
+    labels, terms = pd.read_parquet(LABELS), pd.read_parquet(TERMS)
+    own = labels["text"].fillna("").str.lower().str.contains(family)
+    model = abuse.train(labels[~own], terms)
+    rest = labels[own & (labels["category"] != "none")]
+    tokens = [model.tokens(t, e) for t, e in zip(rest["text"], rest["emojis"], strict=True)]
+    hit = np.array([any(model.symbol(x) == "<abusive>" for x in words) for words in tokens])
+    margin, kind = model.score(tokens)
+    assert hit.sum() > 5 and ((margin > 0) & (kind == 0))[hit].mean() > 0.9
+
+
+def test_terms_of_several_words():
+    model = abuse.Model(abuse.Lexicon({"complete fool": "abusive", "rat": "abusive"}, frozenset()), {})
+    assert model.tokens("you complete fool, go", None) == ["you", "completefool,", "go"]
+    assert model.tokens("a complte fool again", None) == ["a", "completefool", "again"]
+    assert model.tokens("a complete rat", None) == ["a", "complete", "rat"]
+
+
+def test_quotation_marks():
+    model = abuse.Model(abuse.Lexicon({}, frozenset()), {})
+    inside = lambda text: [w for w, q in zip(text.split(), model.quoted([model.role(x) for x in text.split()]), strict=True) if q]
+    assert inside('he said "you are bad." and left') == ['"you', "are", 'bad."']
+    assert inside('"all of it"') == [] and inside('an "open end') == []
+    assert inside('such a "genius" here') == ['"genius"']
+
+
+def test_lexicon_is_never_cut(spark, monkeypatch):
+    monkeypatch.setattr(abuse, "MOST_TERMS", 2)
+    labels = spark.createDataFrame([(1, "you rat", "", "abusive"), (2, "nice", "", "none")], "label_id long, text string, emojis string, category string")
+    terms = spark.createDataFrame([(i, f"word{i}", "abusive") for i in range(3)], "term_id long, term string, category string")
+    with pytest.raises(ValueError):
+        abuse.fit(labels, terms)
+
+
 def test_table(spark, held_out):
     model, rest = held_out
     case = rest[rest["category"] == "abusive"].iloc[0]

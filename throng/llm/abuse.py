@@ -3,10 +3,13 @@
 Every token is looked up in a lexicon trie by a Levenshtein automaton, which also
 finds misspelled and disguised terms; a hit stands for its category from then on.
 Hits, and words and emojis that labelled cases have and harmless examples lack,
-anchor context windows. A linear model over the n-grams inside these windows,
-trained on the labelled examples, tells "you are a complete <term>" from "the
-word <term>" or "<term> race"; text outside every window has no say, so a long
-harmless text around an insult doesn't dilute it.
+anchor context windows. A linear model, trained on the labelled examples, tells
+"you are a complete <term>" from "the word <term>" or "<term> race" by the n-grams
+inside these windows and by what a window says of its hit in any phrase: whether
+somebody is addressed, the writer speaks of themselves, or the hit is quoted or
+reported. What stands in quotation marks inside a text isn't the writer's own: its
+n-grams don't count. Text outside every window has no say, so a long harmless text
+around an insult doesn't dilute it.
 """
 
 from __future__ import annotations
@@ -29,10 +32,22 @@ CATEGORIES = ("abusive", "hateful", "sexual")
 REACH = 8
 #: At most so many labelled rows are fitted, the first by ``label_id``.
 MOST_LABELS = 20_000
+#: At most so many terms of a lexicon; more are refused.
+MOST_TERMS = 200_000
 #: How many raw tokens a worker remembers before it starts anew.
 REMEMBERED = 500_000
 # Signs that stand for letters in disguised words.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "|": "l", "!": "i", "8": "b", "9": "g"})
+# Words that address somebody, that speak of the writer, and that report
+# what was said.
+ADDRESSING = frozenset("you your yours you're youre you've u ur ya yall yourself yourselves du dich dir dein deine bist ihr euch tu te toi t'es vous ton eres tú ti usted ustedes ты тебя тебе вы вас".split())
+SELF = frozenset("i i'm im me my myself ich bin mich je suis moi soy yo я меня".split())
+REPORTING = frozenset("call calls called calling say says said saying wrote writes write written word words term comment comments quote quoted quoting reported means nannte gesagt sagte wort dit appelle mot dijo llamó palabra слово сказал".split())
+# Phrases that wish somebody's death, beside any lexicon.
+DEATH_WISHES = ("kill yourself", "hang yourself", "drop dead", "kys")
+_OPEN, _CLOSE = "\"“„«‚‘", "\"”“»’"
+#: What a raw token is besides a symbol.
+_YOU, _ME, _TOLD, _ENDS, _OPENS, _CLOSES, _WEAK = 1, 2, 4, 8, 16, 32, 64
 _EDGE = ".,!?…:;\"'()[]«»“”„‚‘’¿¡-–—*、。！？"
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_] ){2,}[^\W_](?!\S)")
 _PARTED = re.compile(r"[^\W_](?:[-_.*·][^\W_]){2,}")
@@ -111,10 +126,28 @@ class Lexicon:
     """Terms and the words that are known to be ordinary."""
 
     def __init__(self, terms: dict[str, str], ordinary: frozenset[str]) -> None:
-        self.terms = {canonical(t).lower().replace(" ", ""): c for t, c in terms.items()}
+        split = {tuple(canonical(t).lower().split()): c for t, c in terms.items()}
+        self.terms = {"".join(words): c for words, c in split.items()}
+        #: terms of several words, joined, with how many they have
+        self.phrases = {"".join(words): words for words in split if len(words) > 1}
+        self.longest = max((len(w) for w in self.phrases.values()), default=0)
+        self.whole = Trie(dict.fromkeys(self.phrases, ""))
+        self.parts = Trie({x: "" for words in self.phrases.values() for x in words})
         self.ordinary = ordinary - self.terms.keys()
         self.trie = Trie(self.terms)
 
+    def is_part(self, word: str) -> bool:
+        """Whether a word is, or is near, one of a term of several words."""
+        return bool(self.phrases) and self.parts.find(word, edits_allowed(len(word), False)) is not None
+
+    def phrase(self, words: list[str]) -> str | None:
+        """The term that neighbouring words make together, each misspelled as it may be."""
+        joined = "".join(words)
+        if joined not in self.phrases:
+            hit = self.whole.find(joined, sum(edits_allowed(len(w), False) for w in words))
+            joined = hit[1] if hit else ""
+        return joined if len(self.phrases.get(joined, ())) == len(words) else None
+
     def match(self, raw: str) -> tuple[str, str] | None:
         """(term, category) of a token, disguised or misspelled as it may be."""
         word = raw.removesuffix("'s").removesuffix("’s").replace("'", "")
@@ -166,8 +199,8 @@ def raw_tokens(text: str | None, emojis: str | None, known: Container[str] = ())
 class Model:
     """Lexicon, vocabulary and n-gram weights; small and of bounded size."""
 
-    def __init__(self, lexicon: Lexicon, vocabulary: dict[str, int]) -> None:
-        self.lexicon, self.vocabulary = lexicon, vocabulary
+    def __init__(self, lexicon: Lexicon, vocabulary: dict[str, int], weak: frozenset[str] = frozenset()) -> None:
+        self.lexicon, self.vocabulary, self.weak = lexicon, vocabulary, weak
         self.anchors = np.zeros(2, dtype=bool)
         self.keys = np.zeros(1, dtype=np.int64)
         self.weights = np.zeros((1, len(CATEGORIES)))
@@ -175,13 +208,42 @@ class Model:
         self.alike: dict[str, str] = {}
         self.plain = Lexicon({}, frozenset())
         self.seen: dict[str, int] = {}
+        self.roles: dict[str, int] = {}
+        self.part: dict[str, str] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"seen": {}}
+        return self.__dict__ | {"seen": {}, "roles": {}, "part": {}}
 
     def tokens(self, text: str | None, emojis: str | None) -> list[str]:
-        """Raw tokens, with the lexicon at hand for spaced-out words."""
-        return raw_tokens(text, emojis, self.lexicon.terms)
+        """Raw tokens, with the lexicon at hand for spaced-out words and for terms
+        of several words, which become one token."""
+        words = raw_tokens(text, emojis, self.lexicon.terms)
+        if not self.lexicon.phrases:
+            return words
+        bare = [self._part(w) for w in words]
+        out, i = [], 0
+        while i < len(words):
+            size = 1
+            if bare[i]:
+                for k in range(min(self.lexicon.longest, len(words) - i), 1, -1):
+                    if all(bare[i : i + k]) and (term := self.lexicon.phrase(bare[i : i + k])):
+                        first, last = words[i], words[i + k - 1]
+                        words[i] = (first[0] if first[0] in _OPEN else "") + term + (last[-1] if last[-1] in _EDGE else "")
+                        size = k
+                        break
+            out.append(words[i])
+            i += size
+        return out
+
+    def _part(self, raw: str) -> str:
+        """The bare word if it may be a part of a term of several words, else ''."""
+        part = self.part.get(raw)
+        if part is None:
+            if len(self.part) > REMEMBERED:
+                self.part.clear()
+            bare = canonical(raw).strip(_EDGE).lower()
+            part = self.part[raw] = bare if bare and self.lexicon.is_part(bare) else ""
+        return part
 
     def symbol(self, raw: str) -> str:
         """What a raw token counts as."""
@@ -193,9 +255,13 @@ class Model:
         if bare[0] == "@" and bare[1:].replace("_", "").isalpha():
             return "<name>"
         low = bare.lower()
+        if low == "an":
+            low = "a"
         hit = self.lexicon.match(low)
         if hit:
             return f"<{hit[1]}>"
+        if low not in self.vocabulary and len(low) > 2 and _LETTERS.search(low) and (plain := low.translate(LEET)) in self.vocabulary:
+            low = plain
         if low in self.vocabulary or low in self.alike:
             return self.alike.get(low, low)
         if bare[0] != "@" and (not low.isalpha() or _RUN.search(low)) and _LETTERS.search(low) and (word := self.plain.match(low)):
@@ -217,6 +283,59 @@ class Model:
             out.append(k)
         return np.array(out, dtype=np.int64)
 
+    def role(self, raw: str) -> int:
+        """Bits that tell whom a token addresses, what it reports, what it opens and ends."""
+        role = self.roles.get(raw)
+        if role is None:
+            if len(self.roles) > REMEMBERED:
+                self.roles.clear()
+            bare = canonical(raw).strip(_EDGE).lower()
+            words = self.lexicon.phrases.get(bare, (bare, bare.translate(LEET)) if len(bare) > 1 else (bare,))
+            tail = raw.rstrip(".,!?…:;")
+            role = _YOU * (bare[:1] == "@" or any(w in ADDRESSING for w in words)) | _ME * (bare in SELF) | _TOLD * (bare in REPORTING)
+            role |= _ENDS * (raw[-1] in ".!?…" and len(raw) > 1) | _OPENS * (raw[0] in _OPEN) | _CLOSES * (len(tail) > 0 and tail[-1] in _CLOSE)
+            if self.weak and (hit := self.lexicon.match(bare)) and hit[0] in self.weak:
+                role |= _WEAK
+            self.roles[raw] = role
+        return role
+
+    def quoted(self, roles: list[int]) -> list[bool]:
+        """Which tokens stand in quotation marks that aren't around the whole text."""
+        out, begin = [False] * len(roles), None
+        for i, r in enumerate(roles):
+            if begin is None and r & _OPENS:
+                begin = i
+            if begin is not None and r & _CLOSES and (i > begin or r & _OPENS):
+                out[begin : i + 1] = [True] * (i + 1 - begin)
+                begin = None
+        return [False] * len(roles) if all(out) else out
+
+    def bearings(self, raw: list[str], ids: list[int], first_hit: int) -> set[int]:
+        """What the windows say of their hits, as negative keys: for each category
+        that there is a hit, and whether one is addressed to somebody, speaks of the
+        writer, or is quoted or reported."""
+        hits = [i for i, k in enumerate(ids) if first_hit <= k < first_hit + len(CATEGORIES)]
+        if not hits:
+            return set()
+        roles = [self.role(x) for x in raw]
+        quoted = self.quoted(roles)
+        out: set[int] = set()
+        for h in hits:
+            low = high = h
+            while low > 0 and h - low < REACH and not roles[low - 1] & _ENDS:
+                low -= 1
+            while high + 1 < len(raw) and high - h < REACH and not roles[high] & _ENDS and raw[high + 1] != "<e>":
+                high += 1
+            around = [roles[i] for i in range(low, high + 1) if quoted[i] <= quoted[h] and not (quoted[h] and quoted[i])]
+            you = any(r & _YOU for r in around)
+            told = quoted[h] or any(roles[i] & _TOLD for i in range(low, high + 1) if not quoted[i])
+            me = not you and any(roles[i] & _ME for i in range(low, h) if not quoted[i])
+            if roles[h] & _WEAK and not you:
+                continue  # an ordinary word as often as an insult: only known phrases tell
+            base = -1 - 4 * (ids[h] - first_hit)
+            out |= {base} | ({base - 1} if you else set()) | ({base - 2} if told else set()) | ({base - 3} if me else set())
+        return out
+
     def flat(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all tokens, two starts before each text, and lengths."""
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
@@ -227,7 +346,8 @@ class Model:
         return out, lengths + 2
 
     def gathered(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Text number and key of every one- to three-gram that ends in a window."""
+        """Text number and key of every one- to three-gram that ends in a window, and
+        of what the windows say of their hits."""
         flat, lengths = self.flat(texts)
         size = len(self.vocabulary) + 2
         ends = np.cumsum(lengths)
@@ -235,11 +355,22 @@ class Model:
         hits = np.concatenate([[0], np.cumsum(self.anchors[flat])])
         at = np.arange(len(flat))
         low, high = np.maximum(at - REACH, (ends - lengths)[doc]), np.minimum(at + REACH + 1, ends[doc])
-        near = np.flatnonzero((hits[high] > hits[low]) & (at >= (ends - lengths)[doc] + 2))
+        near = (hits[high] > hits[low]) & (at >= (ends - lengths)[doc] + 2)
+        bearing_doc, bearing_key = [], []
+        first_hit = self.vocabulary.get(f"<{CATEGORIES[0]}>", len(self.vocabulary) + 2)
+        for d in np.unique(doc[near & self.anchors[flat]]).tolist():
+            begin = int(ends[d] - lengths[d]) + 2
+            said = self.bearings(texts[d], flat[begin : ends[d]].tolist(), first_hit)
+            bearing_doc += [d] * len(said)
+            bearing_key += sorted(said)
+            if any('"' in x or x[0] in _OPEN for x in texts[d]):
+                near[begin : ends[d]] &= ~np.array(self.quoted([self.role(x) for x in texts[d]]))
+        near = np.flatnonzero(near)
         one, before, first = flat[near], flat[near - 1], flat[near - 2]
         two = before * size + one + size
         three = first * size * size + two + size * size
-        return np.tile(doc[near], 3), np.concatenate([one, two, three])
+        bearing = np.array(bearing_doc, dtype=np.int64), np.array(bearing_key, dtype=np.int64)
+        return np.concatenate([np.tile(doc[near], 3), bearing[0]]), np.concatenate([one, two, three, bearing[1]])
 
     def score(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Margin over a harmless text, and number of the category, for each."""
@@ -302,7 +433,7 @@ def _interchangeable(texts: list[list[str]], least: int = 3, part: float = 0.3)
     for x, where in places.items():
         for p in where:
             by.setdefault(p, []).append(x)
-    shared = Counter((x, y) for xs in by.values() if len(xs) <= 60 for i, x in enumerate(sorted(xs)) for y in sorted(xs)[i + 1 :])
+    shared = Counter((x, y) for xs in by.values() for i, x in enumerate(sorted(xs)) for y in sorted(xs)[i + 1 :])
     parent = {x: x for x in places}
 
     def root(x: str) -> str:
@@ -333,13 +464,14 @@ def _anchors(rows: list[tuple[set[str], str]], counts: Counter, cases: Counter,
 
 
 def train(labels: pd.DataFrame, terms: pd.DataFrame, copies: int = 3, steps: int = 500, decay: float = 3e-5, seed: int = 1) -> Model:
-    """Fit the model on ``text, emojis, category`` with ``term, category``.
+    """Fit the model on ``text, emojis, category`` with ``term, category`` and, if
+    there, the ``strength`` of a term, of which 1 is an ordinary word as well.
 
     Every example is fitted alone and in ``copies`` with the end and the start of
     random harmless examples around it, as comments join several remarks.
     """
     rows = [(raw_tokens(t, e), c if c in CATEGORIES else "none") for t, e, c in labels[["text", "emojis", "category"]].itertuples(index=False)]
-    listed = {t: c for t, c in terms[["term", "category"]].itertuples(index=False) if isinstance(t, str) and t.strip() and c in CATEGORIES}
+    listed = dict.fromkeys(DEATH_WISHES, "abusive") | {t: c for t, c in terms[["term", "category"]].itertuples(index=False) if isinstance(t, str) and t.strip() and c in CATEGORIES}
     bare = [({canonical(x).strip(_EDGE).lower() for x in words} - {""}, c) for words, c in rows]
     usual = Counter(w for words, _ in bare for w in words)
     harmless = Counter(w for words, c in bare if c == "none" for w in words)
@@ -348,7 +480,8 @@ def train(labels: pd.DataFrame, terms: pd.DataFrame, copies: int = 3, steps: int
     joined = {w: c for (a, b, c), n in pairs.items() if n > 1 and (w := (a + b).lower()) in parted}
     lexicon = Lexicon(joined | _learned_terms(rows, listed) | listed, frozenset(w for w, n in usual.items() if n > 3))
     rows = [(raw_tokens(t, e, lexicon.terms), c) for (_, c), t, e in zip(rows, labels["text"], labels["emojis"], strict=True)]
-    model = Model(lexicon, {w: 0 for w, n in usual.items() if n > 1})
+    weak = frozenset(canonical(t).lower().replace(" ", "") for t in terms["term"][terms["strength"] == 1] if t in listed) if "strength" in terms else frozenset()
+    model = Model(lexicon, {w: 0 for w, n in usual.items() if n > 1}, weak)
     model.alike = _interchangeable([[model.symbol(x) for x in words] for words, _ in rows])
     symbols = [({model.symbol(x) for x in words}, c) for words, c in rows]
     counts = Counter(w for words, _ in symbols for w in words)
@@ -357,6 +490,7 @@ def train(labels: pd.DataFrame, terms: pd.DataFrame, copies: int = 3, steps: int
     special = ["<empty>", "<e>", "<name>", "<mark>", "<number>", "<word>", *terms_of]
     words = [*special, *sorted(w for w, n in counts.items() if n > 1 and w not in special)]
     model.vocabulary = {w: k for k, w in enumerate(words, 2)}
+    model.roles.clear()
     chosen = _anchors(symbols, counts, cases, terms_of, special)
     # other words of cases may be disguised too
     known = lexicon.terms.keys()
@@ -373,9 +507,14 @@ def train(labels: pd.DataFrame, terms: pd.DataFrame, copies: int = 3, steps: int
             texts.append(before[-REACH:] + words[:cut] + (after[:REACH] if rng.random() < 0.5 else []) + words[cut:])
             truth.append(CATEGORIES.index(category) + 1 if category != "none" else 0)
     doc, keys = model.gathered(texts)
+    # once more with nothing but bearings, so that these hold without any known phrase
+    some = keys < 0
+    again, of = np.unique(doc[some], return_inverse=True)
+    truth += [truth[d] for d in again.tolist()]
+    doc, keys = np.concatenate([doc, len(texts) + of]), np.concatenate([keys, keys[some]])
     model.keys, column = np.unique(keys, return_inverse=True)
     # a word alone says little: it is held back more than word sequences are
-    hold = np.where(model.keys < len(model.vocabulary) + 2, 30 * decay, decay)[:, None]
+    hold = np.where((model.keys >= 0) & (model.keys < len(model.vocabulary) + 2), 30 * decay, decay)[:, None]
     model.weights, model.bias = _softmax_fit(doc, column, hold, np.array(truth), steps)
     return model
 
@@ -401,9 +540,13 @@ def _softmax_fit(doc: np.ndarray, column: np.ndarray, hold: np.ndarray, truth: n
 
 
 def fit(labels: DataFrame, terms: DataFrame) -> Model:
-    """The model of the labelled rows, of which at most MOST_LABELS are used."""
+    """The model of the labelled rows, of which at most MOST_LABELS are used, and of
+    the whole lexicon, which is refused beyond MOST_TERMS."""
     few = labels.select("label_id", "text", "emojis", "category").orderBy("label_id").limit(MOST_LABELS).toPandas()
-    return train(few, terms.select("term_id", "term", "category").orderBy("term_id").limit(MOST_LABELS).toPandas())
+    listed = terms.select("term_id", "term", "category", *(["strength"] if "strength" in terms.columns else [])).orderBy("term_id").limit(MOST_TERMS + 1).toPandas()
+    if len(listed) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms in the lexicon")
+    return train(few, listed)
 
 
 def score_comments(comments: DataFrame, model: Model, keep: tuple[str, ...] = ("cid", "source")) -> DataFrame:
