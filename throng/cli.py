@@ -7,6 +7,8 @@ import json
 import sys
 import time
 
+from pyspark.sql import functions as F
+
 from throng.operators import evaluate, search
 from throng.plans.answers import Answer, Comments
 from throng.session import local_session
@@ -17,10 +19,13 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="throng")
     p.add_argument("--index", default="index")
     p.add_argument("--json", action="store_true")
+    p.add_argument("--embedder", default="auto", help="a registered embedder")
+    p.add_argument("--llm", default="extractive", help="a registered function that puts evidence into words")
     sub = p.add_subparsers(dest="command", required=True)
     build = sub.add_parser("build", help="read a CSV file and save an index")
     build.add_argument("--csv")
     build.add_argument("--export-csv")
+    build.add_argument("--limit", type=int, help="keep the first so many comments")
     ask = sub.add_parser("ask", help="answer a question")
     ask.add_argument("question")
     sub.add_parser("overview", help="summarise the comments")
@@ -45,12 +50,20 @@ def run(args: argparse.Namespace) -> None:
         if not args.csv:
             raise SystemExit("build needs --csv")
         comments = records.from_csv(spark, args.csv, time.time())
-        records.save(comments, args.index, search.DIM)
+        if args.limit is not None:
+            if args.limit < 1:
+                raise ValueError("--limit must be positive")
+            comments = comments.where(F.substring("cid", 2, 30).try_cast("long") < args.limit)
+        embedder = search.get_embedder(args.embedder)
+        records.save(comments, args.index, embedder.dim, embedder.name)
         if args.export_csv:
             records.to_csv(comments, args.export_csv)
         print(f"{comments.count()} comments saved to {args.index}")
         return
-    corpus = Comments.load(spark, args.index)
+    try:
+        corpus = Comments.load(spark, args.index, embedder=args.embedder, complete=args.llm)
+    except FileNotFoundError as why:
+        raise FileNotFoundError(f"{why}; make one with: throng build --csv FILE") from why
     if args.command == "ask":
         show(corpus.ask(args.question), args.json)
     elif args.command == "overview":

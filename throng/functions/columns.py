@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,7 +20,26 @@ STOPWORDS = (
     "people person everyone anyone someone somebody folks comment comments commenter commenters video videos mention mentions mentioned mentioning talk talks talked talking regarding concerning "
     "please just really very much many lot lots s t ll re ve d m o"
 ).split()
-EMOJI = r"\p{So}\x{1F000}-\x{1FAFF}\x{200D}\x{FE0E}\x{FE0F}"
+# Words that older indexes dropped from questions as well.
+COMPAT_WORDS = ("word", "list", "reads", "better", "than", "60", "quoted", "strings")
+#: What no word goes on with; engines differ on classes such as \\w.
+WORD_SIGN = r"[\p{L}\p{N}_]"
+
+
+def _symbols() -> str:
+    """Ranges of all characters that Python's tables call other symbols, which are
+    newer than those of most Java releases, with the emoji blocks and joiners."""
+    spans: list[list[int]] = []
+    for cp in range(0x110000):
+        if unicodedata.category(chr(cp)) == "So" or 0x1F000 <= cp <= 0x1FAFF or cp in (0x200D, 0xFE0E, 0xFE0F):
+            if spans and spans[-1][1] == cp - 1:
+                spans[-1][1] = cp
+            else:
+                spans.append([cp, cp])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans)
+
+
+EMOJI = _symbols()
 COUNT = r"^([0-9][0-9,. ]*) *([kmbKMB])?$"
 AGE = r"(?i)([0-9]+)\s*(second|minute|hour|day|week|month|year)s?\s*ago"
 LONG_MAX = 2**63 - 1
@@ -28,7 +49,7 @@ POSITIVE_FROM, NEGATIVE_TO = 0.2, -0.2
 
 def collapsed(text: Column) -> Column:
     """Runs of any blanks as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def parse_count(raw: Column) -> Column:
@@ -80,9 +101,9 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9']+"), F.lit(0))
 
 
-def query_tokens(text: Column) -> Column:
-    """Tokens that aren't stopwords; possibly none."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
+def query_tokens(text: Column, compat: bool = False) -> Column:
+    """Tokens that aren't stopwords; possibly none. compat: leave out COMPAT_WORDS too."""
+    stop = F.array(*[F.lit(w) for w in (*STOPWORDS, *(COMPAT_WORDS if compat else ()))])
     return F.filter(tokens(text), lambda t: ~F.array_contains(stop, t))
 
 
@@ -92,12 +113,12 @@ def mood(value: Column) -> Column:
 
 
 def mentions(text: Column, term: Column) -> Column:
-    """Whether a term stands in the text as whole words, in any case; a blank or
-    null term does nowhere."""
+    """Whether a term stands in the text with no letter, number or underscore on
+    either side, in any case; a blank or null term does nowhere."""
     word = F.lower(F.trim(F.coalesce(term, F.lit(""))))
     quoted = F.regexp_replace(word, r"([\\.\[\]{}()*+?^$|#&~-])", r"\\$1")
-    edge = lambda at: F.when(F.substring(word, *at).rlike(r"(?U)\w"), r"\b").otherwise(r"\B")
-    return (word != "") & F.regexp_like(F.lower(F.coalesce(text, F.lit(""))), F.concat(F.lit("(?U)"), edge((1, 1)), quoted, edge((-1, 1))))
+    edged = F.concat(F.lit(rf"(?<!{WORD_SIGN})"), quoted, F.lit(rf"(?!{WORD_SIGN})"))
+    return (word != "") & F.regexp_like(F.lower(F.coalesce(text, F.lit(""))), edged)
 
 
 def excerpt(text: Column, limit: int = 160) -> Column:

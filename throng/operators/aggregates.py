@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from throng.functions import columns as C
+from throng.operators.search import positions
 
 
 def corpus_stats(comments: DataFrame) -> DataFrame:
@@ -54,6 +55,14 @@ def mention_report(comments: DataFrame, terms: list[str]) -> DataFrame:
     return wide.select(rows.alias("r")).select("r.*")
 
 
+def mention_cids(comments: DataFrame, terms: list[str]) -> DataFrame:
+    """``term, cid, place`` of every comment that mentions a term, in the order of
+    their numbers, for terms of any frequency."""
+    hit = F.filter(F.array(*[F.when(C.mentions(F.col("text"), F.lit(t)), F.lit(t)) for t in terms]), lambda t: t.isNotNull())
+    rows = comments.select(F.explode(hit).alias("term"), "cid")
+    return positions(rows, "term", F.length("cid"), F.col("cid"))
+
+
 def mentioning(comments: DataFrame, term: str) -> DataFrame:
     """The comments that mention a term."""
     return comments.where(C.mentions(F.col("text"), F.lit(term)))

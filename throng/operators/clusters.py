@@ -6,7 +6,7 @@ joins its most similar earlier leader, the earliest of equals. A corpus is what
 shares a partition column (a video); its comments may be in any number of tasks.
 
 Leaders are found in rounds: of every corpus the first undecided texts, a block of
-bounded size, are settled one after another in one task; then all undecided texts
+bounded size, are settled one by one in one task; then all undecided texts
 meet the new leaders of their corpus and those near one leave. Equal texts have
 equal vectors and rank by their first copy, so only distinct texts take part. A
 last pass assigns every text to a leader. Similarities are quotients of integers,
@@ -26,12 +26,12 @@ from throng.functions import columns as C
 from throng.operators import search
 from throng.session import stage_table
 
-THRESHOLD = 0.30
+THRESHOLD = search.Hashing().threshold
 #: Texts of a corpus that are settled in one task and round; also how many
 #: leaders texts meet at once.
-BLOCK = 512
+BLOCK = 2048
 #: About how many texts of a corpus meet leaders in one task.
-SHARE = 20_000
+SHARE = 5_000
 _TEXT = "corpus string, salt long, rank string, slots array<int>, counts array<int>, norm2 long"
 
 
@@ -105,7 +105,7 @@ def _for_all(leads: DataFrame, shares: DataFrame) -> DataFrame:
     return leads.drop("salt").join(shares, "corpus").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).drop("shares")
 
 
-def leader_clusters(comments: DataFrame, corpus: str | None = "video_id", threshold: float = THRESHOLD, dim: int = search.DIM) -> DataFrame:
+def leader_clusters(comments: DataFrame, corpus: str | None = "video_id", threshold: float | None = None, embedder: search.Embedder = search.Hashing()) -> DataFrame:
     """``cid, corpus, cluster_id, leader`` of every comment.
 
     comments: unique cids with text, emojis, likes and the corpus column; None for
@@ -113,6 +113,7 @@ def leader_clusters(comments: DataFrame, corpus: str | None = "video_id", thresh
     start at 0 in the order of their leaders. Texts without tokens are near nothing
     unless the threshold is 0 or less.
     """
+    threshold, dim = embedder.threshold if threshold is None else threshold, embedder.dim
     name = F.coalesce(F.col(corpus).cast("string"), F.lit("")) if corpus else F.lit("")
     words = C.embedding_text(F.col("text"), F.col("emojis"))
     ranked = comments.select("cid", name.alias("corpus"), words.alias("said"), "likes")
@@ -123,7 +124,7 @@ def leader_clusters(comments: DataFrame, corpus: str | None = "video_id", thresh
     first = F.lpad((F.lit(2**62) - F.col("likes")).cast("string"), 20, "0")
     ranked = stage_table(ranked.withColumn("rank", F.concat(first, F.lit(" "), F.col("cid"))).drop("likes"), "cluster-ranked")
     firsts = ranked.groupBy("corpus", "said").agg(F.min("rank").alias("rank"))
-    vector = search.embedding(F.when(F.col("said").startswith("\0"), "").otherwise(F.col("said")), dim)
+    vector = search.embedding(F.when(F.col("said").startswith("\0"), "").otherwise(F.col("said")), embedder)
     shares = stage_table(ranked.groupBy("corpus").agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("shares")), "cluster-shares")
     salted = firsts.join(shares, "corpus").withColumn("salt", F.pmod(F.xxhash64("said"), F.col("shares")))
     texts = stage_table(salted.withColumn("v", vector).select("corpus", "salt", "said", "rank", "v.slots", "v.counts", "v.norm2"), "cluster-texts")
@@ -139,8 +140,8 @@ def leader_clusters(comments: DataFrame, corpus: str | None = "video_id", thresh
         todo = stage_table(pairs.applyInPandas(_far(threshold, dim), _TEXT), "cluster-todo")
     if found is None:
         return ranked.select("cid", "corpus", F.lit(0).cast("long").alias("cluster_id"), F.col("cid").alias("leader")).limit(0)
-    number = F.row_number().over(Window.partitionBy("corpus").orderBy("rank")) - 1
-    leads = stage_table(found.withColumn("cluster_id", number.cast("long")).withColumn("part", F.floor(F.col("cluster_id") / BLOCK)), "cluster-numbered")
+    placed = search.positions(found, "corpus", F.col("rank"))
+    leads = stage_table(placed.withColumn("cluster_id", F.col("place") - 1).drop("place").withColumn("part", F.floor(F.col("cluster_id") / BLOCK)), "cluster-numbered")
     parts = leads.groupBy("corpus").agg(F.max("part").alias("parts"))
     # every copy of a text joins by its own rank: a leader may have risen before a later copy
     copies = ranked.join(texts.select("corpus", "said", "salt", "slots", "counts", "norm2"), ["corpus", "said"]).drop("said", "cid")
@@ -156,25 +157,27 @@ def summaries(comments: DataFrame, members: DataFrame, max_quotes: int = 5) -> D
     """One row for each cluster: support, endorsement, mean valence, leader and its
     text, and the first ``max_quotes`` members by likes as exemplars."""
     rows = members.join(comments.select("cid", "text", "emojis", "likes", "valence"), "cid")
-    place = F.row_number().over(Window.partitionBy("corpus", "cluster_id").orderBy(F.desc("likes"), "cid"))
-    rows = rows.withColumn("place", place)
     said = F.when(F.col("text") != "", F.col("text")).otherwise(F.col("emojis"))
-    return rows.groupBy("corpus", "cluster_id").agg(
+    key = ["corpus", "cluster_id"]
+    sums = rows.groupBy(*key).agg(
         F.count(F.lit(1)).alias("support"),
         F.sum("likes").alias("endorsement"),
         F.avg("valence").alias("valence"),
         F.first("leader").alias("representative_cid"),
         F.max(F.when(F.col("cid") == F.col("leader"), said)).alias("representative_text"),
-        F.transform(F.sort_array(F.collect_list(F.when(F.col("place") <= max_quotes, F.struct("place", "cid")))), lambda x: x["cid"]).alias("exemplar_cids"),
     )
+    # the limit stands right at the window, so each task passes on a few rows of a cluster
+    first = rows.select(*key, "cid", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("likes"), "cid")).alias("place")).where(F.col("place") <= max_quotes)
+    shown = first.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "cid"))), lambda x: x["cid"]).alias("exemplar_cids"))
+    return sums.join(shown, key, "left").withColumn("exemplar_cids", F.coalesce("exemplar_cids", F.array().cast("array<string>")))
 
 
-def centroid_scores(comments: DataFrame, members: DataFrame, vectors: dict[str, np.ndarray]) -> DataFrame:
+def centroid_scores(comments: DataFrame, members: DataFrame, vectors: dict[str, np.ndarray], embedder: search.Embedder = search.Hashing()) -> DataFrame:
     """``question, corpus, cluster_id, score``: positive cosines of each cluster's
     mean unit vector with each question. Means are summed slot by slot, so a
     cluster of any size is spread over tasks and ends as at most ``dim`` numbers."""
-    dim = next((len(v) for v in vectors.values()), search.DIM)
-    vector = search.embedding(C.embedding_text(F.col("text"), F.col("emojis")), dim)
+    dim = embedder.dim
+    vector = search.embedding(C.embedding_text(F.col("text"), F.col("emojis")), embedder)
     rows = comments.select("cid", vector.alias("v")).join(members.select("cid", "corpus", "cluster_id"), "cid").where("v.norm2 > 0")
     slots = rows.select("corpus", "cluster_id", F.sqrt(F.col("v.norm2").cast("double")).alias("len"), F.explode(F.arrays_zip("v.slots", "v.counts")).alias("x"))
     sums = slots.groupBy("corpus", "cluster_id", F.col("x.slots").alias("slot")).agg(F.sum(F.col("x.counts") / F.col("len")).alias("w"))
@@ -201,7 +204,7 @@ def ratio(value: F.Column, best: F.Column) -> F.Column:
     return F.when(best <= 1e-12, F.lit(1.0)).otherwise(clamped / best)
 
 
-def evidence(comments: DataFrame, members: DataFrame, clusters: DataFrame, questions: DataFrame, weights: tuple[float, float, float] = (0.6, 0.2, 0.2), limit: int = 6, max_quotes: int = 3, dim: int = search.DIM) -> DataFrame:
+def evidence(comments: DataFrame, members: DataFrame, clusters: DataFrame, questions: DataFrame, weights: tuple[float, float, float] = (0.6, 0.2, 0.2), limit: int = 6, max_quotes: int = 3, embedder: search.Embedder = search.Hashing()) -> DataFrame:
     """The ``limit`` best clusters of each question over the whole table.
 
     Salience: reciprocal rank fusion (k = 10) of BM25 over the clusters' joined
@@ -209,48 +212,50 @@ def evidence(comments: DataFrame, members: DataFrame, clusters: DataFrame, quest
     all where a question has no content words. score = ((1 - g) + g salience)
     (1 + a log-support + b log-endorsement), both as parts of the best. Quotes are
     the exemplars nearest to the question.
+
+    A cluster that no ranking of a question has differs from others of its kind by
+    its social part only, so of these the ``limit`` first are enough, the same for
+    all questions; no cluster meets a question it has nothing to do with.
     """
     g, a, b = weights
     if min(weights) < 0 or g > 1 or sum(weights) <= 0:
         raise ValueError("weights must not be negative, the first at most 1, their sum positive")
     key = F.concat_ws("#", "corpus", F.lpad(F.col("cluster_id").cast("string"), 12, "0")).alias("key")
-    keyed = clusters.withColumn("key", key)
     texts = members.join(comments.select("cid", "text", "likes"), "cid").select(key, "text")
-    lexical = search.bm25_grouped(texts, questions, "key")
-    vectors = search.question_vectors(comments, questions, dim)
-    near = centroid_scores(comments, members, vectors).where("score > 0").select("question", key, F.round("score", 12).alias("score"))
-    fused = search.fuse([_placed(lexical), _placed(near)], k=10, doc="key").withColumnRenamed("score", "fused")
-    content = questions.select("question", (F.size(C.query_tokens(F.col("words"))) > 0).alias("content"))
-    per = Window.partitionBy("question")
-    rows = keyed.crossJoin(F.broadcast(search.few(content))).join(fused, ["question", "key"], "left")
-    # the greatest values come from aggregations: no window holds all clusters
-    best = fused.groupBy("question").agg(F.max("fused").alias("best_fused"))
+    lexical = search.bm25_grouped(texts, questions, "key").withColumn("score", F.round("score", 9))
+    vectors = search.question_vectors(comments, questions, embedder)
+    near = centroid_scores(comments, members, vectors, embedder).select("question", key, F.round("score", 9).alias("score")).where("score > 0")
+    ranks = [search.positions(r.select("question", "key", "score"), "question", F.desc("score"), F.col("key")) for r in (lexical, near)]
+    fused = stage_table(search.fuse(ranks, k=10, doc="key").withColumnRenamed("score", "fused"), "evidence-fused")
     most = clusters.agg(F.max(F.log1p(F.col("support").cast("double"))).alias("best_support"), F.max(F.log1p(F.col("endorsement").cast("double"))).alias("best_likes"))
-    rows = rows.join(F.broadcast(best), "question", "left").crossJoin(F.broadcast(most))
+    social = 1 + a * ratio(F.log1p(F.col("support").cast("double")), F.col("best_support")) + b * ratio(F.log1p(F.col("endorsement").cast("double")), F.col("best_likes"))
+    keyed = clusters.withColumn("key", key).crossJoin(F.broadcast(most)).withColumn("social", social).drop("best_support", "best_likes")
+    part = lambda factor: keyed.orderBy(F.desc(F.round(F.col("social") * factor, 9)), "key").limit(limit).select("key")
+    likeliest = part(1 - g).unionByName(part(1.0)).distinct()
+    asked = search.few(questions).select("question", (F.size(C.query_tokens(F.col("words"))) > 0).alias("content"))
+    # at most twice the limit of clusters for each of a few questions, and what was ranked
+    named = asked.select("question").crossJoin(F.broadcast(likeliest)).unionByName(fused.select("question", "key")).distinct()
+    best = fused.groupBy("question").agg(F.max("fused").alias("best_fused"))
+    rows = named.join(fused, ["question", "key"], "left").join(F.broadcast(asked), "question").join(F.broadcast(best), "question", "left").join(keyed.select("key", "social"), "key")
     salience = ratio(F.coalesce("fused", F.lit(0.0)), F.coalesce("best_fused", F.lit(0.0)))
     rows = rows.withColumn("salience", F.when(F.col("content"), salience).otherwise(1.0))
-    social = 1 + a * ratio(F.log1p(F.col("support").cast("double")), F.col("best_support")) + b * ratio(F.log1p(F.col("endorsement").cast("double")), F.col("best_likes"))
-    rows = rows.withColumn("score", ((1 - g) + g * F.col("salience")) * social)
+    rows = rows.withColumn("score", ((1 - g) + g * F.col("salience")) * F.col("social"))
+    place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc(F.round("score", 9)), "key"))
     total = comments.agg(F.greatest(F.lit(1), F.count(F.lit(1))).alias("n"), F.greatest(F.lit(1), F.sum("likes")).alias("l"))
-    place = F.row_number().over(per.orderBy(F.desc(F.round("score", 12)), "key"))
-    top = rows.withColumn("place", place.cast("long")).where(F.col("place") <= limit).crossJoin(F.broadcast(total))
+    top = rows.select("question", "key", "salience", "score", place.cast("long").alias("place")).where(F.col("place") <= limit)
+    top = stage_table(top.join(keyed.drop("social"), "key").crossJoin(F.broadcast(total)), "evidence-top")
     top = top.withColumn("support_share", F.col("support") / F.col("n")).withColumn("endorsement_share", F.col("endorsement") / F.col("l"))
     shown = top.select("question", "key", F.explode("exemplar_cids").alias("cid"))
     wanted = comments.join(shown.select("cid").distinct(), "cid", "left_semi")
-    sims = search.dense(wanted, vectors, None)
+    sims = search.dense(wanted, vectors, None, embedder=embedder)
     said = F.when(F.col("text") != "", F.col("text")).otherwise(F.col("emojis"))
-    by = Window.partitionBy("question", "key").orderBy(F.desc("sim"), "cid")
+    by = Window.partitionBy("question", "key").orderBy(F.desc(F.coalesce("sim", F.lit(0.0))), "cid")
     quotes = shown.join(sims.withColumnRenamed("score", "sim"), ["question", "cid"], "left").join(wanted.select("cid", said.alias("said")), "cid").withColumn("q", F.row_number().over(by)).where((F.col("q") <= max_quotes) & (F.col("said") != ""))
     quotes = quotes.groupBy("question", "key").agg(F.transform(F.sort_array(F.collect_list(F.struct("q", "said"))), lambda x: x["said"]).alias("quotes"))
     out = top.join(quotes, ["question", "key"], "left")
     return out.select("question", "place", "corpus", "cluster_id", "support", "endorsement", "valence", "representative_cid", "representative_text", "exemplar_cids", "salience", "score", "support_share", "endorsement_share", F.coalesce("quotes", F.array("representative_text")).alias("quotes"))
 
 
-def _placed(scored: DataFrame) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc(F.round("score", 12)), "key"))
-    return scored.withColumn("place", place)
-
-
 def opinion_share(found: DataFrame, top: int = 8) -> DataFrame:
     """What a chart of opinions shows: a label, percent of people and of likes."""
     label = F.when(F.coalesce("representative_text", F.lit("")) == "", "(emoji only)").otherwise(C.excerpt(F.col("representative_text"), 52))

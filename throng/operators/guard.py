@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# What cites a comment, and what states a percentage or a count.
 CITATION = r"\[\s*(c[0-9]+)\s*\]"
 PERCENT = r"([0-9]+(?:\.[0-9]+)?)\s*%"
 COUNTED = r"(?i)([0-9][0-9,]*(?:\.[0-9]+)?)\s+(likes?|upvotes?|comments?|commenters?|people|users|viewers|replies)\b"

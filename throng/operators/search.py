@@ -10,16 +10,21 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from throng.functions import columns as C
+from throng.session import stage_table
 
 #: Questions of one call; they are sent to every executor.
 MOST_QUESTIONS = 10_000
@@ -45,15 +50,17 @@ def bm25(documents: DataFrame, questions: DataFrame, doc: str = "cid", k1: float
 
     documents: ``<doc>, document``; questions: ``question, words``. Stopwords of a
     question don't count, repeated terms count repeatedly, terms the corpus lacks
-    not at all. One pass gives the number and mean length of documents and the
-    document frequencies of the asked terms; a second scores the rows that have any.
+    not at all. One pass over the documents keeps their lengths and asked terms; the
+    number and mean length of documents, document frequencies and scores come from these.
     """
     asked = few(questions).select("question", F.explode(C.query_tokens(F.col("words"))).alias("term")).groupBy("question", "term").agg(F.count(F.lit(1)).alias("qtf"))
     terms = [r.term for r in asked.select("term").distinct().collect()]
-    sized = documents.select(F.col(doc).alias("doc"), C.tokens(F.col("document")).alias("words"))
-    corpus = sized.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("words")).alias("mean"))
+    words = documents.select(F.col(doc).alias("doc"), C.tokens(F.col("document")).alias("words"))
+    # documents are cut into words once: lengths and asked terms serve all that follows
+    sized = stage_table(words.select("doc", F.size("words").alias("len"), _hits(terms).alias("hits")), "bm25-documents")
+    corpus = sized.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
     # a document's words are in its row: their counts need no exchange
-    tf = sized.select("doc", F.size("words").alias("len"), F.explode(_hits(terms)).alias("hit")).select("doc", "len", "hit.term", "hit.tf")
+    tf = sized.select("doc", "len", F.explode("hits").alias("hit")).select("doc", "len", "hit.term", "hit.tf")
     return _bm25_score(tf, asked, corpus, doc, k1, b)
 
 
@@ -94,47 +101,169 @@ def best(scored: DataFrame, n: int, doc: str = "cid") -> DataFrame:
     return scored.withColumn("place", place.cast("long")).where(F.col("place") <= n)
 
 
+def positions(rows: DataFrame, group: str, *order: F.Column) -> DataFrame:
+    """``rows`` with their ``place`` from 1 in their group, for groups of any size.
+
+    Rows are sorted by range over all tasks and numbered in their part; the sizes of
+    the parts of a group, few as they are, give what to add. The order must have no
+    ties. Rows without a group are left out. Written to the shared folder, so numbers
+    and sizes are of the same parts.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("__part", T.LongType()), T.StructField("place", T.LongType())])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, count = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column(group).to_pandas()
+            place = (own.groupby(own, sort=False).cumcount() + 1).to_numpy()
+            place = place + np.where((own == last).to_numpy(), count, 0)
+            last, count = own.iloc[-1], int(place[-1])
+            yield batch.append_column("__part", pa.array(np.full(len(own), part))).append_column("place", pa.array(place.astype(np.int64)))
+
+    sorted_ = rows.where(F.col(group).isNotNull()).repartitionByRange(F.col(group), *order).sortWithinPartitions(F.col(group), *order)
+    held = stage_table(sorted_.mapInArrow(number, schema), "positions")
+    sizes = held.groupBy(group, "__part").agg(F.max("place").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = held.join(sizes.withColumn("before", before).drop("n"), [group, "__part"])
+    return out.withColumn("place", F.col("place") + F.col("before")).select(*rows.columns, "place")
+
+
 @lru_cache(maxsize=500_000)
-def slot(feature: str, dim: int = DIM) -> tuple[int, int]:
+def slot(feature: str, dim: int = DIM, digest: str = "blake2b") -> tuple[int, int]:
     """Slot and sign of a feature, by a hash that never changes."""
+    if digest == "md5":
+        told = hashlib.md5(feature.encode()).digest()
+        return int.from_bytes(told[:4], "big") % dim, 1 if told[4] >> 7 else -1
     value = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big")
     return value % dim, 1 if value >> 63 else -1
 
 
+class Embedder(Protocol):
+    """What turns words into vectors of whole numbers; comments that are alike have
+    a cosine of at least ``threshold``."""
+
+    name: str
+    dim: int
+    threshold: float
+
+    def sparse(self, words: list[str]) -> tuple[list[int], list[int], int]:
+        """Slots, their counts, and the squared length of the vector."""
+
+    def questions(self, comments: DataFrame, asked: dict[str, list[str]]) -> dict[str, np.ndarray]:
+        """Unit vectors of questions given as words."""
+
+
+@dataclass(frozen=True)
+class Hashing:
+    """Signed counts of hashed words, pairs and character n-grams; needs no model.
+
+    digest: blake2b, as saved indexes have it, or md5, which SQL engines have too.
+    """
+
+    dim: int = DIM
+    digest: str = "blake2b"
+    name: str = "hashing"
+    threshold: float = 0.30
+
+    def __post_init__(self) -> None:
+        if self.dim <= 0:
+            raise ValueError("dim must be positive")
+
+    def sparse(self, words: list[str]) -> tuple[list[int], list[int], int]:
+        return sparse(words, self.dim, self.digest)
+
+    def questions(self, comments: DataFrame, asked: dict[str, list[str]]) -> dict[str, np.ndarray]:
+        """Each feature is weighted by the root of its inverse document frequency."""
+        having = {q: features(words) for q, words in asked.items()}
+        df, docs = feature_frequencies(comments, frozenset(f for fs in having.values() for f in fs))
+        out = {}
+        for question, fs in having.items():
+            v = np.zeros(self.dim)
+            for f in fs:
+                k, sign = slot(f, self.dim, self.digest)
+                v[k] += sign * math.sqrt(math.log((docs + 1) / (df.get(f, 0) + 1)) + 1)
+            size = float(np.linalg.norm(v))
+            out[question] = v / size if size else v
+        return out
+
+
+@dataclass(frozen=True)
+class Encoded:
+    """Vectors of a given model: ``encode`` takes a text and gives ``dim`` numbers.
+
+    Unit vectors are rounded to 1/10,000, so equal texts are equal everywhere.
+    """
+
+    name: str
+    dim: int
+    encode: Callable[[str], list[float]]
+    threshold: float = 0.62
+
+    def sparse(self, words: list[str]) -> tuple[list[int], list[int], int]:
+        v = np.asarray(self.encode(" ".join(words)), dtype=float)
+        if len(v) != self.dim:
+            raise ValueError(f"{self.name} gave {len(v)}, not {self.dim}, numbers")
+        size = float(np.linalg.norm(v))
+        whole = np.rint(v / size * 10_000).astype(np.int64) if words and size else np.zeros(self.dim, dtype=np.int64)
+        at = np.flatnonzero(whole)
+        return at.tolist(), whole[at].tolist(), int((whole**2).sum())
+
+    def questions(self, comments: DataFrame, asked: dict[str, list[str]]) -> dict[str, np.ndarray]:
+        out = {}
+        for question, words in asked.items():
+            v = np.zeros(self.dim)
+            slots, counts, norm2 = self.sparse(words)
+            v[slots] = counts
+            out[question] = v / math.sqrt(norm2) if norm2 else v
+        return out
+
+
+_EMBEDDERS: dict[str, Callable[[int], Embedder]] = {"hashing": Hashing, "auto": Hashing, "hashing-md5": lambda dim: Hashing(dim, "md5", "hashing-md5")}
+
+
+def register_embedder(name: str, build: Callable[[int], Embedder]) -> None:
+    """Make ``build(dim)`` known as ``name``."""
+    _EMBEDDERS[name] = build
+
+
+def get_embedder(name: str = "auto", dim: int = DIM) -> Embedder:
+    """The embedder of that name; hashing unless another is asked for."""
+    if name not in _EMBEDDERS:
+        raise ValueError(f"no embedder {name!r}; known: {', '.join(sorted(_EMBEDDERS))}")
+    return _EMBEDDERS[name](dim)
+
+
 def features(words: list[str], n: int = NGRAM) -> list[str]:
     """Words, neighbouring pairs and character n-grams of the joined words."""
     packed = " ".join(words)
     return [f"w:{w}" for w in words] + [f"b:{a}_{b}" for a, b in zip(words, words[1:], strict=False)] + [f"c:{packed[i : i + n]}" for i in range(len(packed) - n + 1)]
 
 
-def sparse(words: list[str], dim: int = DIM) -> tuple[list[int], list[int], int]:
+def sparse(words: list[str], dim: int = DIM, digest: str = "blake2b") -> tuple[list[int], list[int], int]:
     """Signed counts of the features by slot, and their squared length."""
     total: Counter = Counter()
     for f in features(words):
-        k, sign = slot(f, dim)
+        k, sign = slot(f, dim, digest)
         total[k] += sign
     items = sorted((k, v) for k, v in total.items() if v)
     return [k for k, _ in items], [v for _, v in items], sum(v * v for _, v in items)
 
 
-def embedding(text: F.Column, dim: int = DIM) -> F.Column:
-    """Sparse hashed vector of a text: integer counts, so equal texts are equal
-    exactly; a text without tokens has an empty one."""
-    if dim <= 0:
-        raise ValueError("dim must be positive")
+def embedding(text: F.Column, embedder: Embedder = Hashing()) -> F.Column:
+    """Sparse vector of a text of whole numbers, so equal texts are equal exactly;
+    a text without tokens has an empty one."""
 
     @F.pandas_udf(SPARSE)
-    def hashed(words: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sparse(list(w), dim) for w in words], columns=["slots", "counts", "norm2"])
+    def vectors(words: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([embedder.sparse(list(w)) for w in words], columns=["slots", "counts", "norm2"])
 
-    return hashed(C.tokens(text))
+    return vectors(C.tokens(text))
 
 
-def question_vectors(comments: DataFrame, questions: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
-    """Unit vectors of the questions, each feature weighted by the root of its
-    inverse document frequency among the comments' texts."""
-    asked = {r.question: features(list(r.w)) for r in few(questions).select("question", C.query_tokens(F.col("words")).alias("w")).collect()}
-    wanted = frozenset(f for fs in asked.values() for f in fs)
+def feature_frequencies(comments: DataFrame, wanted: frozenset[str]) -> tuple[dict[str, int], int]:
+    """In how many comments each wanted feature is, and how many comments there are."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
@@ -148,36 +277,34 @@ def question_vectors(comments: DataFrame, questions: DataFrame, dim: int = DIM)
     text = C.embedding_text(F.col("text"), F.col("emojis"))
     rows = comments.select(C.tokens(text).alias("words")).mapInPandas(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     df = {r.feature: r.n for r in rows}
-    docs = max(1, df.pop("", 0))
-    out = {}
-    for question, fs in asked.items():
-        v = np.zeros(dim)
-        for f in fs:
-            k, sign = slot(f, dim)
-            v[k] += sign * math.sqrt(math.log((docs + 1) / (df.get(f, 0) + 1)) + 1)
-        size = float(np.linalg.norm(v))
-        out[question] = v / size if size else v
-    return out
+    return df, max(1, df.pop("", 0))
+
+
+def question_vectors(comments: DataFrame, questions: DataFrame, embedder: Embedder = Hashing()) -> dict[str, np.ndarray]:
+    """Unit vectors of the questions; stopwords don't count."""
+    asked = {r.question: list(r.w) for r in few(questions).select("question", C.query_tokens(F.col("words")).alias("w")).collect()}
+    return embedder.questions(comments, asked)
 
 
-def dense(comments: DataFrame, vectors: dict[str, np.ndarray], n: int | None, doc: str = "cid") -> DataFrame:
+def dense(comments: DataFrame, vectors: dict[str, np.ndarray], n: int | None, doc: str = "cid", embedder: Embedder = Hashing()) -> DataFrame:
     """``question, <doc>, score``: cosine of each comment with each question.
 
     With ``n`` only the ``n`` best of each question in a batch of rows go on, ties
-    by the document; None keeps all rows.
+    by the document; None keeps all rows. Scores are rounded to nine places, so
+    that they don't depend on the order of additions.
     """
     names = sorted(vectors)
-    matrix = np.stack([vectors[q] for q in names]) if names else np.zeros((0, DIM))
+    matrix = np.stack([vectors[q] for q in names]) if names else np.zeros((0, embedder.dim))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             docs = batch["doc"].to_numpy(dtype=object)
             x, length = np.zeros((len(batch), matrix.shape[1])), np.ones(len(batch))
             for i, words in enumerate(batch["words"]):
-                slots, counts, norm2 = sparse(list(words), matrix.shape[1])
+                slots, counts, norm2 = embedder.sparse(list(words))
                 x[i, slots] = counts
                 length[i] = math.sqrt(norm2) or 1.0
-            found = np.round(x @ matrix.T / length[:, None], 12)
+            found = np.round(x @ matrix.T / length[:, None], 9) + 0.0
             rows = []
             for j in range(len(names)):
                 col = found[:, j]
@@ -207,8 +334,10 @@ def fuse(rankings: list[DataFrame], k: int = 60, weights: list[float] | None = N
     return union.groupBy("question", doc).agg(F.sum("part").alias("score"))
 
 
-def hybrid(comments: DataFrame, questions: DataFrame, n: int = 10, depth: int = 50, weights: tuple[float, float] = (1.0, 1.0), dim: int = DIM) -> DataFrame:
+def hybrid(comments: DataFrame, questions: DataFrame, n: int = 10, depth: int = 50, weights: tuple[float, float] = (1.0, 1.0), embedder: Embedder = Hashing()) -> DataFrame:
     """The ``n`` best comments of each question by fused lexical and dense rank."""
-    lexical = best(bm25(comments.select("cid", lexical_text().alias("document")), questions), depth)
-    near = best(dense(comments, question_vectors(comments, questions, dim), depth), depth)
-    return best(fuse([lexical, near], weights=list(weights)), n)
+    scored = bm25(comments.select("cid", lexical_text().alias("document")), questions)
+    lexical = best(scored.withColumn("score", F.round("score", 9)), depth)
+    near = best(dense(comments, question_vectors(comments, questions, embedder), depth, embedder=embedder), depth)
+    fused = fuse([lexical, near], weights=list(weights))
+    return best(fused.withColumn("score", F.round("score", 12)), n)

@@ -13,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from throng.functions import columns as C
 from throng.operators.rejects import parse_records
+from throng.session import stage_table
 
 COMMENT = T.StructType(
     [
@@ -33,9 +34,14 @@ RAW = ("text", "time", "author", "votes", "likes", "replies", "reply")
 
 def numbered(rows: DataFrame, name: str = "position") -> DataFrame:
     """``rows`` with consecutive numbers from 0 in their order, without gathering
-    them: only the sizes of partitions are counted first."""
-    indexed = rows.rdd.zipWithIndex().map(lambda p: (*p[0], p[1]))
-    return rows.sparkSession.createDataFrame(indexed, T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())]))
+    them: rows are numbered in their partition, whose number stands in the upper bits,
+    and only the sizes of partitions are summed up. Written once, so both agree."""
+    held = stage_table(rows.withColumn("__n", F.monotonically_increasing_id()), "numbered")
+    part, own = F.shiftright("__n", 33), F.col("__n").bitwiseAND(F.lit(2**33 - 1))
+    sizes = held.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = held.withColumns({"__part": part, "__own": own}).join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part")
+    return out.withColumn(name, F.col("__before") + F.col("__own")).drop("__part", "__own", "__before", "__n")
 
 
 def normalise(raw: DataFrame, now: float, cid: str = "cid") -> DataFrame:
@@ -151,11 +157,13 @@ def load(spark: SparkSession, path: str, dim: int) -> DataFrame:
 def from_pages(spark: SparkSession, fetch: Callable[[int], Iterable[dict]], pages: int, now: float, limit: int = 500) -> DataFrame:
     """Comments that ``fetch(page)`` gives, at most ``limit`` (one at least).
 
-    Pages are fetched by the executors, a page in a partition; no client for a
-    network comes with this. Refused if nothing comes.
+    Pages are fetched by the executors, a page in a partition, a few pages at a time
+    until there are enough comments or an empty page comes; no client for a network
+    comes with this. Refused if nothing comes.
     """
     if pages < 1:
         raise ValueError("no pages")
+    at_once = max(1, spark.sparkContext.defaultParallelism)
 
     class Fetched(DataSource):
         @classmethod
@@ -163,26 +171,48 @@ def from_pages(spark: SparkSession, fetch: Callable[[int], Iterable[dict]], page
             return "fetched_comments"
 
         def schema(self) -> str:
-            return ", ".join(f"{n} string" for n in ("page", *RAW))
+            return "row long, " + ", ".join(f"{n} string" for n in ("page", *RAW))
 
         def reader(self, schema: T.StructType) -> DataSourceReader:
-            return _Pages(fetch, pages)
+            return _Pages(fetch, int(self.options["first"]), int(self.options["last"]))
 
     spark.dataSource.register(Fetched)
-    raw = spark.read.format("fetched_comments").load().withColumn("votes", F.coalesce("votes", "likes")).drop("likes")
-    kept = _ids(raw).where(F.col("n") < max(1, limit))
-    if kept.isEmpty():
+    got, have = None, 0
+    for first in range(0, pages, at_once):
+        last = min(first + at_once, pages)
+        some = stage_table(spark.read.format("fetched_comments").options(first=first, last=last).load(), "pages")
+        got = some if got is None else got.unionByName(some)
+        came = some.select(F.count(F.lit(1)).alias("n"), F.count_distinct("page").alias("pages")).first()
+        have += came.n
+        if have >= max(1, limit) or came.pages < last - first:
+            break
+    if not have:
         raise ValueError("nothing was fetched")
-    return normalise(kept, now)
+    raw = got.withColumn("votes", F.coalesce("votes", "likes")).drop("likes")
+    return normalise(_ids(raw.orderBy(F.col("page").cast("long"), "row").drop("row")).where(F.col("n") < max(1, limit)), now)
+
+
+def batches(comments: DataFrame, size: int = 1000) -> Iterator[list[Row]]:
+    """The rows in lists of ``size``, a partition at a time on the driver."""
+    if size < 1:
+        raise ValueError("a batch must have a row at least")
+    held: list[Row] = []
+    for row in comments.toLocalIterator(prefetchPartitions=True):
+        held.append(row)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 class _Pages(DataSourceReader):
-    def __init__(self, fetch: Callable[[int], Iterable[dict]], pages: int) -> None:
-        self.fetch, self.pages = fetch, pages
+    def __init__(self, fetch: Callable[[int], Iterable[dict]], first: int, last: int) -> None:
+        self.fetch, self.first, self.last = fetch, first, last
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(i) for i in range(self.pages)]
+        return [InputPartition(i) for i in range(self.first, self.last)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for record in self.fetch(partition.value):
-            yield (str(partition.value), *(None if record.get(k) is None else str(record[k]) for k in RAW))
+        for n, record in enumerate(self.fetch(partition.value)):
+            yield (n, str(partition.value), *(None if record.get(k) is None else str(record[k]) for k in RAW))
