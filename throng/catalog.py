@@ -380,8 +380,8 @@ _OPEN = f"WITH RECURSIVE {CORPUS}, {_VECTORS}, {_LEADERS}, {_SUMMARY}, {_ASKED_O
 
 SQL: dict = {
     "p3_found": f"WITH {_P3} SELECT line_no, reason FROM told WHERE reason IS NOT NULL",
-    "p3_valid": f"""WITH {_P3} SELECT line_no, text, CAST(round(CAST(regexp_replace(likes, '[,KMBkmb]', '', 'g') AS DOUBLE) *
-  CASE lower(right(likes, 1)) WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'b' THEN 1e9 ELSE 1 END) AS BIGINT) AS likes, author, published FROM told WHERE reason IS NULL""",
+    "p3_valid": f"""WITH {_P3} SELECT line_no, text, CAST(round_even(CAST(regexp_replace(likes, '[,KMBkmb]', '', 'g') AS DOUBLE) *
+  CASE lower(right(likes, 1)) WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'b' THEN 1e9 ELSE 1 END, 0) AS BIGINT) AS likes, author, published FROM told WHERE reason IS NULL""",
     "normalised_records": _NORMAL,
     "unique_comments": f"WITH {CORPUS} SELECT * EXCLUDE (video_id) FROM corpus",
     "corpus_stats": f"""WITH {CORPUS} SELECT count(*) AS comments, coalesce(sum(likes), 0)::BIGINT AS total_likes, coalesce(avg(likes), 0.0) AS mean_likes, coalesce(median(likes), 0.0) AS median_likes,
