@@ -72,6 +72,12 @@ def test_clusters(corpus):
     assert rows["c4"][0] == 0
 
 
+def test_clusters_in_many_rounds(corpus, monkeypatch):
+    whole = {tuple(r) for r in clusters.leader_clusters(corpus, None).collect()}
+    monkeypatch.setattr(clusters, "BLOCK", 2)
+    assert {tuple(r) for r in clusters.leader_clusters(corpus, None).collect()} == whole
+
+
 def test_cluster_extremes(corpus):
     assert clusters.leader_clusters(corpus, None, 0.99).select("cluster_id").distinct().count() == 11
     assert clusters.leader_clusters(corpus, None, -1.0).select("cluster_id").distinct().count() == 1

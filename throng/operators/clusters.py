@@ -136,6 +136,8 @@ def leader_clusters(comments: DataFrame, corpus: str | None = "video_id", thresh
         if new.isEmpty():
             break
         found = new if found is None else found.unionByName(new)
+        if todo.groupBy("corpus").count().where(F.col("count") > BLOCK).isEmpty():
+            break  # every corpus was settled to its end
         pairs = todo.groupBy("corpus", "salt").cogroup(_for_all(new, shares).groupBy("corpus", "salt"))
         todo = stage_table(pairs.applyInPandas(_far(threshold, dim), _TEXT), "cluster-todo")
     if found is None:
