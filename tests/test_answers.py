@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,3 +290,61 @@ def test_facade_constructors(spark, corpus, tmp_path):
     assert again.get("c4")["likes"] == 1000 and again.get("zz") is None
     one_row = Comments.from_records(spark, [{"text": "🔥🔥", "votes": "500", "author": "@a"}], 0.0)
     assert "500" in one_row.ask("most liked comment").text and one_row.ask("what do people think").text
+
+
+@pytest.mark.parametrize("share", [7, 1000])
+def test_clusters_follow_the_rule_comment_by_comment(spark, corpus, monkeypatch, share):
+    """Large corpora in rounds and shares, small ones in one task: copies, blanks and ties included."""
+    words = "harbour editing music dragon voices ending costume joke pacing quill rasp tern".split()
+    said = [f"{words[i * 5 % 12]} {words[i * 7 % 11]} {words[i % 5]}" if i % 9 else "🔥" for i in range(90)]
+    rows = [(f"c{i}", t, i * 13 % 17, f"v{i % 3 // 2}") for i, t in enumerate(said)]
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in corpus.schema if f.name not in ("cid", "text", "likes")]
+    comments = spark.createDataFrame(rows, "cid string, text string, likes long, video_id string").select("*", *rest).fillna("").fillna(0)
+    monkeypatch.setattr(clusters, "SHARE", share)
+    monkeypatch.setattr(clusters, "BLOCK", 4)
+    got = {r.cid: (r.corpus, r.cluster_id, r.leader) for r in clusters.leader_clusters(comments).collect()}
+    want, leads = {}, {}
+    for cid, text, _, video in sorted(rows, key=lambda r: (-r[2], r[0])):
+        slots, counts, norm2 = search.sparse(text.split(" ") if text != "🔥" else [])
+        own, v = leads.setdefault(video, []), dict(zip(slots, counts, strict=True))
+        sims = [sum(n * w.get(s, 0) for s, n in v.items()) / math.sqrt(norm2 * m) if norm2 * m else 0.0 for _, w, m in own]
+        if not sims or max(sims) < clusters.THRESHOLD:
+            own.append((cid, v, norm2))
+            sims = [0.0] * (len(own) - 1) + [1.0]
+        k = sims.index(max(sims))
+        want[cid] = (video, k, own[k][0])
+    assert got == want
+
+
+@pytest.mark.parametrize("words", [7, 512])
+def test_vectors_of_many_texts_are_those_of_each(words):
+    texts = ["", "a", "abc", "abcd", "ab cd", "it's 12 o'clock", "''' ' 9", "", "a a a a", "x" * 5000]
+    for embedder in (search.Hashing(words), search.get_embedder("hashing-md5", words)):
+        got, norm2 = search.matrix(texts, embedder)
+        for x, n, text in zip(got, norm2, texts, strict=True):
+            slots, counts, size = embedder.sparse(text.split(" ") if text else [])
+            assert n == size and {i: x[i] for i in np.flatnonzero(x)} == dict(zip(slots, counts, strict=True))
+    assert search.matrix([], search.Hashing())[0].shape == (0, 512)
+    with pytest.raises(ValueError):
+        search.matrix(["a\nb"], search.Hashing())
+
+
+def test_tokens_joined_at_once(spark):
+    from throng.functions import columns as C
+
+    texts = [("",), ("É a--B  'c' 9\n\x0bİx K",), ("😀",), (None,), ("  don't  ",)]
+    rows = spark.createDataFrame(texts, "t string").select(search.joined(F.col("t")).alias("a"), F.array_join(C.tokens(F.col("t")), " ").alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
+
+
+def test_centroids_of_clusters_in_many_tasks(spark):
+    """A cluster that begins in one task and ends in another has one mean."""
+    rows = [(f"c{i:03}", "v", i // 40, f"blue harbour scene {i % 7}") for i in range(120)] + [("d", "w", 0, "slow editing")]
+    members = spark.createDataFrame(rows, "cid string, corpus string, cluster_id long, said string").repartition(5)
+    v = search.matrix(["blue harbour"], search.Hashing())[0][0].astype(float)
+    got = {(r.corpus, r.cluster_id): r.score for r in clusters.centroid_scores(members, members, {"q": v / np.linalg.norm(v)}).collect()}
+    for key in {(c, k) for _, c, k, _ in rows}:
+        x, n = search.matrix([t for _, c, k, t in rows if (c, k) == key], search.Hashing())
+        mean = (x / np.sqrt(n)[:, None]).sum(axis=0)
+        score = float(mean @ v / np.linalg.norm(v) / np.linalg.norm(mean))
+        assert got.get(key, 0.0) == pytest.approx(max(0.0, score), abs=1e-9)

@@ -168,8 +168,10 @@ def fused_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    comments = stage_table(corpus(spark, sf_dir), "corpus")
-    members = clusters.leader_clusters(comments, embedder=EMBEDDER)
+    """Comments, members and summaries; members keep what is read of their comments,
+    so nothing is joined with the corpus again."""
+    members = clusters.leader_clusters(corpus(spark, sf_dir), embedder=EMBEDDER, keep=("text", "emojis", "likes", "valence", "said"))
+    comments = members.select("cid", "text", "emojis", "likes", "said")
     return comments, members, stage_table(clusters.summaries(comments, members), "cluster-summaries")
 
 

@@ -5,41 +5,39 @@ leader of its corpus is at least as similar as the threshold; any other comment
 joins its most similar earlier leader, the earliest of equals. A corpus is what
 shares a partition column (a video); its comments may be in any number of tasks.
 
-Leaders are found in rounds: of every corpus the first undecided texts, a block of
+A corpus of few comments is settled and assigned in one task. The leaders of larger
+ones are found in rounds: of every corpus the first undecided texts, a block of
 bounded size, are settled one by one in one task; then all undecided texts
-meet the new leaders of their corpus and those near one leave. Equal texts have
-equal vectors and rank by their first copy, so only distinct texts take part. A
-last pass assigns every text to a leader. Similarities are quotients of integers,
-computed in one way everywhere, so ties are exact.
+meet the new leaders of their corpus and those near one leave. A last pass assigns
+every comment to a leader. Equal texts have equal vectors, which are made once. Similarities are quotients of integers,
+computed in one way everywhere, so ties are exact. Vectors are made from the texts
+where they meet and never stored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from throng.functions import columns as C
 from throng.operators import search
-from throng.session import stage_table
+from throng.session import drop_stage, stage_table
 
 THRESHOLD = search.Hashing().threshold
-#: Texts of a corpus that are settled in one task and round; also how many
-#: leaders texts meet at once.
-BLOCK = 2048
-#: About how many texts of a corpus meet leaders in one task.
-SHARE = 5_000
-_TEXT = "corpus string, salt long, rank string, slots array<int>, counts array<int>, norm2 long"
-
-
-def _dense(slots: pd.Series, counts: pd.Series, dim: int) -> np.ndarray:
-    out = np.zeros((len(slots), dim))
-    for i, (s, c) in enumerate(zip(slots, counts, strict=True)):
-        out[i, list(s)] = list(c)
-    return out
+#: Texts of a corpus that are settled in one task in the first round; after it few
+#: texts are undecided, and LATER times as many are settled at once.
+BLOCK, LATER = 2048, 8
+#: About how many comments of a corpus meet leaders in one task; a corpus of no more
+#: is settled there as well.
+SHARE = 20_000
+_TEXT = T.StructType([T.StructField("corpus", T.StringType()), T.StructField("salt", T.LongType()), T.StructField("rank", T.StringType()), T.StructField("said", T.StringType())])
 
 
 def similarities(a: np.ndarray, a2: np.ndarray, b: np.ndarray, b2: np.ndarray) -> np.ndarray:
@@ -49,125 +47,222 @@ def similarities(a: np.ndarray, a2: np.ndarray, b: np.ndarray, b2: np.ndarray) -
     return np.divide(a @ b.T, size, out=np.zeros_like(size), where=size > 0)
 
 
-def _plain(rows: pd.DataFrame) -> pd.DataFrame:
-    """Text columns as plain objects, which always convert to one Arrow array."""
-    return rows.astype({c: object for c in ("corpus", "rank", "lead") if c in rows})
+def _vectors(said: pa.Array | pa.ChunkedArray, embedder: search.Embedder) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Vectors of a bounded number of texts at a time, with the first one's place."""
+    for at in range(0, len(said), search.CHUNK):
+        yield (at, *search.matrix(said.slice(at, search.CHUNK).to_pylist(), embedder))
+
+
+def _near(x: np.ndarray, x2: np.ndarray, leads: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> np.ndarray:
+    """Which vectors are near any of the leaders."""
+    near = np.zeros(len(x), bool)
+    for y, y2 in leads:
+        if len(y) and not near.all():
+            far = np.flatnonzero(~near)
+            near[far] = (similarities(x[far], x2[far], y, y2) >= threshold).any(axis=1)
+    return near
+
+
+def _leaders(vectors: Iterable[tuple[int, np.ndarray, np.ndarray]], threshold: float) -> tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]:
+    """Places and vectors of the leaders among texts in the order of their ranks."""
+    leads: list[tuple[np.ndarray, np.ndarray]] = []
+    found: list[int] = []
+    for at, x, x2 in vectors:
+        left = np.flatnonzero(~_near(x, x2, leads, threshold))
+        x, x2 = x[left], x2[left]
+        alike = similarities(x, x2, x, x2) >= threshold
+        open_, new = np.ones(len(left), bool), []
+        for i in range(len(left)):
+            if open_[i]:
+                new.append(i)
+                open_ &= ~alike[i]
+        leads.append((x[new], x2[new]))
+        found.extend((at + left[new]).tolist())
+    return found, leads
+
+
+def _distinct(said: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """Each text once, in the order of their first copies, and every row's number."""
+    coded = said.combine_chunks().dictionary_encode()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _settle(threshold: float, dim: int):
-    def settle(block: pd.DataFrame) -> pd.DataFrame:
+def _blank(said: pa.ChunkedArray) -> np.ndarray:
+    """A comment without tokens is near nothing, and nothing is near it."""
+    return np.asarray(pc.starts_with(said, "\0"), dtype=bool)
+
+
+def _settle(threshold: float, embedder: search.Embedder):
+    def settle(block: pa.Table) -> pa.Table:
         """The leaders among the first undecided texts of one corpus."""
-        block = block.sort_values("rank").reset_index(drop=True)
-        x, x2 = _dense(block["slots"], block["counts"], dim), block["norm2"].to_numpy()
-        near = similarities(x, x2, x, x2) >= threshold
-        leads: list[int] = []
-        for i in range(len(block)):
-            if not near[i, leads].any():
-                leads.append(i)
-        return _plain(block.iloc[leads])[["corpus", "salt", "rank", "slots", "counts", "norm2"]]
+        block = block.sort_by("rank").select(_TEXT.names)
+        texts, number = _distinct(block["said"])
+        first = np.unique(number, return_index=True)[1]
+        return block.take(first[_leaders(_vectors(texts, embedder), threshold)[0]])
 
     return settle
 
 
-def _far(threshold: float, dim: int):
-    def far(texts: pd.DataFrame, leads: pd.DataFrame) -> pd.DataFrame:
-        """The texts that are near none of the leaders."""
-        out = ["corpus", "salt", "rank", "slots", "counts", "norm2"]
-        if not len(texts) or not len(leads):
-            return _plain(texts[out])
-        x, y = _dense(texts["slots"], texts["counts"], dim), _dense(leads["slots"], leads["counts"], dim)
-        near = (similarities(x, texts["norm2"].to_numpy(), y, leads["norm2"].to_numpy()) >= threshold).any(axis=1)
-        return _plain(texts[~near & ~texts["rank"].isin(leads["rank"]).to_numpy()][out])
+def _far(threshold: float, embedder: search.Embedder):
+    def far(texts: pa.Table, leads: pa.Table) -> pa.Table:
+        """The texts, each by its first copy, that are near none of the leaders."""
+        texts = texts.select(_TEXT.names).sort_by("rank")
+        texts = texts.take(np.unique(_distinct(texts["said"])[1], return_index=True)[1])
+        texts = texts.filter(pc.invert(pc.is_in(texts["said"], leads["said"].combine_chunks())))
+        known = [(y, y2) for _, y, y2 in _vectors(leads["said"], embedder)]
+        keep = [~_near(x, x2, known, threshold) for _, x, x2 in _vectors(texts["said"], embedder)]
+        return texts.filter(pa.array(np.concatenate([np.zeros(0, bool), *keep])))
 
     return far
 
 
-def _join(dim: int):
-    def join(texts: pd.DataFrame, leads: pd.DataFrame) -> pd.DataFrame:
-        """Of each text the most similar of these leaders that rank before it."""
-        if not len(texts) or not len(leads):
-            return pd.DataFrame({"corpus": [], "rank": [], "lead": [], "sim": []}, dtype=object).astype({"sim": float})
-        leads = leads.sort_values("rank").reset_index(drop=True)
-        x, y = _dense(texts["slots"], texts["counts"], dim), _dense(leads["slots"], leads["counts"], dim)
-        sim = similarities(x, texts["norm2"].to_numpy(), y, leads["norm2"].to_numpy())
-        before = np.searchsorted(leads["rank"].to_numpy(dtype=str), texts["rank"].to_numpy(dtype=str))
-        sim[np.arange(len(leads))[None, :] >= before[:, None]] = -2.0
-        best = sim.argmax(axis=1)
-        names = {"corpus": texts["corpus"], "rank": texts["rank"], "lead": leads["rank"]}
-        corpus, rank, lead = (x.to_numpy(dtype=object) for x in names.values())
-        return _plain(pd.DataFrame({"corpus": corpus, "rank": rank, "lead": lead[best], "sim": sim.max(axis=1)}))
+def _places(rows: np.ndarray, number: np.ndarray, before: np.ndarray, vectors: list[tuple[int, np.ndarray, np.ndarray]], leads: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each row the place of the most similar leader before its own place, the
+    earliest of equals. number: the row's vector; leads: places, vectors, lengths.
+    Rows and leaders meet block by block."""
+    at, best = before.copy(), np.full(len(before), -2.0)
+    order = np.argsort(number, kind="stable")
+    rows, number = rows[order], number[order]
+    for place, y, y2 in leads:
+        for k, x, x2 in vectors:
+            low, high = np.searchsorted(number, [k, k + len(x)])
+            if low == high or not len(place):
+                continue
+            mine, copy = rows[low:high], number[low:high] - k
+            sim = similarities(x[copy], x2[copy], y, y2)
+            if before[mine].min() <= place[-1]:
+                sim[place[None, :] >= before[mine][:, None]] = -2.0
+            top = sim.argmax(axis=1)
+            value = sim[np.arange(len(mine)), top]
+            better = value > best[mine]
+            best[mine[better]], at[mine[better]] = value[better], place[top[better]]
+    return at
+
+
+def _join(embedder: search.Embedder, names: list[str]):
+    def join(rows: pa.Table, leads: pa.Table) -> pa.Table:
+        """Each row with its leader, a leader with itself."""
+        leads = leads.sort_by("rank")
+        rank, lead = rows["rank"].to_numpy().astype(str), leads["rank"].to_numpy().astype(str)
+        before = np.searchsorted(lead, rank)
+        own = np.zeros(len(rows), bool)
+        own[before < len(lead)] = lead[before[before < len(lead)]] == rank[before < len(lead)]
+        there, here = np.flatnonzero(~_blank(leads["said"])), np.flatnonzero(~_blank(rows["said"]) & ~own)
+        texts, number = _distinct(rows["said"].take(here))
+        met = ((there[k : k + len(y)], y, y2) for k, y, y2 in _vectors(leads["said"].take(there), embedder))
+        at = _places(here, number, before, list(_vectors(texts, embedder)), met)
+        chosen = leads.select(["cluster_id", "leader"]).take(at)
+        return rows.select(names).append_column("cluster_id", chosen["cluster_id"]).append_column("leader", chosen["leader"])
 
     return join
 
 
+def _whole(threshold: float, embedder: search.Embedder, names: list[str]):
+    def whole(rows: pa.Table) -> pa.Table:
+        """The clusters of a corpus of few comments, whose vectors are made once."""
+        rows = rows.sort_by("rank")
+        blank = _blank(rows["said"])
+        here = np.flatnonzero(~blank)
+        texts, number = _distinct(rows["said"].take(here))
+        vectors = list(_vectors(texts, embedder))
+        found, leads = _leaders(vectors, threshold)
+        first = here[np.unique(number, return_index=True)[1][found]]
+        lead = np.sort(np.concatenate([np.flatnonzero(blank), first]).astype(np.int64))
+        before = np.searchsorted(lead, np.arange(len(rows)))
+        ends = np.cumsum([0, *(len(y) for y, _ in leads)])
+        own = np.isin(here, first)
+        met = ((np.searchsorted(lead, first[i:j]), y, y2) for i, j, (y, y2) in zip(ends, ends[1:], leads, strict=False))
+        at = _places(here[~own], number[~own], before, vectors, met)
+        return rows.select(names).append_column("cluster_id", pa.array(at)).append_column("leader", rows["cid"].take(lead[at]))
+
+    return whole
+
+
 def _for_all(leads: DataFrame, shares: DataFrame) -> DataFrame:
     """Leaders once for each share of their corpus."""
     return leads.drop("salt").join(shares, "corpus").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).drop("shares")
 
 
-def leader_clusters(comments: DataFrame, corpus: str | None = "video_id", threshold: float | None = None, embedder: search.Embedder = search.Hashing()) -> DataFrame:
-    """``cid, corpus, cluster_id, leader`` of every comment.
+def _with(members: DataFrame, comments: DataFrame, *columns: str) -> DataFrame:
+    """Members with columns of their comments, joined unless they are there."""
+    lacking = [c for c in columns if c not in members.columns]
+    return members.join(comments.select("cid", *lacking), "cid") if lacking else members
+
+
+def leader_clusters(comments: DataFrame, corpus: str | None = "video_id", threshold: float | None = None, embedder: search.Embedder = search.Hashing(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """``cid, corpus, cluster_id, leader`` of every comment, with the columns to keep.
 
     comments: unique cids with text, emojis, likes and the corpus column; None for
     a single corpus; a null corpus is one of its own. Cluster numbers of a corpus
     start at 0 in the order of their leaders. Texts without tokens are near nothing
     unless the threshold is 0 or less.
     """
-    threshold, dim = embedder.threshold if threshold is None else threshold, embedder.dim
+    threshold = embedder.threshold if threshold is None else threshold
     name = F.coalesce(F.col(corpus).cast("string"), F.lit("")) if corpus else F.lit("")
-    words = C.embedding_text(F.col("text"), F.col("emojis"))
-    ranked = comments.select("cid", name.alias("corpus"), words.alias("said"), "likes")
+    # tokens are found once; all that follows reads them
+    told = comments.withColumns({"corpus": name, "said": search.said(comments)})
+    held = stage_table(told.select("cid", "corpus", "said", *dict.fromkeys(("likes", *(c for c in keep if c != "said")))), "cluster-rows")
     # texts without tokens are all one vector, but near nothing: each stays by itself
-    blank = F.size(C.tokens(F.col("said"))) == 0
-    ranked = ranked.withColumn("said", F.when(blank & F.lit(threshold > 0), F.concat(F.lit("\0"), F.col("cid"))).otherwise(F.array_join(C.tokens(F.col("said")), " ")))
-    # a key that sorts as (likes descending, cid): no corpus is ever sorted in one task
+    alone = (F.col("said") == "") & F.lit(threshold > 0)
+    # a key that sorts as (likes descending, cid): no large corpus is sorted in one task
     first = F.lpad((F.lit(2**62) - F.col("likes")).cast("string"), 20, "0")
-    ranked = stage_table(ranked.withColumn("rank", F.concat(first, F.lit(" "), F.col("cid"))).drop("likes"), "cluster-ranked")
-    firsts = ranked.groupBy("corpus", "said").agg(F.min("rank").alias("rank"))
-    vector = search.embedding(F.when(F.col("said").startswith("\0"), "").otherwise(F.col("said")), embedder)
-    shares = stage_table(ranked.groupBy("corpus").agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("shares")), "cluster-shares")
-    salted = firsts.join(shares, "corpus").withColumn("salt", F.pmod(F.xxhash64("said"), F.col("shares")))
-    texts = stage_table(salted.withColumn("v", vector).select("corpus", "salt", "said", "rank", "v.slots", "v.counts", "v.norm2"), "cluster-texts")
-    todo, found = texts.drop("said"), None
+    ranked = held.withColumns({"blank": alone, "rank": F.concat(first, F.lit(" "), F.col("cid"))})
+    marked = F.when(F.col("blank"), F.concat(F.lit("\0"), F.col("cid"))).otherwise(F.col("said"))
+    shares = stage_table(held.groupBy("corpus").agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("shares")), "cluster-shares")
+    salt = F.pmod(F.xxhash64("said"), F.col("shares"))
+    names = ["cid", "corpus", *keep]
+    given = [c for c in names if c != "said"]
+    rows = ranked.join(shares, "corpus").select(*given, "shares", "rank", "blank", salt.alias("salt"), marked.alias("said"))
+    schema = T.StructType([*held.select(names).schema.fields, T.StructField("cluster_id", T.LongType()), T.StructField("leader", T.StringType())])
+    few, many = rows.where("shares = 1"), rows.where("shares > 1")
+    members = few.groupBy("corpus").applyInArrow(_whole(threshold, embedder, names), schema)
+    old = [held]
+    if not shares.where("shares > 1").isEmpty():
+        numbered = _numbered(many, shares.where("shares > 1"), threshold, embedder, old)
+        met = many.groupBy("corpus", "salt").cogroup(_for_all(numbered, shares).groupBy("corpus", "salt"))
+        members = members.unionByName(met.applyInArrow(_join(embedder, names), schema))
+    if "said" in keep:
+        members = members.withColumn("said", F.when(F.col("said").startswith("\0"), "").otherwise(F.col("said")))
+    members = stage_table(members.select("cid", "corpus", "cluster_id", "leader", *keep), "cluster-members")
+    for table in old:
+        drop_stage(table)
+    return members
+
+
+def _numbered(rows: DataFrame, shares: DataFrame, threshold: float, embedder: search.Embedder, old: list[DataFrame]) -> DataFrame:
+    """``corpus, rank, said, cluster_id, leader`` of the leaders of large corpora;
+    tables that are needed until all comments are assigned are added to ``old``."""
+    todo = rows.where("not blank").select(*_TEXT.names)
+    found, size = rows.where("blank").select(*_TEXT.names), BLOCK
     while True:
         head = Window.partitionBy("corpus").orderBy("rank")
-        block = todo.withColumn("n", F.row_number().over(head)).where(F.col("n") <= BLOCK).drop("n")
-        new = stage_table(block.groupBy("corpus").applyInPandas(_settle(threshold, dim), _TEXT), "cluster-leaders")
-        if new.isEmpty():
-            break
-        found = new if found is None else found.unionByName(new)
-        if todo.groupBy("corpus").count().where(F.col("count") > BLOCK).isEmpty():
+        block = todo.withColumn("n", F.row_number().over(head)).where(F.col("n") <= size).drop("n")
+        new = stage_table(block.groupBy("corpus").applyInArrow(_settle(threshold, embedder), _TEXT), "cluster-leaders")
+        found = found.unionByName(new)
+        old.append(new)
+        if todo.groupBy("corpus").count().where(F.col("count") > size).isEmpty():
             break  # every corpus was settled to its end
         pairs = todo.groupBy("corpus", "salt").cogroup(_for_all(new, shares).groupBy("corpus", "salt"))
-        todo = stage_table(pairs.applyInPandas(_far(threshold, dim), _TEXT), "cluster-todo")
-    if found is None:
-        return ranked.select("cid", "corpus", F.lit(0).cast("long").alias("cluster_id"), F.col("cid").alias("leader")).limit(0)
+        todo = stage_table(pairs.applyInArrow(_far(threshold, embedder), _TEXT), "cluster-todo")
+        old.append(todo)
+        size = BLOCK * LATER
     placed = search.positions(found, "corpus", F.col("rank"))
-    leads = stage_table(placed.withColumn("cluster_id", F.col("place") - 1).drop("place").withColumn("part", F.floor(F.col("cluster_id") / BLOCK)), "cluster-numbered")
-    parts = leads.groupBy("corpus").agg(F.max("part").alias("parts"))
-    # every copy of a text joins by its own rank: a leader may have risen before a later copy
-    copies = ranked.join(texts.select("corpus", "said", "salt", "slots", "counts", "norm2"), ["corpus", "said"]).drop("said", "cid")
-    copies = copies.join(leads.select("corpus", "rank"), ["corpus", "rank"], "left_anti").join(parts, "corpus").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), "parts")))
-    met = copies.groupBy("corpus", "salt", "part").cogroup(_for_all(leads, shares).groupBy("corpus", "salt", "part"))
-    joined = met.applyInPandas(_join(dim), "corpus string, rank string, lead string, sim double").where("sim > -2").groupBy("corpus", "rank").agg(F.min_by("lead", F.struct(-F.col("sim"), F.col("lead"))).alias("lead"))
-    every = joined.unionByName(leads.select("corpus", "rank", F.col("rank").alias("lead")))
-    numbers = leads.select("corpus", F.col("rank").alias("lead"), "cluster_id", F.substring("rank", 22, 1_000_000).alias("leader"))
-    return stage_table(every.join(numbers, ["corpus", "lead"]).select(F.substring("rank", 22, 1_000_000).alias("cid"), "corpus", "cluster_id", "leader"), "cluster-members")
+    numbered = stage_table(placed.select("corpus", "rank", "said", (F.col("place") - 1).alias("cluster_id"), F.substring("rank", 22, 1_000_000).alias("leader")), "cluster-numbered")
+    old.append(numbered)
+    return numbered
 
 
 def summaries(comments: DataFrame, members: DataFrame, max_quotes: int = 5) -> DataFrame:
     """One row for each cluster: support, endorsement, mean valence, leader and its
     text, and the first ``max_quotes`` members by likes as exemplars."""
-    rows = members.join(comments.select("cid", "text", "emojis", "likes", "valence"), "cid")
+    rows = _with(members, comments, "text", "emojis", "likes", "valence")
     said = F.when(F.col("text") != "", F.col("text")).otherwise(F.col("emojis"))
     key = ["corpus", "cluster_id"]
-    sums = rows.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("support"),
-        F.sum("likes").alias("endorsement"),
-        F.avg("valence").alias("valence"),
-        F.first("leader").alias("representative_cid"),
-        F.max(F.when(F.col("cid") == F.col("leader"), said)).alias("representative_text"),
-    )
+    # numbers only, so they are summed by hash; the leader's text comes from its row
+    sums = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("support"), F.sum("likes").alias("endorsement"), F.avg("valence").alias("valence"))
+    sums = sums.join(rows.where(F.col("cid") == F.col("leader")).select(*key, F.col("leader").alias("representative_cid"), said.alias("representative_text")), key)
     # the limit stands right at the window, so each task passes on a few rows of a cluster
     first = rows.select(*key, "cid", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("likes"), "cid")).alias("place")).where(F.col("place") <= max_quotes)
     shown = first.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "cid"))), lambda x: x["cid"]).alias("exemplar_cids"))
@@ -176,28 +271,59 @@ def summaries(comments: DataFrame, members: DataFrame, max_quotes: int = 5) -> D
 
 def centroid_scores(comments: DataFrame, members: DataFrame, vectors: dict[str, np.ndarray], embedder: search.Embedder = search.Hashing()) -> DataFrame:
     """``question, corpus, cluster_id, score``: positive cosines of each cluster's
-    mean unit vector with each question. Means are summed slot by slot, so a
-    cluster of any size is spread over tasks and ends as at most ``dim`` numbers."""
-    dim = embedder.dim
-    vector = search.embedding(C.embedding_text(F.col("text"), F.col("emojis")), embedder)
-    rows = comments.select("cid", vector.alias("v")).join(members.select("cid", "corpus", "cluster_id"), "cid").where("v.norm2 > 0")
-    slots = rows.select("corpus", "cluster_id", F.sqrt(F.col("v.norm2").cast("double")).alias("len"), F.explode(F.arrays_zip("v.slots", "v.counts")).alias("x"))
-    sums = slots.groupBy("corpus", "cluster_id", F.col("x.slots").alias("slot")).agg(F.sum(F.col("x.counts") / F.col("len")).alias("w"))
-    means = sums.groupBy("corpus", "cluster_id").agg(F.collect_list(F.struct("slot", "w")).alias("mean"))
-    names = sorted(vectors)
-    matrix = np.stack([vectors[q] for q in names]) if names else np.zeros((0, dim))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    mean unit vector with each question. Rows are sorted by range over all tasks, so a
+    cluster of any size may lie in several; a task holds one sum of vectors. Clusters
+    that a task has whole are scored there, and only sums of the first and the last
+    one of each task, which may go on elsewhere, are put together."""
+    names = sorted(q for q, v in vectors.items() if v.any())
+    out = "question string, corpus string, cluster_id long, score double"
+    if not names:  # nothing is near a question without words
+        return comments.sparkSession.createDataFrame([], out)
+    asked = np.stack([vectors[q] for q in names]).T
+
+    def cosines(keys: list[tuple], sums: np.ndarray) -> dict[str, list]:
+        size = np.linalg.norm(sums, axis=1)
+        found = sums @ asked / np.where(size > 0, size, 1)[:, None]
+        k, q = np.nonzero(found > 1e-12)
+        return {"question": [names[i] for i in q], "corpus": [keys[i][0] for i in k], "cluster_id": [keys[i][1] for i in k], "score": found[k, q]}
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edge = lambda key, total: pa.RecordBatch.from_pydict({"question": [None], "corpus": [key[0]], "cluster_id": [key[1]], "score": [None], "total": [total.tobytes()]}, schema=parts)
+        open_, total, first = None, np.zeros(embedder.dim), True
         for batch in batches:
-            x = np.zeros((len(batch), dim))
-            for i, mean in enumerate(batch["mean"]):
-                x[i, [m["slot"] for m in mean]] = [m["w"] for m in mean]
-            size = np.linalg.norm(x, axis=1)
-            found = x @ matrix.T / np.where(size > 0, size, 1)[:, None]
-            k, q = np.nonzero(found > 1e-12)
-            yield pd.DataFrame({"question": np.array(names, dtype=object)[q], "corpus": batch["corpus"].to_numpy(dtype=object)[k], "cluster_id": batch["cluster_id"].to_numpy()[k], "score": found[k, q]})
-
-    return means.mapInPandas(score, "question string, corpus string, cluster_id long, score double")
+            for at in range(0, len(batch), search.CHUNK):
+                rows = batch.slice(at, search.CHUNK).to_pydict()
+                x, x2 = search.matrix(rows["said"], embedder)
+                x = x / np.sqrt(np.where(x2 > 0, x2, 1))[:, None]
+                keys = list(zip(rows["corpus"], rows["cluster_id"], strict=True))
+                starts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1])]
+                sums = np.add.reduceat(x, starts, axis=0)
+                runs = [keys[i] for i in starts]
+                if runs[0] == open_:
+                    sums[0] += total
+                elif open_ is not None:
+                    runs, sums = [open_, *runs], np.vstack([total, sums])
+                if first and len(runs) > 1:  # it may have begun in the task before
+                    yield edge(runs[0], sums[0])
+                    runs, sums, first = runs[1:], sums[1:], False
+                open_, total = runs[-1], sums[-1].copy()
+                told = cosines(runs[:-1], sums[:-1])
+                yield pa.RecordBatch.from_pydict(told | {"total": [None] * len(told["question"])}, schema=parts)
+        if open_ is not None:
+            yield edge(open_, total)
+
+    def whole(sums: pa.Table) -> pa.Table:
+        keys = list(zip(sums["corpus"].to_pylist()[:1], sums["cluster_id"].to_pylist()[:1], strict=True))
+        told = cosines(keys, sum(np.frombuffer(t) for t in sums["total"].to_pylist())[None, :])
+        return pa.Table.from_pydict(told, schema=parts.remove(4))
+
+    parts = pa.schema([("question", pa.string()), ("corpus", pa.string()), ("cluster_id", pa.int64()), ("score", pa.float64()), ("total", pa.binary())])
+    rows = members if "said" in members.columns else _with(members, comments, "text", "emojis")
+    rows = rows.select("corpus", "cluster_id", "cid", search.said(rows).alias("said")).where("said <> ''")
+    order = ["corpus", "cluster_id", "cid"]
+    scored = stage_table(rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("cid").mapInArrow(gather, f"{out}, total binary"), "evidence-central")
+    edges = scored.where("total is not null").groupBy("corpus", "cluster_id").applyInArrow(whole, out)
+    return scored.where("total is null").drop("total").unionByName(edges)
 
 
 def ratio(value: F.Column, best: F.Column) -> F.Column:
@@ -223,23 +349,25 @@ def evidence(comments: DataFrame, members: DataFrame, clusters: DataFrame, quest
     if min(weights) < 0 or g > 1 or sum(weights) <= 0:
         raise ValueError("weights must not be negative, the first at most 1, their sum positive")
     key = F.concat_ws("#", "corpus", F.lpad(F.col("cluster_id").cast("string"), 12, "0")).alias("key")
-    texts = members.join(comments.select("cid", "text", "likes"), "cid").select(key, "text")
+    texts = _with(members, comments, "text")
+    # tokens that were found before, unless they are those of the emoji
+    texts = texts.select(key, (F.when(F.col("text") != "", F.col("said")).otherwise("") if "said" in texts.columns else search.joined(F.col("text"))).alias("text"))
     lexical = search.bm25_grouped(texts, questions, "key").withColumn("score", F.round("score", 9))
     vectors = search.question_vectors(comments, questions, embedder)
     near = centroid_scores(comments, members, vectors, embedder).select("question", key, F.round("score", 9).alias("score")).where("score > 0")
     ranks = [search.positions(r.select("question", "key", "score"), "question", F.desc("score"), F.col("key")) for r in (lexical, near)]
-    fused = stage_table(search.fuse(ranks, k=10, doc="key").withColumnRenamed("score", "fused"), "evidence-fused")
     most = clusters.agg(F.max(F.log1p(F.col("support").cast("double"))).alias("best_support"), F.max(F.log1p(F.col("endorsement").cast("double"))).alias("best_likes"))
     social = 1 + a * ratio(F.log1p(F.col("support").cast("double")), F.col("best_support")) + b * ratio(F.log1p(F.col("endorsement").cast("double")), F.col("best_likes"))
     keyed = clusters.withColumn("key", key).crossJoin(F.broadcast(most)).withColumn("social", social).drop("best_support", "best_likes")
     part = lambda factor: keyed.orderBy(F.desc(F.round(F.col("social") * factor, 9)), "key").limit(limit).select("key")
     likeliest = part(1 - g).unionByName(part(1.0)).distinct()
     asked = search.few(questions).select("question", (F.size(C.query_tokens(F.col("words"))) > 0).alias("content"))
-    # at most twice the limit of clusters for each of a few questions, and what was ranked
-    named = asked.select("question").crossJoin(F.broadcast(likeliest)).unionByName(fused.select("question", "key")).distinct()
+    # at most twice the limit of clusters for each of a few questions, of no weight, and what was ranked
+    named = asked.select("question").crossJoin(F.broadcast(likeliest)).withColumn("place", F.lit(1))
+    fused = stage_table(search.fuse([*ranks, named], k=10, weights=[1.0, 1.0, 0.0], doc="key").withColumnRenamed("score", "fused"), "evidence-fused")
     best = fused.groupBy("question").agg(F.max("fused").alias("best_fused"))
-    rows = named.join(fused, ["question", "key"], "left").join(F.broadcast(asked), "question").join(F.broadcast(best), "question", "left").join(keyed.select("key", "social"), "key")
-    salience = ratio(F.coalesce("fused", F.lit(0.0)), F.coalesce("best_fused", F.lit(0.0)))
+    rows = fused.join(F.broadcast(asked), "question").join(F.broadcast(best), "question").join(keyed.select("key", "social"), "key")
+    salience = ratio(F.col("fused"), F.col("best_fused"))
     rows = rows.withColumn("salience", F.when(F.col("content"), salience).otherwise(1.0))
     rows = rows.withColumn("score", ((1 - g) + g * F.col("salience")) * F.col("social"))
     place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc(F.round("score", 9)), "key"))
@@ -248,7 +376,7 @@ def evidence(comments: DataFrame, members: DataFrame, clusters: DataFrame, quest
     top = stage_table(top.join(keyed.drop("social"), "key").crossJoin(F.broadcast(total)), "evidence-top")
     top = top.withColumn("support_share", F.col("support") / F.col("n")).withColumn("endorsement_share", F.col("endorsement") / F.col("l"))
     shown = top.select("question", "key", F.explode("exemplar_cids").alias("cid"))
-    wanted = comments.join(shown.select("cid").distinct(), "cid", "left_semi")
+    wanted = stage_table(comments.join(F.broadcast(shown.select("cid").distinct()), "cid", "left_semi").select("cid", "text", "emojis"), "evidence-quoted")
     sims = search.dense(wanted, vectors, None, embedder=embedder)
     said = F.when(F.col("text") != "", F.col("text")).otherwise(F.col("emojis"))
     by = Window.partitionBy("question", "key").orderBy(F.desc(F.coalesce("sim", F.lit(0.0))), "cid")

@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 from typing import Protocol
 
 import numpy as np
@@ -30,6 +31,8 @@ from throng.session import stage_table
 MOST_QUESTIONS = 10_000
 K1, B = 1.5, 0.75
 DIM, NGRAM = 512, 4
+#: Texts that are made into vectors at once.
+CHUNK = 1024
 SPARSE = T.StructType([T.StructField("slots", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("norm2", T.LongType())])
 
 
@@ -40,6 +43,17 @@ def few(questions: DataFrame) -> DataFrame:
     return questions
 
 
+def joined(text: F.Column) -> F.Column:
+    """The tokens of a text with a blank between them."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9']+", " "))
+
+
+def said(comments: DataFrame) -> F.Column:
+    """The joined tokens of a comment's text or else its emoji, where they aren't
+    in a column ``said`` already."""
+    return F.col("said") if "said" in comments.columns else joined(C.embedding_text(F.col("text"), F.col("emojis")))
+
+
 def lexical_text() -> F.Column:
     """Text and author, as the lexical index of comments reads them."""
     return F.concat_ws(" ", F.col("text"), F.col("author"))
@@ -81,17 +95,22 @@ def _bm25_score(tf: DataFrame, asked: DataFrame, corpus: DataFrame, doc: str, k1
 
 
 def bm25_grouped(rows: DataFrame, questions: DataFrame, key: str) -> DataFrame:
-    """BM25 over the joined texts of each key, from rows ``<key>, text``.
+    """BM25 over the joined texts of each key, from rows ``<key>, text``, where a
+    text is its joined tokens.
 
     Same scores as over one document for each key, without ever joining its
     texts: lengths and term counts of the rows are summed.
     """
     asked = few(questions).select("question", F.explode(C.query_tokens(F.col("words"))).alias("term")).groupBy("question", "term").agg(F.count(F.lit(1)).alias("qtf"))
     terms = [r.term for r in asked.select("term").distinct().collect()]
-    sized = rows.select(F.col(key).alias("doc"), C.tokens(F.col("text")).alias("words"))
-    lengths = sized.groupBy("doc").agg(F.sum(F.size("words")).alias("len"))
+    if not terms:  # nothing was asked for
+        return rows.sparkSession.createDataFrame([], f"question string, {key} string, score double")
+    sized = rows.select(F.col(key).alias("doc"), F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", " ")).alias("words"))
+    # written once: scores, document frequencies and the mean length all come from them
+    lengths = stage_table(sized.groupBy("doc").agg(F.sum(F.size("words")).alias("len")), "bm25-lengths")
     corpus = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
-    tf = sized.select("doc", F.explode(_hits(terms)).alias("hit")).groupBy("doc", "hit.term").agg(F.sum("hit.tf").alias("tf")).join(lengths, "doc")
+    counts = sized.select("doc", F.explode(_hits(terms)).alias("hit")).groupBy("doc", "hit.term").agg(F.sum("hit.tf").alias("tf"))
+    tf = stage_table(counts.join(lengths, "doc"), "bm25-counts")
     return _bm25_score(tf, asked, corpus, key, K1, B)
 
 
@@ -174,6 +193,11 @@ class Hashing:
     def sparse(self, words: list[str]) -> tuple[list[int], list[int], int]:
         return sparse(words, self.dim, self.digest)
 
+    def rows(self, texts: list[str]) -> np.ndarray:
+        """Vectors of many texts, given as tokens joined by blanks, at once."""
+        at, ids = _hashes(self.dim, self.digest).of(texts)
+        return np.bincount(at * self.dim + (ids >> 1), (ids & 1) * 2.0 - 1.0, len(texts) * self.dim).reshape(len(texts), self.dim)
+
     def questions(self, comments: DataFrame, asked: dict[str, list[str]]) -> dict[str, np.ndarray]:
         """Each feature is weighted by the root of its inverse document frequency."""
         having = {q: features(words) for q, words in asked.items()}
@@ -241,6 +265,124 @@ def features(words: list[str], n: int = NGRAM) -> list[str]:
     return [f"w:{w}" for w in words] + [f"b:{a}_{b}" for a, b in zip(words, words[1:], strict=False)] + [f"c:{packed[i : i + n]}" for i in range(len(packed) - n + 1)]
 
 
+#: What tokens are made of, with the blank between them; others end a text.
+_SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789' "
+_CODES = np.full(256, len(_SIGNS), np.int32)
+_CODES[np.frombuffer(_SIGNS.encode(), np.uint8)] = np.arange(len(_SIGNS))
+
+
+class Numbered:
+    """The features of many texts as numbers that ``number`` gives, -1 for none.
+
+    A feature's string is only made where it is first met: n-grams of four signs
+    stand in a table, words and pairs of words in dictionaries that start anew when
+    they are large.
+    """
+
+    MOST = 500_000
+
+    def __init__(self, number: Callable[[str], int]) -> None:
+        self.number = number
+        self.grams = np.full((len(_SIGNS) + 1) ** NGRAM, -2, np.int32)
+        self.forget()
+
+    def forget(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.names: list[str] = []
+        self.words = np.zeros(1024, np.int32)
+        self.pairs: dict[int, int] = {}
+
+    def _word(self, word: str) -> int:
+        if word not in self.ids:
+            self.ids[word] = k = len(self.names)
+            self.names.append(word)
+            if k == len(self.words):
+                self.words = np.concatenate([self.words, np.zeros_like(self.words)])
+            self.words[k] = self.number(f"w:{word}")
+        return self.ids[word]
+
+    def _pair(self, code: int) -> int:
+        if code not in self.pairs:
+            self.pairs[code] = self.number(f"b:{self.names[code >> 32]}_{self.names[code & 0xFFFFFFFF]}")
+        return self.pairs[code]
+
+    def _gram(self, code: int) -> None:
+        rest, gram = code, ""
+        for _ in range(NGRAM):
+            rest, k = divmod(rest, len(_SIGNS) + 1)
+            gram = _SIGNS[k] + gram
+        self.grams[code] = self.number(f"c:{gram}")
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The text's place and the number of every feature of texts of tokens joined
+        by blanks, as often as it occurs."""
+        if not texts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(self.ids) > self.MOST or len(self.pairs) > self.MOST:
+            self.forget()
+        codes = _CODES[np.frombuffer(("\n".join(texts) + "\n" * NGRAM).encode(), np.uint8)]
+        ends = np.flatnonzero(codes == len(_SIGNS))
+        if len(ends) != len(texts) + NGRAM - 1:
+            raise ValueError("tokens have other signs than letters, digits and apostrophes")
+        sizes = np.diff(ends[: len(texts)], prepend=-1) - 1
+        base, n = len(_SIGNS) + 1, len(codes) - NGRAM + 1
+        gram = ((codes[:n] * base + codes[1 : n + 1]) * base + codes[2 : n + 2]) * base + codes[3 : n + 3]
+        whole = np.ones(n, bool)
+        for k in range(NGRAM):  # windows that hold the end of a text are none
+            at = ends - k
+            whole[at[(at >= 0) & (at < n)]] = False
+        gram = gram[whole]
+        found = self.grams[gram]
+        if (new := found == -2).any():
+            for code in np.unique(gram[new]).tolist():
+                self._gram(code)
+            found = self.grams[gram]
+        split = [t.split(" ") if t else [] for t in texts]
+        flat = [w for words in split for w in words]
+        ids = np.fromiter(map(self.ids.get, flat, repeat(-1)), np.int64, len(flat))
+        for i in np.flatnonzero(ids < 0).tolist():
+            ids[i] = self._word(flat[i])
+        own = np.repeat(np.arange(len(texts)), np.fromiter(map(len, split), np.int64, len(split)))
+        same = own[:-1] == own[1:]
+        pair = (ids[:-1] << 32 | ids[1:])[same]
+        pairs = np.fromiter(map(self.pairs.get, pair.tolist(), repeat(-2)), np.int64, len(pair))
+        for i in np.flatnonzero(pairs == -2).tolist():
+            pairs[i] = self._pair(int(pair[i]))
+        rows = np.concatenate([np.repeat(np.arange(len(texts)), np.maximum(sizes - NGRAM + 1, 0)), own, own[:-1][same]])
+        numbers = np.concatenate([found, self.words[ids], pairs])
+        if (numbers < 0).any():
+            rows, numbers = rows[numbers >= 0], numbers[numbers >= 0]
+        return rows, numbers
+
+
+@lru_cache(maxsize=4)
+def _hashes(dim: int, digest: str) -> Numbered:
+    """Twice the slot, plus 1 for a positive sign; kept by a worker."""
+
+    def number(feature: str) -> int:
+        k, sign = slot.__wrapped__(feature, dim, digest)
+        return 2 * k + (sign > 0)
+
+    return Numbered(number)
+
+
+def matrix(texts: list[str], embedder: Embedder) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of texts, tokens joined by blanks, and their squared lengths.
+
+    In single precision where the products of any two such vectors are whole
+    numbers that it holds exactly, else in double.
+    """
+    if hasattr(embedder, "rows"):
+        x = embedder.rows(texts)
+    else:
+        x = np.zeros((len(texts), embedder.dim))
+        for i, text in enumerate(texts):
+            slots, counts, _ = embedder.sparse(text.split(" ") if text else [])
+            x[i, slots] = counts
+    norm2 = np.einsum("ij,ij->i", x, x)
+    return (x.astype(np.float32) if norm2.max(initial=0) < 2**24 else x), norm2
+
+
 def sparse(words: list[str], dim: int = DIM, digest: str = "blake2b") -> tuple[list[int], list[int], int]:
     """Signed counts of the features by slot, and their squared length."""
     total: Counter = Counter()
@@ -265,17 +407,23 @@ def embedding(text: F.Column, embedder: Embedder = Hashing()) -> F.Column:
 def feature_frequencies(comments: DataFrame, wanted: frozenset[str]) -> tuple[dict[str, int], int]:
     """In how many comments each wanted feature is, and how many comments there are."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        docs = 0
-        for batch in batches:
-            for words in batch["words"]:
-                docs += 1
-                seen.update(wanted.intersection(features(list(words))))
-        yield pd.DataFrame([("", docs), *seen.items()], columns=["feature", "n"])
+    names = sorted(wanted)
+    place = {f: i for i, f in enumerate(names)}
 
-    text = C.embedding_text(F.col("text"), F.col("emojis"))
-    rows = comments.select(C.tokens(text).alias("words")).mapInPandas(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Numbered(lambda f: place.get(f, -1))
+        seen, docs = np.zeros(len(names), np.int64), 0
+        for batch in batches:
+            for at in range(0, len(batch), CHUNK):
+                rows, ids = known.of(batch.column(0).slice(at, CHUNK).to_pylist())
+                seen += np.bincount(np.unique(rows * len(names) + ids) % max(1, len(names)), minlength=len(names))[: len(names)]
+            docs += len(batch)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_pydict({"feature": ["", *(names[i] for i in some)], "n": [docs, *seen[some].tolist()]})
+
+    if not names:
+        return {}, max(1, comments.count())
+    rows = comments.select(said(comments).alias("said")).mapInArrow(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     df = {r.feature: r.n for r in rows}
     return df, max(1, df.pop("", 0))
 

@@ -59,5 +59,13 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage at a place that outlives any executor.
     """
     path = stage_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stage(table: DataFrame) -> None:
+    """Delete the files of a table that ``stage_table`` gave and nothing reads any more."""
+    spark = table.sparkSession
+    for path in {file.rpartition("/")[0] for file in table.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
