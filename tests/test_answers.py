@@ -348,3 +348,13 @@ def test_centroids_of_clusters_in_many_tasks(spark):
         mean = (x / np.sqrt(n)[:, None]).sum(axis=0)
         score = float(mean @ v / np.linalg.norm(v) / np.linalg.norm(mean))
         assert got.get(key, 0.0) == pytest.approx(max(0.0, score), abs=1e-9)
+
+
+def test_overview_reads_no_vectors_and_no_terms(spark, corpus, asked, monkeypatch):
+    """A question without words ranks by social proof alone, so no text is read for it."""
+    members, summary = asked._clustered()
+    blank = spark.createDataFrame([("", "")], "question string, words string")
+    monkeypatch.setattr(search, "_hits", None)
+    monkeypatch.setattr(search, "matrix", None)
+    got = clusters.evidence(corpus, members, summary, blank, routes.OVERVIEW, 8, max_quotes=0).orderBy("place").collect()
+    assert got[0].support == 6 and got[0].salience == 1.0 and got[0].quotes == [got[0].representative_text]

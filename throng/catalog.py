@@ -193,7 +193,7 @@ def opinion_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def opinion_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of all comments the evidence for each question speaks for."""
     comments, members, summary = _clusters(spark, sf_dir)
-    found = clusters.evidence(comments, members, summary, opinion_questions(spark, sf_dir), embedder=EMBEDDER)
+    found = clusters.evidence(comments, members, summary, opinion_questions(spark, sf_dir), max_quotes=0, embedder=EMBEDDER)
     return clusters.coverage(found, comments).withColumn("coverage", F.round("coverage", 9))
 
 
@@ -201,7 +201,7 @@ def opinion_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight opinions of the overview: no question, ranked by social proof."""
     comments, members, summary = _clusters(spark, sf_dir)
     asked = spark.createDataFrame([("", "")], "question string, words string")
-    return clusters.opinion_share(clusters.evidence(comments, members, summary, asked, routes.OVERVIEW, 8, embedder=EMBEDDER))
+    return clusters.opinion_share(clusters.evidence(comments, members, summary, asked, routes.OVERVIEW, 8, max_quotes=0, embedder=EMBEDDER))
 
 
 def bm25_precision(spark: SparkSession, sf_dir: str) -> DataFrame:

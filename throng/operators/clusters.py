@@ -339,7 +339,7 @@ def evidence(comments: DataFrame, members: DataFrame, clusters: DataFrame, quest
     texts and of positive cosines to their centroids, as a part of the best; 1 for
     all where a question has no content words. score = ((1 - g) + g salience)
     (1 + a log-support + b log-endorsement), both as parts of the best. Quotes are
-    the exemplars nearest to the question.
+    the exemplars nearest to the question, or without any the leader's text.
 
     A cluster that no ranking of a question has differs from others of its kind by
     its social part only, so of these the ``limit`` first are enough, the same for
@@ -375,6 +375,9 @@ def evidence(comments: DataFrame, members: DataFrame, clusters: DataFrame, quest
     top = rows.select("question", "key", "salience", "score", place.cast("long").alias("place")).where(F.col("place") <= limit)
     top = stage_table(top.join(keyed.drop("social"), "key").crossJoin(F.broadcast(total)), "evidence-top")
     top = top.withColumn("support_share", F.col("support") / F.col("n")).withColumn("endorsement_share", F.col("endorsement") / F.col("l"))
+    names = ("question", "place", "corpus", "cluster_id", "support", "endorsement", "valence", "representative_cid", "representative_text", "exemplar_cids", "salience", "score", "support_share", "endorsement_share")
+    if max_quotes < 1:
+        return top.select(*names, F.array("representative_text").alias("quotes"))
     shown = top.select("question", "key", F.explode("exemplar_cids").alias("cid"))
     wanted = stage_table(comments.join(F.broadcast(shown.select("cid").distinct()), "cid", "left_semi").select("cid", "text", "emojis"), "evidence-quoted")
     sims = search.dense(wanted, vectors, None, embedder=embedder)
@@ -383,7 +386,7 @@ def evidence(comments: DataFrame, members: DataFrame, clusters: DataFrame, quest
     quotes = shown.join(sims.withColumnRenamed("score", "sim"), ["question", "cid"], "left").join(wanted.select("cid", said.alias("said")), "cid").withColumn("q", F.row_number().over(by)).where((F.col("q") <= max_quotes) & (F.col("said") != ""))
     quotes = quotes.groupBy("question", "key").agg(F.transform(F.sort_array(F.collect_list(F.struct("q", "said"))), lambda x: x["said"]).alias("quotes"))
     out = top.join(quotes, ["question", "key"], "left")
-    return out.select("question", "place", "corpus", "cluster_id", "support", "endorsement", "valence", "representative_cid", "representative_text", "exemplar_cids", "salience", "score", "support_share", "endorsement_share", F.coalesce("quotes", F.array("representative_text")).alias("quotes"))
+    return out.select(*names, F.coalesce("quotes", F.array("representative_text")).alias("quotes"))
 
 
 def opinion_share(found: DataFrame, top: int = 8) -> DataFrame:

@@ -370,8 +370,13 @@ def matrix(texts: list[str], embedder: Embedder) -> tuple[np.ndarray, np.ndarray
     """Vectors of texts, tokens joined by blanks, and their squared lengths.
 
     In single precision where the products of any two such vectors are whole
-    numbers that it holds exactly, else in double.
+    numbers that it holds exactly, else in double. Copies of a text are made from it.
     """
+    place: dict[str, int] = {}
+    copies = [place.setdefault(t, len(place)) for t in texts]
+    if len(place) < 0.9 * len(texts):
+        x, norm2 = matrix(list(place), embedder)
+        return x[copies], norm2[copies]
     if hasattr(embedder, "rows"):
         x = embedder.rows(texts)
     else:
