@@ -358,3 +358,11 @@ def test_overview_reads_no_vectors_and_no_terms(spark, corpus, asked, monkeypatc
     monkeypatch.setattr(search, "matrix", None)
     got = clusters.evidence(corpus, members, summary, blank, routes.OVERVIEW, 8, max_quotes=0).orderBy("place").collect()
     assert got[0].support == 6 and got[0].salience == 1.0 and got[0].quotes == [got[0].representative_text]
+
+
+def test_coverage_quotes_nothing(spark, corpus, asked, monkeypatch):
+    """Coverage is the same without quotes, for which comments would be read again."""
+    q = spark.createDataFrame([("q", "the slow editing")], "question string, words string")
+    monkeypatch.setattr(search, "dense", None)
+    found = clusters.evidence(corpus, *asked._clustered(), q, max_quotes=0)
+    assert clusters.coverage(found.where("place = 1"), corpus).first().coverage == 3 / 11
