@@ -366,3 +366,39 @@ def test_coverage_quotes_nothing(spark, corpus, asked, monkeypatch):
     monkeypatch.setattr(search, "dense", None)
     found = clusters.evidence(corpus, *asked._clustered(), q, max_quotes=0)
     assert clusters.coverage(found.where("place = 1"), corpus).first().coverage == 3 / 11
+
+
+def test_coverage_follows_no_members(spark, monkeypatch):
+    """Small corpora are counted where they are settled: no table of members, no
+    summary and no second vector is made for their coverage."""
+    for name in ("leader_clusters", "summaries", "centroid_scores", "evidence"):
+        monkeypatch.setattr(clusters, name, None)
+    monkeypatch.setattr(search, "bm25_grouped", None)
+    got = catalog.opinion_coverage(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == 40 and all(0 < r.coverage < 1 for r in got)
+
+
+@pytest.mark.parametrize(("share", "first", "weights"), [(20_000, 256, routes.RELEVANCE), (6, 256, routes.RELEVANCE), (20_000, 1, routes.RELEVANCE), (6, 2, routes.SHARED), (20_000, 1, routes.OVERVIEW)])
+def test_standing_is_that_of_the_evidence(spark, corpus, monkeypatch, share, first, weights):
+    """With copies, texts without tokens, emoji only and no text at all; in small and
+    large corpora; from the first places of the rankings and from all of them."""
+    rng = np.random.default_rng(5)
+    words = "blue harbour scene best moment slow editing season two terrible theory rasp".split()
+    said = [" ".join(rng.choice(words, rng.integers(1, 6))) for _ in range(60)] + ["!!", "", None, ""]
+    rows = [(f"c{i:03}", said[i % len(said)], "🔥" if i % 7 == 0 else "", int(rng.integers(0, 30)), f"v{i % 5 // 2}", 0.0) for i in range(130)]
+    comments = spark.createDataFrame(rows, "cid string, text string, emojis string, likes long, video_id string, valence double").persist()
+    asked = spark.createDataFrame([("a", "blue harbour scene"), ("b", "what of the slow editing"), ("c", "the"), ("d", "zebra")], "question string, words string")
+    members = clusters.leader_clusters(comments)
+    names = ("question", "place", "corpus", "cluster_id", "support", "endorsement")
+    shown = lambda df: sorted((*(r[n] for n in names), round(r.salience, 9), round(r.score, 9)) for r in df.collect())
+    want = shown(clusters.evidence(comments, members, clusters.summaries(comments, members), asked, weights, 4, max_quotes=0))
+    monkeypatch.setattr(clusters, "SHARE", share)
+    monkeypatch.setattr(clusters, "BLOCK", 4)
+    monkeypatch.setattr(clusters, "FIRST", first)
+    assert shown(clusters.standing(comments, asked, weights, 4)[0]) == want and len(want) == 16
+
+
+def test_tokens_cut_by_arrow(spark):
+    texts = ["", "É a--B  'c' 9\n\x0bİx K", "😀", None, "  don't  ", "a , b", " , ", "a  b", "ß Å ǅ x y", "O'K\t\r\nZ"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("said", F.col("t"))
+    assert [r.said for r in search.tokenised(rows).collect()] == [r.a for r in rows.select(search.joined(F.col("t")).alias("a")).collect()]

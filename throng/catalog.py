@@ -192,8 +192,7 @@ def opinion_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def opinion_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of all comments the evidence for each question speaks for."""
-    comments, members, summary = _clusters(spark, sf_dir)
-    found = clusters.evidence(comments, members, summary, opinion_questions(spark, sf_dir), max_quotes=0, embedder=EMBEDDER)
+    found, comments = clusters.standing(corpus(spark, sf_dir), opinion_questions(spark, sf_dir), embedder=EMBEDDER)
     return clusters.coverage(found, comments).withColumn("coverage", F.round("coverage", 9))
 
 

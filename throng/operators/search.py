@@ -19,6 +19,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ from throng.session import stage_table
 MOST_QUESTIONS = 10_000
 K1, B = 1.5, 0.75
 DIM, NGRAM = 512, 4
+#: What isn't of tokens and isn't one blank.
+_GAPS = " ?[^a-z0-9' ][^a-z0-9']*|  [^a-z0-9']*"
 #: Texts that are made into vectors at once.
 CHUNK = 1024
 SPARSE = T.StructType([T.StructField("slots", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("norm2", T.LongType())])
@@ -44,8 +47,9 @@ def few(questions: DataFrame) -> DataFrame:
 
 
 def joined(text: F.Column) -> F.Column:
-    """The tokens of a text with a blank between them."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9']+", " "))
+    """The tokens of a text with a blank between them; what is one blank already
+    isn't replaced."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _GAPS, " "))
 
 
 def said(comments: DataFrame) -> F.Column:
@@ -54,11 +58,36 @@ def said(comments: DataFrame) -> F.Column:
     return F.col("said") if "said" in comments.columns else joined(C.embedding_text(F.col("text"), F.col("emojis")))
 
 
+def tokenised(comments: DataFrame) -> DataFrame:
+    """Comments with the joined tokens of their column ``said`` in its place, as
+    ``joined`` gives them."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("said")
+            text = pc.fill_null(batch.column(at), "")
+            try:
+                text.validate(full=True)
+            except pa.ArrowInvalid:  # bytes that are no text
+                text = pa.array([t.decode(errors="replace") for t in text.cast(pa.binary()).to_pylist()], pa.string())
+            # a capital with a dot gives two letters, as in Java
+            low = pc.utf8_lower(pc.replace_substring(text, "\u0130", "i\u0307"))
+            text = pc.ascii_trim(pc.replace_substring_regex(low, _GAPS, " "), " ")
+            yield batch.set_column(at, batch.schema.field(at), text)
+
+    return comments.mapInArrow(cut, comments.schema)
+
+
 def lexical_text() -> F.Column:
     """Text and author, as the lexical index of comments reads them."""
     return F.concat_ws(" ", F.col("text"), F.col("author"))
 
 
+def asked_terms(questions: DataFrame) -> DataFrame:
+    """``question, term, qtf``: the terms of each question that aren't stopwords."""
+    return few(questions).select("question", F.explode(C.query_tokens(F.col("words"))).alias("term")).groupBy("question", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
 def bm25(documents: DataFrame, questions: DataFrame, doc: str = "cid", k1: float = K1, b: float = B) -> DataFrame:
     """``question, <doc>, score`` of every document that shares a term with it.
 
@@ -67,7 +96,7 @@ def bm25(documents: DataFrame, questions: DataFrame, doc: str = "cid", k1: float
     not at all. One pass over the documents keeps their lengths and asked terms; the
     number and mean length of documents, document frequencies and scores come from these.
     """
-    asked = few(questions).select("question", F.explode(C.query_tokens(F.col("words"))).alias("term")).groupBy("question", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = asked_terms(questions)
     terms = [r.term for r in asked.select("term").distinct().collect()]
     words = documents.select(F.col(doc).alias("doc"), C.tokens(F.col("document")).alias("words"))
     # documents are cut into words once: lengths and asked terms serve all that follows
@@ -75,7 +104,7 @@ def bm25(documents: DataFrame, questions: DataFrame, doc: str = "cid", k1: float
     corpus = sized.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
     # a document's words are in its row: their counts need no exchange
     tf = sized.select("doc", "len", F.explode("hits").alias("hit")).select("doc", "len", "hit.term", "hit.tf")
-    return _bm25_score(tf, asked, corpus, doc, k1, b)
+    return bm25_scores(tf, asked, corpus, doc, k1, b)
 
 
 def _hits(terms: list[str]) -> F.Column:
@@ -84,7 +113,7 @@ def _hits(terms: list[str]) -> F.Column:
     return F.transform(F.array_distinct(found), lambda t: F.struct(t.alias("term"), F.size(F.filter(found, lambda w: w == t)).alias("tf")))
 
 
-def _bm25_score(tf: DataFrame, asked: DataFrame, corpus: DataFrame, doc: str, k1: float, b: float) -> DataFrame:
+def bm25_scores(tf: DataFrame, asked: DataFrame, corpus: DataFrame, doc: str, k1: float = K1, b: float = B) -> DataFrame:
     """Scores from ``doc, term, tf, len`` of the asked terms."""
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(F.broadcast(corpus)).select("term", "mean", F.greatest(F.lit(1e-6), F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
@@ -101,7 +130,7 @@ def bm25_grouped(rows: DataFrame, questions: DataFrame, key: str) -> DataFrame:
     Same scores as over one document for each key, without ever joining its
     texts: lengths and term counts of the rows are summed.
     """
-    asked = few(questions).select("question", F.explode(C.query_tokens(F.col("words"))).alias("term")).groupBy("question", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = asked_terms(questions)
     terms = [r.term for r in asked.select("term").distinct().collect()]
     if not terms:  # nothing was asked for
         return rows.sparkSession.createDataFrame([], f"question string, {key} string, score double")
@@ -111,7 +140,7 @@ def bm25_grouped(rows: DataFrame, questions: DataFrame, key: str) -> DataFrame:
     corpus = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
     counts = sized.select("doc", F.explode(_hits(terms)).alias("hit")).groupBy("doc", "hit.term").agg(F.sum("hit.tf").alias("tf"))
     tf = stage_table(counts.join(lengths, "doc"), "bm25-counts")
-    return _bm25_score(tf, asked, corpus, key, K1, B)
+    return bm25_scores(tf, asked, corpus, key)
 
 
 def best(scored: DataFrame, n: int, doc: str = "cid") -> DataFrame:
@@ -145,7 +174,9 @@ def positions(rows: DataFrame, group: str, *order: F.Column) -> DataFrame:
     held = stage_table(sorted_.mapInArrow(number, schema), "positions")
     sizes = held.groupBy(group, "__part").agg(F.max("place").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = held.join(sizes.withColumn("before", before).drop("n"), [group, "__part"])
+    # written, so that it is known to be small
+    added = stage_table(sizes.withColumn("before", before).drop("n"), "position-sizes")
+    out = held.join(added, [group, "__part"])
     return out.withColumn("place", F.col("place") + F.col("before")).select(*rows.columns, "place")
 
 
@@ -281,8 +312,9 @@ class Numbered:
 
     MOST = 500_000
 
-    def __init__(self, number: Callable[[str], int]) -> None:
-        self.number = number
+    def __init__(self, number: Callable[[str], int], closed: bool = False) -> None:
+        """closed: only pairs of words that have numbers may have one."""
+        self.number, self.closed = number, closed
         self.grams = np.full((len(_SIGNS) + 1) ** NGRAM, -2, np.int32)
         self.forget()
 
@@ -310,8 +342,8 @@ class Numbered:
         rest, gram = code, ""
         for _ in range(NGRAM):
             rest, k = divmod(rest, len(_SIGNS) + 1)
-            gram = _SIGNS[k] + gram
-        self.grams[code] = self.number(f"c:{gram}")
+            gram = (_SIGNS[k] if k < len(_SIGNS) else "\n") + gram
+        self.grams[code] = -1 if "\n" in gram else self.number(f"c:{gram}")  # the end of a text is in none
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The text's place and the number of every feature of texts of tokens joined
@@ -325,31 +357,32 @@ class Numbered:
         if len(ends) != len(texts) + NGRAM - 1:
             raise ValueError("tokens have other signs than letters, digits and apostrophes")
         sizes = np.diff(ends[: len(texts)], prepend=-1) - 1
-        base, n = len(_SIGNS) + 1, len(codes) - NGRAM + 1
+        base, n = len(_SIGNS) + 1, int(ends[len(texts) - 1])
         gram = ((codes[:n] * base + codes[1 : n + 1]) * base + codes[2 : n + 2]) * base + codes[3 : n + 3]
-        whole = np.ones(n, bool)
-        for k in range(NGRAM):  # windows that hold the end of a text are none
-            at = ends - k
-            whole[at[(at >= 0) & (at < n)]] = False
-        gram = gram[whole]
         found = self.grams[gram]
         if (new := found == -2).any():
             for code in np.unique(gram[new]).tolist():
                 self._gram(code)
             found = self.grams[gram]
-        split = [t.split(" ") if t else [] for t in texts]
-        flat = [w for words in split for w in words]
-        ids = np.fromiter(map(self.ids.get, flat, repeat(-1)), np.int64, len(flat))
-        for i in np.flatnonzero(ids < 0).tolist():
-            ids[i] = self._word(flat[i])
-        own = np.repeat(np.arange(len(texts)), np.fromiter(map(len, split), np.int64, len(split)))
+        at = np.flatnonzero(found >= 0)
+        full = np.flatnonzero(sizes)
+        split = pc.split_pattern(pa.array(texts, pa.string()).take(pa.array(full)), " ")
+        words = split.flatten().dictionary_encode()
+        known = np.fromiter(map(self._word, words.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(words.dictionary))
+        ids = known[words.indices.to_numpy()] if len(known) else np.zeros(0, np.int64)
+        own = full[pc.list_parent_indices(split).to_numpy()]
+        numbers = self.words[ids]
         same = own[:-1] == own[1:]
-        pair = (ids[:-1] << 32 | ids[1:])[same]
-        pairs = np.fromiter(map(self.pairs.get, pair.tolist(), repeat(-2)), np.int64, len(pair))
+        if self.closed:
+            same &= (numbers[:-1] >= 0) & (numbers[1:] >= 0)
+        pair = pa.array((ids[:-1] << 32 | ids[1:])[same]).dictionary_encode()
+        codes = pair.dictionary.to_numpy().tolist()
+        pairs = np.fromiter(map(self.pairs.get, codes, repeat(-2)), np.int64, len(codes))
         for i in np.flatnonzero(pairs == -2).tolist():
-            pairs[i] = self._pair(int(pair[i]))
-        rows = np.concatenate([np.repeat(np.arange(len(texts)), np.maximum(sizes - NGRAM + 1, 0)), own, own[:-1][same]])
-        numbers = np.concatenate([found, self.words[ids], pairs])
+            pairs[i] = self._pair(codes[i])
+        pairs = pairs[pair.indices.to_numpy()] if len(pairs) else pairs
+        rows = np.concatenate([np.repeat(np.arange(len(texts)), sizes + 1)[at], own, own[:-1][same]])
+        numbers = np.concatenate([found[at], numbers, pairs])
         if (numbers < 0).any():
             rows, numbers = rows[numbers >= 0], numbers[numbers >= 0]
         return rows, numbers
@@ -416,11 +449,11 @@ def feature_frequencies(comments: DataFrame, wanted: frozenset[str]) -> tuple[di
     place = {f: i for i, f in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Numbered(lambda f: place.get(f, -1))
+        known = Numbered(lambda f: place.get(f, -1), closed=True)
         seen, docs = np.zeros(len(names), np.int64), 0
         for batch in batches:
             for at in range(0, len(batch), CHUNK):
-                rows, ids = known.of(batch.column(0).slice(at, CHUNK).to_pylist())
+                rows, ids = known.of(batch.column(0).slice(at, CHUNK).to_numpy(zero_copy_only=False).tolist())
                 seen += np.bincount(np.unique(rows * len(names) + ids) % max(1, len(names)), minlength=len(names))[: len(names)]
             docs += len(batch)
         some = np.flatnonzero(seen)
